@@ -8,8 +8,9 @@ of 64 bins: a window's is the minimum of its two blocks', and a coarser class's
 An item and a window that agree in any bin make a candidate; the whole document's set then decides.
 
 An occurrence of q shingles in a window of at most 4q is missed only if every occupied bin of the item has a
-smaller stranger in the window: under 1e-6 for items of 10 words or more, and the parts of an item that lies
-scattered over a document are so many further chances.
+smaller stranger in the window: under 1e-4 for 8 shingles and fast less for more, and the parts of an item that
+lies scattered over a document are so many further chances. Items of fewer than 8 shingles are compared with
+windows of a single one, where nothing can hide them.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import types as T
 from .common import Scratch, Words, arrow_map, column, distinct_sets, need, steps, texts, union_all
 
 BINS_LOG2 = 6
+#: Items of fewer than 2**SINGLE shingles are compared with windows of one shingle.
+SINGLE = 3
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Shingles of items that one pass over the documents carries (8 bytes each); more items take more passes.
 PASS_SHINGLES = 1_000_000
@@ -45,6 +48,10 @@ class ItemIndex:
             keep[1:] = bins[1:] != bins[:-1]  # ascending, so the first of each bin is its minimum
             found += [(int(v), int(i), int(self.size[i]).bit_length()) for v in h[keep]]
         found.sort()
+        # an item of few shingles is compared with windows of one
+        single = [f for f in found if f[2] <= SINGLE]
+        self.single, self.single_owners = np.array([f[0] for f in single], np.uint64), [f[1] for f in single]
+        found = [f for f in found if f[2] > SINGLE]
         self.values = np.array([f[0] for f in found], np.uint64)
         self.owners = np.array([f[1] for f in found], np.int64)
         self.classes = np.array([f[2] for f in found], np.int64)  # class c: sizes 2^(c-1) .. 2^c - 1
@@ -53,7 +60,7 @@ class ItemIndex:
     def search(self, values: list[bytes | None]) -> list[tuple[int, int, int]]:
         """(text, item, shared shingles) for every text that contains num/den of an item's shingles."""
         out: list[tuple[int, int, int]] = []
-        if len(self.values):
+        if len(self.sets):
             for a, b in steps(values):
                 out += [(a + d, i, n) for d, i, n in self._search(values[a:b])]
         return out
@@ -62,14 +69,36 @@ class ItemIndex:
         h, doc = Words(values).shingles(self.k)
         if not len(h):
             return []
+        n = np.bincount(doc, minlength=len(values))
+        first_word = np.concatenate([[0], np.cumsum(n)])
+        pairs = self._windows(h, doc, n, first_word) if len(self.values) else set()
+        if len(self.single):
+            left = np.searchsorted(self.single, h, "left")
+            for at in np.flatnonzero(self.single[np.minimum(left, len(self.single) - 1)] == h):
+                e = int(left[at])
+                while e < len(self.single) and self.single[e] == h[at]:
+                    pairs.add((int(doc[at]), self.single_owners[e]))
+                    e += 1
+        out = []
+        whole: dict[int, np.ndarray] = {}
+        for d, i in sorted(pairs):
+            if d not in whole:
+                whole[d] = np.unique(h[first_word[d] : first_word[d + 1]])
+            item = self.sets[self.first[i] : self.first[i + 1]]
+            at = np.searchsorted(whole[d], item)
+            shared = int((whole[d][np.minimum(at, len(whole[d]) - 1)] == item).sum())
+            if shared * self.den >= len(item) * self.num:
+                out.append((d, i, shared))
+        return out
+
+    def _windows(self, h: np.ndarray, doc: np.ndarray, n: np.ndarray, first_word: np.ndarray) -> set[tuple[int, int]]:
+        """Candidates: items and texts some window of which agrees with the item in a bin."""
         base, top = self.levels[0], self.levels[-1]
         bins = 1 << BINS_LOG2
         # blocks of 2^base shingles; each document has a multiple of the coarsest block, and an empty one more
         step = 1 << (top - base)
-        n = np.bincount(doc, minlength=len(values))
         blocks = -(-n // (step << base)) * step + step
         first_block = np.concatenate([[0], np.cumsum(blocks)])
-        first_word = np.concatenate([[0], np.cumsum(n)])
         block = first_block[doc] + ((np.arange(len(h)) - first_word[doc]) >> base)
         cell = block * bins + (h >> np.uint64(64 - BINS_LOG2)).astype(np.int64)
         order = np.lexsort((h, cell))
@@ -80,7 +109,7 @@ class ItemIndex:
         left = np.searchsorted(self.values, v, "left")
         hit = np.flatnonzero(self.values[np.minimum(left, len(self.values) - 1)] == v)
         if not len(hit):
-            return []
+            return set()
         sketch = np.full((first_block[-1], bins), _MOST)
         sketch.reshape(-1)[c] = v
         right = np.searchsorted(self.values, v[hit], "right")
@@ -99,17 +128,7 @@ class ItemIndex:
                 beside = s[j - 1 : j + 2 : 2, bin_] if j else s[1:2, bin_]
                 if s[j, bin_] == value and (not j or (beside >= value).any()):
                     pairs.add((int(d), int(self.owners[e])))
-        out = []
-        whole: dict[int, np.ndarray] = {}
-        for d, i in sorted(pairs):
-            if d not in whole:
-                whole[d] = np.unique(h[first_word[d] : first_word[d + 1]])
-            item = self.sets[self.first[i] : self.first[i + 1]]
-            at = np.searchsorted(whole[d], item)
-            shared = int((whole[d][np.minimum(at, len(whole[d]) - 1)] == item).sum())
-            if shared * self.den >= len(item) * self.num:
-                out.append((d, i, shared))
-        return out
+        return pairs
 
 
 def _indexes(items: DataFrame, num: int, den: int, k: int) -> Iterator[ItemIndex]:
