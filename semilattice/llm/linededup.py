@@ -1,31 +1,45 @@
 """Line deduplication by pairwise alignment: documents meet through shared rare lines and are aligned by
 patience diff; aligned common blocks go from the later document.
 
-A line is an anchor if few documents hold it or if it is long enough to make a block by itself. Each document
+A line ends at a line break or at the end of a sentence, for a passage that documents share often runs on within
+their lines. A line is an anchor if few documents hold it or if it is long enough to make a block by itself. Each document
 that holds an anchor meets the anchor's first holder (the smallest doc_id) and no other, so a line costs its
 holders, however many they are, and every anchor line has a pair that can align it.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, arrow_map, column, need, texts
 
 
+_END = re.compile(rb"\n|[.!?] ")
+
+
+def split_lines(text: bytes) -> list[bytes]:
+    """The lines of a text, which they make up again when joined."""
+    ends = [m.end() for m in _END.finditer(text)]
+    out = [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)], strict=True)]
+    return out if out[-1] else out[:-1]
+
+
 def line_table(docs: DataFrame) -> DataFrame:
     """``doc_id, fp, hashes, words``: of each text its fingerprint and, line by line, a hash of the trimmed line and its number of words."""
 
     def run(batch: pa.RecordBatch) -> dict:
         hashes, words = [], []
         for t in texts(batch):
-            lines = [] if t is None else t.split(b"\n")
+            lines = split_lines(t or b"")
             hashes.append([xxhash.xxh3_64_intdigest(x.strip()) - (1 << 63) for x in lines])
             words.append([len(x.split()) for x in lines])
         return {"doc_id": column(batch, "doc_id"), "fp": column(batch, "fp"), "hashes": hashes, "words": words}
@@ -101,8 +115,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int = 50) -> DataFram
     ``docs`` needs ``doc_id`` and ``text``; all its columns are kept, ``text`` without the deleted lines, and
     ``n_lines, n_removed`` are added (a column of such a name is replaced). The smaller doc_id is the earlier
     document. A null text stays null; a row without doc_id or with an empty text is unchanged; rows that share a
-    doc_id are not compared with each other. A shorter line that more than ``rare`` documents hold finds no pair
-    by itself. An empty table gives an empty result.
+    doc_id are not compared with each other. A line of fewer words that more than ``rare`` documents hold, or of
+    fewer than three, finds no pair by itself. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "linededup")
@@ -110,7 +124,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int = 50) -> DataFram
     named = lines.where("doc_id is not null")
     flat = named.select("doc_id", F.explode(F.arrays_zip("hashes", "words")).alias("x")).select("doc_id", F.col("x.hashes").alias("h"), F.col("x.words").alias("w")).where("w > 0").distinct()
     anchors = flat.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"), F.max("w").alias("w"))
-    anchors = anchors.where("first < last").where((F.col("w") >= min_words) | (F.col("n") <= rare)).select("h", "first")
+    anchors = anchors.where("first < last").where((F.col("w") >= min_words) | ((F.col("n") <= rare) & (F.col("w") >= 3))).select("h", "first")
     pairs = flat.join(anchors, "h").where("doc_id > first").select("first", "doc_id").distinct()
     later = named.select("doc_id", "fp", F.col("hashes").alias("b"), F.col("words").alias("w"))
     earlier = named.select(F.col("doc_id").alias("first"), F.col("hashes").alias("a"))
@@ -129,8 +143,19 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int = 50) -> DataFram
     # a doc_id nearly always has one text; the fingerprint tells repeated ones apart
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     joined = docs.select(*(F.col(f"`{c}`") for c in own), F.xxhash64(F.col("text").cast("string")).alias("_fp0")).join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_fp0") == F.col("_fp")), "left")
-    cut = F.split("text", "\n", -1)
-    rest = F.array_join(F.filter(cut, lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest)
-    out = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in own]
-    return joined.select(*out, F.coalesce(F.size(cut), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"))
+    kept = [f for f in docs.schema.fields if f.name in own]
+    text_at = own.index("text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values, gone = texts(b), column(b, "_gone").to_pylist()
+            lines = [split_lines(t or b"") for t in values]
+            for i, g in enumerate(gone):
+                if g:
+                    drop = set(g)
+                    values[i] = b"".join(x for j, x in enumerate(lines[i]) if j not in drop)
+            columns = [b.column(i) for i in range(len(own))]
+            columns[text_at] = pa.array(values, pa.binary()).cast(columns[text_at].type)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) for x in lines], pa.int64()), pa.array([len(g or ()) for g in gone], pa.int64())], [*own, "n_lines", "n_removed"])
+
+    return joined.select(*(F.col(f"`{c}`") for c in own), "_gone").mapInArrow(cut, T.StructType(kept).add("n_lines", "long").add("n_removed", "long"))

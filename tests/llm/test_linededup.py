@@ -1,6 +1,6 @@
 import random
 
-from semilattice.llm.linededup import common_blocks, dedup_lines, patience
+from semilattice.llm.linededup import common_blocks, dedup_lines, patience, split_lines
 
 SCHEMA = "doc_id long, text string, n_removed string, first long, w string"
 
@@ -11,18 +11,18 @@ def line(rng, n=10):
 
 def brute(rows, min_words, rare):
     """Each pair of a document and an earlier first holder of one of its lines, aligned by patience diff."""
-    lines = {i: t.split("\n") for i, t in rows if i is not None and t is not None}
+    lines = {i: [x.decode() for x in split_lines(t.encode())] for i, t in rows if i is not None and t is not None}
     holders = {}
     for i in sorted(lines):
         for x in {y.strip() for y in lines[i] if y.strip()}:
             holders.setdefault(x, []).append(i)
     out = {}
     for i, own in lines.items():
-        firsts = {holders[x.strip()][0] for x in own if x.strip() and (len(x.split()) >= min_words or len(holders[x.strip()]) <= rare)} - {i}
+        firsts = {holders[x.strip()][0] for x in own if x.strip() and (len(x.split()) >= min_words or len(holders[x.strip()]) <= rare and len(x.split()) >= 3)} - {i}
         gone = set()
         for f in firsts:
             gone |= set(common_blocks([x.strip() for x in lines[f]], [x.strip() for x in own], [len(x.split()) for x in own], min_words))
-        out[i] = "\n".join(x for j, x in enumerate(own) if j not in gone)
+        out[i] = "".join(x for j, x in enumerate(own) if j not in gone)
     return out
 
 
@@ -56,7 +56,7 @@ def test_equals_brute_force(spark):
     for r in got.collect():
         assert r.text == (None if by[r.doc_id] is None else want[r.doc_id]), r.doc_id
         if by[r.doc_id] is not None:
-            assert r.n_lines == len(by[r.doc_id].split("\n"))
+            assert r.n_lines == len(split_lines(by[r.doc_id].encode()))
     assert got.count() == len(rows)
 
 
@@ -69,6 +69,21 @@ def test_long_passages_go_from_all_but_the_first(spark):
     assert all(passage not in got[i] and got[i].count("\n") == 1 for i in range(1, 300))
 
 
+def test_passages_within_lines_go_too(spark):
+    rng = random.Random(9)
+    passage = ". ".join(line(rng, 20) for _ in range(3)) + "."
+    rows = [(i, f"{line(rng, 30)}. {passage}" if i % 2 else f"{line(rng, 30)}.\n{line(rng)}. {passage} {line(rng)}") for i in range(40)]
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1]
+    assert all(line not in got[i] for i in range(1, 40) for line in passage[:-1].split(". ")[:2])
+    assert all(got[i].split(".")[0] == rows[i][1].split(".")[0] for i in range(40))
+
+
+def test_lines_make_up_the_text():
+    for t in (b"", b"\n", b"a. b! c?d\n\ne.", b"a.", b" . ", "é. ü\n".encode()):
+        assert b"".join(split_lines(t)) == t and all(split_lines(t))
+
+
 def test_repeated_ids_nulls_and_empty(spark):
     rng = random.Random(1)
     a, b = line(rng), line(rng)
