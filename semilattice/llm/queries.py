@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, langid, linededup, lm, neardup, packing, secrets, toxicity, warc
+from . import ann, decontam, langid, linededup, lm, neardup, oracles, packing, secrets, toxicity, warc
 from .common import crc_mod
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -84,4 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_arc_to_warc,
     )
 }
-ORACLES: dict[str, str] = {"op6_benchmark_decontamination": decontam.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op1_minhash_near_dedup": oracles.NEAR_DUPLICATES,
+    "op6_benchmark_decontamination": decontam.ORACLE_SQL,
+    "op9_secret_scan": oracles.secrets(secrets.RULES),
+    "op10_arc_to_warc": oracles.ARCHIVES,
+}

@@ -135,20 +135,35 @@ def test_lm_is_a_distribution_over_words():
     rng = np.random.default_rng(0)
     mixer = lm.Mixer.new()
     mixer.whole[:] = 0
-    model = lm.Model(coder, rng.normal(size=(lm.PREDICTORS, 1 << 10)).astype(np.float32), rng.integers(0, 4, (2, 1 << 10)).astype(np.int8), mixer, 1, np.ones(lm.CLASSES), np.zeros((256, lm.CLASSES - 1)))
+    model = lm.Model(coder, rng.integers(-40, 40, (lm.PREDICTORS, 1 << 10)).astype(np.int8), rng.integers(0, 4, (2, 1 << 10)).astype(np.int8), mixer, 1, np.ones(lm.CLASSES), np.zeros((256, lm.CLASSES - 1)))
     one = [bytes([b]) for b in range(256) if b != 32]
     ends = model.log10([b""], np.zeros(1, int), np.zeros(1), np.zeros(1))
-    owner, bit, slots = coder.spell(one, np.zeros(255, int))
+    byte, bit, slots, of = coder.spell(one, np.zeros(255, int))
+    owner = of[byte]
     # the probability of a first byte: its bits alone, without the closing space
     n = coder.length[[x[0] for x in one]]
     start = np.searchsorted(owner, np.arange(255))
-    gate = model.seen[1][slots[4]].astype(np.int64) * lm.LEVELS + model.seen[0][slots[3]]
-    p, _, _ = mixer.refine(gate, mixer.mix(gate, [model.stretch[k][s] for k, s in enumerate(slots)]))
-    q = np.where(bit == 1, p, 1 - p)
+    order, gate, edge = lm.by_gate(model.seen, slots)
+    p, _, _ = mixer.refine(gate, mixer.mix(lm.inputs(model.stretch, [s[order] for s in slots]), edge))
+    q = np.empty(len(bit))
+    q[order] = np.where(bit[order] == 1, p, 1 - p)
     total = sum(np.prod(q[s : s + k]) for s, k in zip(start, n, strict=True)) + 10 ** ends[0]
     assert total == pytest.approx(1, abs=1e-5)
 
 
+def test_shared_beginnings_change_no_score():
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("ab") for _ in range(rng.randint(0, 40))).encode() for _ in range(300)})
+    rnd = np.random.default_rng(1)
+    coder = lm.Coder(np.bincount([97, 98, 32], minlength=256), 12)
+    model = lm.Model(coder, rnd.integers(-40, 40, (lm.PREDICTORS, 1 << 12)).astype(np.int8), rnd.integers(0, 4, (2, 1 << 12)).astype(np.int8), lm.Mixer.new(), 1, np.ones(lm.CLASSES), np.zeros((256, lm.CLASSES - 1)))
+    cls = rnd.integers(0, 2, len(words))
+    zero = np.zeros(len(words))
+    whole = model.log10(words, cls, zero, zero)
+    alone = [model.log10([w], cls[i : i + 1], zero[:1], zero[:1])[0] for i, w in enumerate(words)]
+    assert np.allclose(whole, alone, rtol=1e-6)
+
+
 def test_lm_edges(spark):
     rows = [(1, "the cat sat", 1), (2, "the cat ran", 2), (3, None, 3), (4, "", 4), (5, "x" * 50_000, 5), (None, "the dog", 6), (2, "the cat ran", 7), (6, "É the  CAT\n", 8)]
     df = spark.createDataFrame(rows, "doc_id long, text string, score long")
