@@ -13,7 +13,6 @@ import heapq
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -106,8 +105,9 @@ def visit(trees: list[Tree], query: np.ndarray, search: int) -> list[tuple[int,
     return out
 
 
-def _matrix(c: pa.Array) -> np.ndarray:
-    return np.array(c.to_pylist(), np.float64)
+def _matrix(c: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+    return c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -168,26 +168,27 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = TREES
     queries = usable.where(is_query)
     visits = arrow_map(queries, look, "tree int, leaf long, part long, query_id long, qgid string, query array<double>")
 
-    def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         """The k+1 best groups of one part of a leaf for each of its visitors."""
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "gid": [], "score": []})
-        v = np.stack(right.embedding.to_numpy())
-        lengths = np.sqrt(np.einsum("ij,ij->i", v, v))
-        gids = right.gid.to_numpy()
-        out = []
-        for at in range(0, len(left), 256):
-            some = left.iloc[at : at + 256]
-            q = np.stack(some["query"].to_numpy())
-            s = (q @ v.T) / (np.sqrt(np.einsum("ij,ij->i", q, q))[:, None] * lengths)
-            best = np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, : k + 1]
-            # a tie at the edge stays in, so that ids decide it
-            edge = np.take_along_axis(s, best, 1).min(1)
-            r, c = np.nonzero(s >= edge[:, None] - 1e-12)
-            out.append(pd.DataFrame({"query_id": some.query_id.to_numpy()[r], "gid": gids[c], "score": s[r, c]}))
-        return pd.concat(out)
-
-    met = visits.groupBy("tree", "leaf", "part").cogroup(leaves.groupBy("tree", "leaf", "part")).applyInPandas(rerank, "query_id long, gid string, score double")
+        found_q, found_v, found_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if left.num_rows and right.num_rows:
+            v, queries_ = _matrix(right.column("embedding")), _matrix(left.column("query"))
+            ids = left.column("query_id").to_numpy()
+            lengths = np.sqrt(np.einsum("ij,ij->i", v, v))
+            for at in range(0, len(ids), 256):
+                q = queries_[at : at + 256]
+                s = (q @ v.T) / (np.sqrt(np.einsum("ij,ij->i", q, q))[:, None] * lengths)
+                best = np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, : k + 1]
+                # a tie at the edge stays in, so that ids decide it
+                edge = np.take_along_axis(s, best, 1).min(1)
+                r, c = np.nonzero(s >= edge[:, None] - 1e-12)
+                found_q.append(ids[at + r])
+                found_v.append(c)
+                found_s.append(s[r, c])
+        gids = right.column("gid").combine_chunks().cast(pa.string()).take(pa.array(np.concatenate(found_v))) if right.num_rows else pa.array([], pa.string())
+        return pa.table({"query_id": pa.array(np.concatenate(found_q), pa.int64()), "gid": gids, "score": pa.array(np.concatenate(found_s), pa.float64())})
+
+    met = visits.groupBy("tree", "leaf", "part").cogroup(leaves.groupBy("tree", "leaf", "part")).applyInArrow(rerank, "query_id long, gid string, score double")
     found = met.select("query_id", "gid", "score").groupBy("query_id", "gid").agg(F.max("score").alias("near"))
     found = found.withColumn("_r", F.rank().over(W.partitionBy("query_id").orderBy(F.desc(F.round("near", 11))))).where(F.col("_r") <= k + 1).drop("_r")
     # the exact measure, the same for equal vectors whatever block they were compared in
