@@ -2,9 +2,9 @@
 
 Equal vectors collapse to one group first. The trees' splits are fitted on a bounded sample of the groups (about
 ``sample`` of them, drawn by content hash) and every group is then routed to a leaf of each tree. A query
-walks all trees through a shared queue ordered by its distance to the split planes, as far as ``search`` sampled
-vectors; leaves meet queries in a join by leaf, and every candidate is reranked by exact cosine in double
-precision. A leaf grows with the corpus only beyond the sample; such leaves are dealt out in salted parts.
+walks all trees through a shared queue ordered by its distance to the split planes, as far as ``search`` times the
+sample; buckets of neighbouring leaves meet their visitors, and every candidate is reranked by exact cosine in
+double precision. A leaf grows with the corpus only beyond the sample; buckets are then dealt out in salted parts.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_map, column, need
 
-#: Vectors that the splits are fitted on, trees, sampled vectors in a leaf, and sampled vectors that a search visits.
-SAMPLE, TREES, LEAF, SEARCH = 65_536, 12, 48, 4_000
-#: Rows of a leaf that one part holds.
-PART_ROWS = 4_000
+#: Vectors that the splits are fitted on, trees, sampled vectors in a leaf, and the leaves' entries that a search
+#: visits as a share of the sample. Directions that are all alike need a large share; clustered ones a small one.
+SAMPLE, TREES, LEAF, SEARCH = 65_536, 8, 256, 1.5
+#: Neighbouring leaves of a tree that are searched together, and their rows that one part holds.
+BUCKET, PART_ROWS = 32, 16_384
 
 
 @dataclass
@@ -114,7 +115,7 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = TREES, leaf: int = LEAF, search: int = SEARCH, sample: int = SAMPLE, seed: int = 11) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = TREES, leaf: int = LEAF, search: float = SEARCH, sample: int = SAMPLE, seed: int = 11) -> DataFrame:
     """The k nearest rows of each query by cosine: ``query_id, rank, vec_id, score``.
 
     ``vectors`` needs ``vec_id`` and ``embedding``; ``is_query`` (over vec_id) chooses the queries, whose own rows
@@ -136,10 +137,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = TREES
     usable = usable.where(F.size(e) == width[0].n).withColumn("embedding", F.transform(e, lambda x: x + F.lit(0.0))).withColumn("gid", F.sha2(F.to_binary(F.hex(F.array_join(F.transform(e, lambda x: x.cast("string")), ",")), F.lit("hex")), 256))
     first = usable.withColumn("_r", F.row_number().over(W.partitionBy("vec_id").orderBy("gid"))).where(F.col("_r") == 1).drop("_r")
     usable = scratch.write(first, "vectors")
-    # of equal vectors the k+1 smallest ids can be among anyone's nearest; Spark limits each task's part first
-    members = usable.select("gid", "vec_id").withColumn("_r", F.row_number().over(W.partitionBy("gid").orderBy("vec_id"))).where(F.col("_r") <= k + 1).select("gid", "vec_id")
-    leaders = usable.join(usable.groupBy("gid").agg(F.min("vec_id").alias("_m")).withColumnRenamed("gid", "_g"), (F.col("gid") == F.col("_g")) & (F.col("vec_id") == F.col("_m"))).select("gid", "vec_id", "embedding")
-    groups = scratch.write(leaders.withColumn("no", F.xxhash64("gid")), "groups")
+    # a group goes by its smallest vec_id; of equal vectors the k+1 smallest ids can be among anyone's nearest, and
+    # Spark limits each task's part of a group first
+    named = usable.groupBy("gid").agg(F.min("vec_id").alias("g"))
+    both = usable.join(named, "gid")
+    members = both.select("g", "vec_id").withColumn("_r", F.row_number().over(W.partitionBy("g").orderBy("vec_id"))).where(F.col("_r") <= k + 1).select("g", "vec_id")
+    groups = scratch.write(both.where("vec_id = g").select("g", "gid", "embedding").withColumn("no", F.xxhash64("gid")), "groups")
     total = groups.count()
 
     some = groups if total <= sample else groups.where(F.pmod(F.xxhash64("gid", F.lit(1)), F.lit(total)) < sample)
@@ -148,58 +151,75 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = TREES
     rng = np.random.default_rng(seed)
     forest = [grow(fitted, leaf, rng) for _ in range(trees)]
     del fitted
-    parts = max(1, -(-leaf * total // max(1, min(total, sample)) // PART_ROWS))
+    sampled = max(1, min(total, sample))
+    parts = max(1, -(-BUCKET * leaf * total // sampled // PART_ROWS))
+    budget = int(search * sampled)
 
     def index(batch: pa.RecordBatch):
-        gid, emb = column(batch, "gid"), column(batch, "embedding")
-        no = column(batch, "no").to_numpy()
+        g, emb, no = column(batch, "g"), column(batch, "embedding"), column(batch, "no").to_numpy()
         unit = _unit(_matrix(emb))
         for i, t in enumerate(forest):
-            yield {"tree": np.full(len(no), i, np.int32), "leaf": route(t, unit), "part": no % parts, "gid": gid, "embedding": emb}
+            at = route(t, unit)
+            yield {"tree": np.full(len(no), i, np.int32), "bucket": at // BUCKET, "part": no % parts, "leaf": at % BUCKET, "g": g, "embedding": emb}
 
     def look(batch: pa.RecordBatch):
         ids, emb = column(batch, "vec_id").to_pylist(), column(batch, "embedding")
         unit = _unit(_matrix(emb))
-        rows = [(r, i, n, p) for r in range(len(ids)) for i, n in visit(forest, unit[r], search) for p in range(parts)]
-        at = pa.array([r[0] for r in rows], pa.int64())
-        yield {"tree": [r[1] for r in rows], "leaf": [r[2] for r in rows], "part": [r[3] for r in rows], "query_id": pa.array(ids, pa.int64()).take(at), "qgid": column(batch, "gid").take(at), "query": emb.take(at)}
-
-    leaves = arrow_map(groups, index, "tree int, leaf long, part long, gid string, embedding array<double>")
+        for r in range(len(ids)):
+            seen: dict[tuple[int, int], list[int]] = {}
+            for i, n in visit(forest, unit[r], budget):
+                seen.setdefault((i, n // BUCKET), []).append(n % BUCKET)
+            rows = [(i, b, p, x) for (i, b), x in seen.items() for p in range(parts)]
+            at = pa.array([r] * len(rows), pa.int64())
+            yield {"tree": [x[0] for x in rows], "bucket": [x[1] for x in rows], "part": [x[2] for x in rows], "leaves": [x[3] for x in rows], "query_id": pa.array([ids[r]] * len(rows), pa.int64()), "query": emb.take(at)}
+
+    leaves = arrow_map(groups, index, "tree int, bucket long, part long, leaf long, g long, embedding array<double>")
     queries = usable.where(is_query)
-    visits = arrow_map(queries, look, "tree int, leaf long, part long, query_id long, qgid string, query array<double>")
+    visits = arrow_map(queries, look, "tree int, bucket long, part long, leaves array<long>, query_id long, query array<double>")
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The k+1 best groups of one part of a leaf for each of its visitors."""
-        found_q, found_v, found_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        """The k+1 best groups in the visited leaves of one part of a bucket, for each visitor."""
+        q_, v_, s_ = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if left.num_rows and right.num_rows:
-            v, queries_ = _matrix(right.column("embedding")), _matrix(left.column("query"))
-            ids = left.column("query_id").to_numpy()
-            lengths = np.sqrt(np.einsum("ij,ij->i", v, v))
-            for at in range(0, len(ids), 256):
-                q = queries_[at : at + 256]
-                s = (q @ v.T) / (np.sqrt(np.einsum("ij,ij->i", q, q))[:, None] * lengths)
-                best = np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, : k + 1]
-                # a tie at the edge stays in, so that ids decide it
-                edge = np.take_along_axis(s, best, 1).min(1)
-                r, c = np.nonzero(s >= edge[:, None] - 1e-12)
-                found_q.append(ids[at + r])
-                found_v.append(c)
-                found_s.append(s[r, c])
-        gids = right.column("gid").combine_chunks().cast(pa.string()).take(pa.array(np.concatenate(found_v))) if right.num_rows else pa.array([], pa.string())
-        return pa.table({"query_id": pa.array(np.concatenate(found_q), pa.int64()), "gid": gids, "score": pa.array(np.concatenate(found_s), pa.float64())})
-
-    met = visits.groupBy("tree", "leaf", "part").cogroup(leaves.groupBy("tree", "leaf", "part")).applyInArrow(rerank, "query_id long, gid string, score double")
-    found = met.select("query_id", "gid", "score").groupBy("query_id", "gid").agg(F.max("score").alias("near"))
+            v, q = _matrix(right.column("embedding")), _matrix(left.column("query"))
+            v_len, q_len = np.sqrt(np.einsum("ij,ij->i", v, v)), np.sqrt(np.einsum("ij,ij->i", q, q))
+            leaf_of = right.column("leaf").to_numpy()
+            wanted = left.column("leaves").combine_chunks()
+            visitor = np.repeat(np.arange(len(q)), wanted.value_lengths().to_numpy())
+            visited = wanted.flatten().to_numpy()
+            for x in np.unique(visited):
+                rows, own = np.flatnonzero(leaf_of == x), visitor[visited == x]
+                for at in range(0, len(own) if len(rows) else 0, 512):
+                    who = own[at : at + 512]
+                    s = (q[who] @ v[rows].T) / (q_len[who][:, None] * v_len[rows])
+                    best = np.partition(s, max(0, s.shape[1] - k - 1), axis=1)[:, max(0, s.shape[1] - k - 1)]
+                    # a tie at the edge stays in, so that ids decide it
+                    r, c = np.nonzero(s >= best[:, None] - 1e-12)
+                    q_.append(who[r])
+                    v_.append(rows[c])
+                    s_.append(s[r, c])
+        who, found, near = np.concatenate(q_), np.concatenate(v_), np.concatenate(s_)
+        order = np.lexsort((-near, who))
+        who, found, near = who[order], found[order], near[order]
+        start = np.searchsorted(who, who)
+        edge = near[np.minimum(start + k, len(near) - 1)] if len(near) else near
+        edge = np.where(np.searchsorted(who, who, "right") - start > k, edge, -2.0)
+        keep = near >= edge - 1e-12
+        ids, g = left.column("query_id").to_numpy(), right.column("g").to_numpy()
+        return pa.table({"query_id": pa.array(ids[who[keep]] if len(ids) else [], pa.int64()), "g": pa.array(g[found[keep]] if len(g) else [], pa.int64()), "score": pa.array(near[keep], pa.float64())})
+
+    met = visits.groupBy("tree", "bucket", "part").cogroup(leaves.groupBy("tree", "bucket", "part")).applyInArrow(rerank, "query_id long, g long, score double")
+    found = met.groupBy("query_id", "g").agg(F.max("score").alias("near"))
     found = found.withColumn("_r", F.rank().over(W.partitionBy("query_id").orderBy(F.desc(F.round("near", 11))))).where(F.col("_r") <= k + 1).drop("_r")
     # the exact measure, the same for equal vectors whatever block they were compared in
-    exact = found.join(groups.select("gid", F.col("embedding").alias("v")), "gid").join(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
+    exact = found.join(groups.select("g", F.col("embedding").alias("v")), "g").join(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
 
     def cosine(batch: pa.RecordBatch) -> dict:
         q, v = _matrix(column(batch, "q")), _matrix(column(batch, "v"))
         s = np.array([float(a @ b) for a, b in zip(q, v, strict=True)]) / (np.sqrt(np.array([float(a @ a) for a in q])) * np.sqrt(np.array([float(b @ b) for b in v])))
-        return {"query_id": column(batch, "query_id"), "gid": column(batch, "gid"), "score": s}
+        return {"query_id": column(batch, "query_id"), "g": column(batch, "g"), "score": s}
 
-    scored = arrow_map(exact, cosine, "query_id long, gid string, score double")
-    named = scored.join(members, "gid").where("vec_id != query_id")
-    ranked = named.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+    scored = arrow_map(exact, cosine, "query_id long, g long, score double")
+    named_rows = scored.join(members, "g").where("vec_id != query_id")
+    ranked = named_rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

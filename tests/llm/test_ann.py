@@ -26,7 +26,7 @@ def test_equals_brute_force_with_ties_and_broken_vectors(spark):
     rows += [(500, None), (501, []), (502, [0.0] * 4), (503, [1.0, None, 2.0, 3.0]), (504, [float("nan"), 1.0, 1.0, 1.0]), (505, [float("inf"), 1.0, 1.0, 1.0]), (506, [1.0, 2.0]), (None, [1.0, 1.0, 1.0, 1.0]), (7, rows[7][1]), (508, [-0.0, 2.0, 3.0, 4.0]), (509, [0.0, 2.0, 3.0, 4.0])]
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], SCHEMA)
     got = {}
-    for r in sorted(nearest(df, F.col("vec_id") % 10 == 0, 5, leaf=20, search=2000).collect(), key=lambda r: (r.query_id, r.rank)):
+    for r in sorted(nearest(df, F.col("vec_id") % 10 == 0, 5, leaf=20, search=3.0).collect(), key=lambda r: (r.query_id, r.rank)):
         got.setdefault(r.query_id, []).append(r.vec_id)
     want = brute(rows, lambda i: i % 10 == 0)
     assert got.keys() == want.keys()
@@ -48,7 +48,7 @@ def test_recall_on_whole_table(spark):
         s[n] = -9
         hit += len(set(ids[np.argsort(-s, kind="stable")[:5]]) & got[ids[n]])
         total += 5
-    assert hit / total >= 0.9
+    assert hit / total >= 0.95
 
 
 def test_few_and_none(spark):
