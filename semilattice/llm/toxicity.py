@@ -21,7 +21,7 @@ from .common import _LOWER, _SPACE, Scratch, arrow_map, column, list_array, need
 BITS = 18
 ORDERS = (3, 4, 5)
 #: Labelled rows of each class that the classifier is fitted on, and features that it keeps.
-PER_CLASS, FEATURES = 3000, 30_000
+PER_CLASS, FEATURES = 3000, 6000
 _MIX = np.uint32(2654435761)
 
 
@@ -68,9 +68,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -30, 30)))
 
 
-def fit_logistic(first: np.ndarray, x: np.ndarray, scaled: np.ndarray, y: np.ndarray, weight: np.ndarray, n: int, l2: float = 1e-4, rounds: int = 300) -> tuple[np.ndarray, float]:
+def fit_logistic(doc: np.ndarray, x: np.ndarray, scaled: np.ndarray, y: np.ndarray, weight: np.ndarray, n: int, l2: float = 1e-4, rounds: int = 200) -> tuple[np.ndarray, float]:
     """Weighted logistic regression of sparse rows by accelerated gradient descent with per-feature steps."""
-    doc = np.repeat(np.arange(len(y)), np.diff(first))
     w, b = np.zeros(n), 0.0
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     share = weight / weight.sum()
@@ -127,18 +126,20 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = PER_
             doc, x = ngrams(values[a:b], keep)
             yield {"doc_id": ids[a:b], "toxic": y[a:b], "x": list_array(x.astype(np.int32), np.searchsorted(doc, np.arange(b - a + 1)))}
 
-    got = arrow_map(sample, rows, "doc_id long, toxic int, x array<int>").toPandas().sort_values("doc_id", kind="stable")
+    # at most 2 * per_class rows of at most ``features`` numbers
+    got = arrow_map(sample, rows, "doc_id long, toxic int, x array<int>").toArrow().sort_by("doc_id").combine_chunks()
     scratch.drop(sample)
-    place = np.cumsum(keep) - 1
-    first = np.concatenate([[0], np.cumsum([len(v) for v in got.x])])
-    x = np.concatenate([np.asarray(v, np.int64) for v in got.x]) if first[-1] else np.zeros(0, np.int64)
-    y = got.toxic.to_numpy(float)
-    doc = np.repeat(np.arange(len(y)), np.diff(first))
+    place = (np.cumsum(keep) - 1).astype(np.int32)
+    lists = got.column("x").combine_chunks() if isinstance(got.column("x"), pa.ChunkedArray) else got.column("x")
+    first = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    x = lists.flatten().to_numpy()
+    y = got.column("toxic").to_numpy().astype(float)
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(first))
     norm = np.maximum(np.sqrt(np.bincount(doc, scale[x] ** 2, len(y))), 1.0)
     # each class weighs as it does among all labelled training rows
     share = {int(r.toxic): int(r["count"]) for r in known.groupBy("toxic").count().collect()}
     weight = np.where(y == 1, share[1] / sizes[1], share[0] / sizes[0])
-    w, b = fit_logistic(first, place[x], scale[x] / norm[doc], y, weight, int(keep.sum()))
+    w, b = fit_logistic(doc, place[x], (scale[x] / norm[doc]).astype(np.float32), y, weight, int(keep.sum()))
     weights = np.zeros(1 << BITS)
     weights[keep] = w * scale[keep]
     return Model(weights, scale, b)
