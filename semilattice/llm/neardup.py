@@ -6,9 +6,9 @@ root. A pair of similarity s shares a table unless fewer than two collections ag
 chance of 9e-5 at s=0.85 and 1e-5 at 0.88.
 
 Copies (equal sets) collapse to one representative first. In each table's bucket every member meets the smallest
-one; what that leaves in different components meets bucket by bucket until no bucket holds a pair that is
-neither confirmed nor refuted nor connected. So no link that a bucket shows is lost, and a group of near copies,
-however large, costs its members and not its pairs.
+one. The documents of buckets that this leaves in several components are settled among one another on their sets'
+rarest shingles, again by representatives, until nothing is left that could be a link. So no link that a bucket
+shows is lost, and a group of near copies, however large, costs its members and not its pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, arrow_map, column, distinct_sets, list_array, mix, need, steps, texts, union_all
+from .common import Scratch, Words, arrow_map, column, distinct_sets, list_array, mix, need, steps, texts
 
 #: Documents up to which the ids of candidates are broadcast (8 bytes each); beyond it the texts are shuffled.
 BROADCAST_IDS = 1_000_000
@@ -81,7 +81,7 @@ def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch
     def stars(e: DataFrame) -> DataFrame:
         both = e.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(e.select(F.col("b").alias("v"), F.col("a").alias("u")))
         low = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("m", "v").alias("m"))
-        return both.where("u > v").join(low, "v").where("u != m").select(F.col("m").alias("a"), F.col("u").alias("b")).distinct()
+        return both.where("u > v").join(low, "v").where("u != m").select(F.col("m").alias("a"), F.col("u").alias("b"))
 
     def small(e: DataFrame) -> DataFrame:
         # a < b in every edge: each b gathers its smaller neighbours around the smallest
@@ -118,6 +118,23 @@ def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(b, "b").join(a, "a").withColumn("i", both).where(F.col("i") * den >= (F.size("sa") + F.size("sb") - F.col("i")) * num).select("a", "b")
 
 
+def _prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``doc, n, own, prefix``: of each set the rarest shingles among which it shares one with any set that it links with.
+
+    With the shingles of all sets in one order, two sets of similarity t share one of their first
+    n - ceil(t*n) + 1. In the order of frequency those are a document's own ones, which no other holds and which
+    are left out (``own`` many): what differs too much from everything drops out, however large the group.
+    """
+    named = sets.select("doc", F.xxhash64("doc", "shingles").alias("set"), "shingles")
+    flat = named.select("set", F.explode("shingles").alias("s"))
+    often = flat.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    shared = flat.join(often, "s").groupBy("set").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("held"))
+    whole = named.select("set", "doc", F.size("shingles").alias("n")).join(shared, "set")
+    # shingles of its own come first in the order
+    cut = whole.withColumn("own", F.col("n") - F.size("held")).withColumn("room", (F.col("n") - F.ceil(F.col("n") * num / den) + 1 - F.col("own")).cast("int"))
+    return cut.where("room > 0").select("doc", "n", "own", F.transform(F.slice("held", 1, F.col("room")), lambda x: x["s"]).alias("prefix"))
+
+
 def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, collections: int = 13, rows: int = 3, k: int = 5) -> DataFrame:
     """Classes of documents linked by Jaccard similarity of at least ``num/den`` over distinct k-word shingles.
 
@@ -132,19 +149,23 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, collections:
     sketch = scratch.write(sketches(base, collections, rows, k), "sketches")
     named = sketch.where("n_shingles > 0 and doc_id is not null")
     first = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    reps = named.join(first, ["h1", "h2"]).where("doc_id = rep").select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "bands").dropDuplicates(["doc"])
+    reps = named.join(first, ["h1", "h2"]).where("doc_id = rep").select(F.col("doc_id").alias("doc"), "bands").dropDuplicates(["doc", "bands"])
     copies = named.join(first, ["h1", "h2"]).where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
     pairs_of = [(i, j) for i in range(collections) for j in range(i + 1, collections)]
     keys = F.array(*(F.xxhash64(F.lit(t), F.col("bands")[i], F.col("bands")[j]) for t, (i, j) in enumerate(pairs_of)))
-    rows_of = reps.select("doc", F.posexplode(keys).alias("table", "key"))
+    rows_of = reps.select("doc", F.explode(keys).alias("key"))
     shared = rows_of.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key", "lo")
     buckets = scratch.write(rows_of.join(shared, "key"), "buckets")
 
     # the sets of all documents that any bucket holds with another
     ids = scratch.write(buckets.select("doc").distinct(), "candidates")
-    held = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = scratch.write(shingle_sets(base.join(held, base["doc_id"] == ids["doc"], "left_semi"), k), "sets", "lz4")
+
+    def held(written: DataFrame) -> DataFrame:
+        """Broadcast if its rows, of two numbers at most, are few enough."""
+        return F.broadcast(written) if written.count() <= BROADCAST_IDS else written
+
+    sets = scratch.write(shingle_sets(base.join(held(ids), base["doc_id"] == ids["doc"], "left_semi"), k), "sets", "lz4")
     scratch.drop(ids)
     sizes = sets.select("doc", F.size("shingles").alias("n"))
 
@@ -152,46 +173,51 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, collections:
         na, nb = sizes.select(F.col("doc").alias("a"), F.col("n").alias("na")), sizes.select(F.col("doc").alias("b"), F.col("n").alias("nb"))
         return pairs.join(na, "a").join(nb, "b").where(_close(F.col("na"), F.col("nb"), num, den)).select("a", "b").distinct()
 
-    tried = [scratch.write(worth(buckets.where("doc != lo").select(F.col("lo").alias("a"), F.col("doc").alias("b")).distinct()), "star")]
-    edges = [scratch.write(_confirm(tried[0], sets, num, den), "links")]
-    parts = connected_components(spark, edges[0], scratch)
+    star = worth(buckets.where("doc != lo").select(F.col("lo").alias("a"), F.col("doc").alias("b")).distinct())
+    parts = scratch.write(connected_components(spark, scratch.write(_confirm(star, sets, num, den), "links"), scratch), "parts")
 
-    def unsettled(parts: DataFrame) -> DataFrame:
-        named_rows = buckets.select("key", "table", "doc").join(parts, "doc", "left").select("key", "table", "doc", F.coalesce("root", "doc").alias("root"))
-        open_keys = named_rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-        return named_rows.join(open_keys, "key")
+    # what is left: the documents of buckets that hold several components
+    rooted = buckets.select("key", "doc").join(held(parts), "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
+    open_keys = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+    open_docs = rooted.join(held(scratch.write(open_keys, "open")), "key", "left_semi").select("doc").distinct()
+    rest = scratch.write(_prefixes(sets.join(open_docs, "doc", "left_semi"), num, den), "prefixes")
 
-    # Buckets that hold several components: their smallest member has met all others; now the next ones do, 32 at
-    # first and eight times as many each time, each with those of other components only.
-    table_of = F.array(*(F.lit(pairs_of.index((i, j)) if i < j else -1) for i in range(collections) for j in range(collections)))
-    low, high = 0, 32
+    # of each prefix shingle's holders the one with the fewest shingles of its own, which links with most, meets the
+    # others; then the next eight meet those that are still of other components, and so on
+    low, high = 0, 1
     while True:
-        # a document's other tables tell whether an earlier one shows the same pair
-        info = reps.select("doc", "bands").join(sizes, "doc")
-        rest = unsettled(parts).join(info, "doc").withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("doc")) - 1)
-        rest = scratch.write(rest, "unsettled")
-        x, y = rest.alias("x"), rest.alias("y")
-        agree = F.filter(F.sequence(F.lit(0), F.lit(collections - 1)), lambda i: F.get(F.col("x.bands"), i) == F.get(F.col("y.bands"), i))
-        earliest = F.get(table_of, F.get(agree, F.lit(0)) * collections + F.get(agree, F.lit(1)))
-        apart = (F.col("x.rank") < F.col("y.rank")) & (F.col("x.root") != F.col("y.root")) & _close(F.col("x.n"), F.col("y.n"), num, den)
-        met = x.where(F.col("rank").between(low, high - 1)).join(y, (F.col("x.key") == F.col("y.key")) & apart & (F.col("x.table") == earliest))
-        new = met.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
-        new = scratch.write(new.join(union_all(tried), ["a", "b"], "left_anti"), "pairs")
-        more = rest.where(F.col("rank") >= high).limit(1).count() > 0
-        if new.limit(1).count():
-            tried.append(new)
-            edges.append(scratch.write(_confirm(new, sets, num, den), "links"))
-            if edges[-1].limit(1).count():
-                parts = connected_components(spark, union_all(edges), scratch)
-        scratch.drop(rest)
+        rows_ = rest.join(held(parts), "doc", "left").withColumn("root", F.coalesce("root", "doc")).withColumn("key", F.explode("prefix"))
+        rows_ = rows_.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("own", "doc")) - 1)
+        ranked = scratch.write(rows_, "ranked")
+        x, y = ranked.where(F.col("rank").between(low, high - 1)).alias("x"), ranked.alias("y")
+        # what is a set's own is in no other
+        most = F.least(F.col("x.n") - F.col("x.own"), F.col("y.n") - F.col("y.own"))
+        can = most * den >= (F.col("x.n") + F.col("y.n") - most) * num
+        apart = (F.col("x.rank") < F.col("y.rank")) & (F.col("x.root") != F.col("y.root")) & can
+        # of the shingles that show a pair, the smallest does
+        shown = F.array_min(F.array_intersect("x.prefix", "y.prefix")) == F.col("x.key")
+        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & shown).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
+        links = scratch.write(_confirm(pairs, sets, num, den), "links")
+        more = not ranked.where(F.col("rank") >= high).isEmpty()
+        if not links.isEmpty():
+            parts = scratch.write(connected_components(spark, parts.where("doc != root").select(F.col("root").alias("a"), F.col("doc").alias("b")).unionByName(links), scratch), "parts")
+        scratch.drop(ranked)
         if not more:
             break
         low, high = high, high * 9
 
-    parts = connected_components(spark, union_all([*edges, copies]), scratch)
-    scratch.drop(buckets, sets, *tried)
-    named_parts = parts.select(F.col("doc").alias("doc_id"), F.col("root"))
-    found = sketch.where("doc_id is not null").join(named_parts, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    # an id with several texts joins what each of them belongs to
+    several = named.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y")).where("x != y").select("doc_id")
+    bridges = scratch.write(copies.join(several, F.col("b") == F.col("doc_id"), "left_semi"), "bridges")
+    if not bridges.isEmpty():
+        parts = connected_components(spark, parts.where("doc != root").select(F.col("root").alias("a"), F.col("doc").alias("b")).unionByName(bridges), scratch)
+    scratch.drop(buckets, sets, rest, bridges)
+    roots = parts.select(F.col("doc").alias("rep"), "root")
+    found = sketch.where("doc_id is not null").join(first, ["h1", "h2"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")))
+    # a bridged id is a vertex itself; another one belongs where its representative does
+    own = parts.select(F.col("doc").alias("doc_id"), F.col("root").alias("own_root"))
+    found = found.join(roots, "rep", "left").join(own, "doc_id", "left")
+    found = found.select("doc_id", "n_shingles", F.least(F.coalesce("root", "rep"), F.coalesce("own_root", "doc_id")).alias("component_id"))
     found = found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     nameless = sketch.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     return found.unionByName(nameless)
