@@ -66,22 +66,51 @@ def fit_classes(letters: np.ndarray, rounds: int = 25) -> np.ndarray:
         own = (x @ centre.T).argmax(1)
         sums = np.stack([x[own == i].sum(0) for i in range(k)]) + 0.5
         centre = np.log(sums / sums.sum(1, keepdims=True))
-    table[used] = (centre - centre.mean(0)).T
+    # whole numbers, so that sums are the same in whatever order texts are read
+    table[used] = np.rint((centre - centre.mean(0)).T * 1024)
     return table
 
 
-def word_classes(w: Words, table: np.ndarray) -> np.ndarray:
-    """For each word, the class that the words before it in its text are likeliest to come from (0: none before)."""
-    if not len(w.start):
-        w.end_class = np.zeros(len(w.first) - 1, np.int64)  # type: ignore[attr-defined]
-        return np.zeros(0, np.int64)
-    total = np.concatenate([np.zeros((1, table.shape[1])), np.cumsum(np.add.reduceat(table[w.data], w.start, axis=0), axis=0)])
-    base = total[w.first[:-1]]
-    out = (total[:-1] - base[w.doc]).argmax(1) + 1
-    some = np.diff(w.first) > 0
-    out[w.first[:-1][some]] = 0
-    w.end_class = np.where(some, (total[w.first[1:]] - base).argmax(1) + 1, 0)  # type: ignore[attr-defined]
-    return out
+@dataclass
+class Step:
+    """Some texts of a chunk: their words' distinct pairs with what comes before, ends included as empty words."""
+
+    low: int  # the first text
+    high: int
+    key: np.ndarray  # of each distinct pair
+    words: list[bytes]
+    classes: np.ndarray
+    hashes: np.ndarray  # of the words
+    pair: np.ndarray  # of each word, then of each end
+    doc: np.ndarray  # of each word, then of each end
+
+
+def read_step(values: list[bytes | None], low: int, high: int, table: np.ndarray) -> Step:
+    """A word's class is the one that the words before it in its text are likeliest to come from (0: none before)."""
+    w = Words(values[low:high])
+    n, texts_n = len(w.start), high - low
+    first, at, word = np.unique(w.hash, return_index=True, return_inverse=True)
+    # letters are looked at once for each distinct word
+    size = (w.end - w.start)[at]
+    begin = np.cumsum(size) - size
+    byte = w.data[np.repeat(w.start[at] - begin, size) + np.arange(int(size.sum()))]
+    evidence = np.add.reduceat(table.astype(np.int32)[byte], begin, axis=0) if len(at) else np.zeros((0, table.shape[1]), np.int32)
+    total = np.zeros((n + 1, table.shape[1]), np.int64)
+    np.cumsum(evidence[word], axis=0, out=total[1:])
+    base, some = total[w.first[:-1]], np.diff(w.first) > 0
+    end = np.where(some, (total[w.first[1:]] - base).argmax(1) + 1, 0)
+    cls = (total[:-1] - np.repeat(base, np.diff(w.first), axis=0)).argmax(1) + 1
+    cls[w.first[:-1][some]] = 0
+    # pairs as small numbers: distinct word and class; an end is one more word
+    code = np.concatenate([word * CLASSES + cls, len(at) * CLASSES + end])
+    held = np.flatnonzero(np.bincount(code, minlength=(len(at) + 1) * CLASSES))
+    names = np.zeros((len(at) + 1) * CLASSES, np.int64)
+    names[held] = np.arange(len(held))
+    hashes = np.append(first, _U(0))
+    data = w.data.tobytes()
+    spelled = [data[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)] + [b""]
+    which = held // CLASSES
+    return Step(low, high, pair_key(hashes[which], held % CLASSES), [spelled[i] for i in which.tolist()], held % CLASSES, hashes[which], names[code], np.concatenate([w.doc, np.arange(texts_n)]) + low)
 
 
 def pair_key(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -118,8 +147,13 @@ class Coder:
     """Turns words into bits with a table slot for each predictor."""
 
     def __init__(self, counts: np.ndarray, table_bits: int = TABLE_BITS) -> None:
-        self.length, self.nodes, self.bits = huffman(counts)
+        self.length, nodes, bits = huffman(counts)
         self.shift = _U(64 - table_bits)
+        # the codes one after the other
+        self.begin = np.cumsum(self.length) - self.length
+        self.flat_nodes = np.concatenate([nodes[b, :n] for b, n in enumerate(self.length)]) + _U(1)
+        self.flat_nodes *= _U(0xC2B2AE3D27D4EB4F)
+        self.flat_bits = np.concatenate([bits[b, :n] for b, n in enumerate(self.length)])
 
     @staticmethod
     def powers(n: int) -> np.ndarray:
@@ -129,8 +163,9 @@ class Coder:
     def inverse(n: int) -> np.ndarray:
         return _power_tables(n)[1][:n]
 
-    def spell(self, words: list[bytes], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """The word that each bit belongs to, the bits, and each predictor's slots."""
+    def spell(self, words: list[bytes], classes: np.ndarray, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+        """The byte that each bit belongs to, the bits, each predictor's slots, and the word of each byte. Bytes are
+        those of all words, a closing space after each; ``skip`` leaves out so many first ones of a word."""
         joined = np.frombuffer(b" ".join(words) + b" ", np.uint8)
         size = np.array([len(x) + 1 for x in words])
         start = np.cumsum(size) - size
@@ -149,17 +184,26 @@ class Coder:
             contexts[k] = h
         with_class = (contexts[2] + (classes[owner].astype(np.uint64) + _U(1)) * _U(0xD6E8FEB86659FD93)) * _U(0x9FB21C651E98DF25)
         chosen = [contexts[1], contexts[2], contexts[3], contexts[4], contexts[6], prefix, with_class ^ (with_class >> _U(31))]
-        reps = self.length[joined]
-        symbol = np.repeat(np.arange(len(joined)), reps)
-        step = np.arange(len(symbol)) - np.repeat(np.cumsum(reps) - reps, reps)
-        at = joined[symbol]
-        node = (self.nodes[at, step] + _U(1)) * _U(0xC2B2AE3D27D4EB4F)
-        slots = [(((c[symbol] ^ node) * _U(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64) for c in chosen]
-        return owner[symbol], self.bits[at, step], slots
+        reps = self.length[joined] if skip is None else np.where(place >= skip[owner], self.length[joined], 0)
+        until = np.cumsum(reps)
+        at = np.repeat(self.begin[joined] - (until - reps), reps) + np.arange(int(until[-1]))
+        node = self.flat_nodes[at]
+        slots = []
+        for c in chosen:
+            h = np.repeat(c, reps)
+            h ^= node
+            h *= _U(0x9E3779B97F4A7C15)
+            h >>= self.shift
+            slots.append(h.view(np.int64))
+        return np.repeat(np.arange(len(joined)), reps), self.flat_bits[at], slots, owner
+
+
+#: Log-odds are kept in bytes, in steps of 1/SCALE.
+SCALE = 12
 
 
 def stretch_counts(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    return np.log((n1 + 0.4) / (n0 + 0.4)).astype(np.float32)
+    return np.clip(np.rint(np.log((n1 + 0.4) / (n0 + 0.4)) * SCALE), -127, 127).astype(np.int8)
 
 
 def level(n: np.ndarray) -> np.ndarray:
@@ -180,11 +224,13 @@ class Mixer:
         weights[:, -1] = 0
         return cls(weights, np.tile(centre, (gates, 1)), np.full((CLASSES, 2), 0.3))
 
-    def mix(self, gate: np.ndarray, inputs: list[np.ndarray]) -> np.ndarray:
+    def mix(self, x: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        """Log-odds of rows sorted by gate; ``edge``: where each gate's begin."""
         w = self.weights.astype(np.float32)
-        z = w[gate, PREDICTORS]
-        for k, x in enumerate(inputs):
-            z = z + w[gate, k] * x
+        z = np.empty(len(x), np.float32)
+        for g in range(len(w)):
+            if edge[g] < edge[g + 1]:
+                z[edge[g] : edge[g + 1]] = x[edge[g] : edge[g + 1]] @ w[g]
         return np.clip(z, -8, 8)
 
     def refine(self, gate: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,23 +243,21 @@ class Mixer:
         refined = flat[at] * (1 - part) + flat[at + 1] * part
         return 0.5 / (1 + np.exp(-z)) + 0.5 * refined, at, part
 
-    def learn(self, gate: np.ndarray, inputs: list[np.ndarray], bit: np.ndarray, times: np.ndarray, curve: np.ndarray) -> np.ndarray:
-        """One online step: weights move along the gradient of the code length, scaled by the curvature met so far
-        (``curve``, gates x weights x weights, which grows), and the table moves towards what came. Returns the
-        probabilities of the bits as they were before."""
-        z = self.mix(gate, inputs)
+    def learn(self, gate: np.ndarray, edge: np.ndarray, x: np.ndarray, bit: np.ndarray, times: np.ndarray, curve: np.ndarray) -> np.ndarray:
+        """One online step over rows sorted by gate: weights move along the gradient of the code length, scaled by
+        the curvature met so far (``curve``, gates x weights x weights, which grows), and the table moves towards
+        what came. Returns the probabilities of the bits as they were before."""
+        z = self.mix(x, edge)
         before, at, part = self.refine(gate, z)
         gates = LEVELS * LEVELS
         p = 1 / (1 + np.exp(-z))
-        x = np.stack([*inputs, np.ones(len(z), np.float32)], 1).astype(np.float64)
-        order = np.argsort(gate, kind="stable")
-        edge = np.searchsorted(gate[order], np.arange(gates + 1))
+        bend = times * np.maximum(p * (1 - p), np.float32(1e-3))
+        err = times * (bit - p)
         for g in range(gates):
-            rows = order[edge[g] : edge[g + 1]]
-            if len(rows):
-                own, t = x[rows], times[rows]
-                curve[g] += own.T @ (own * (t * np.maximum(p[rows] * (1 - p[rows]), 1e-3))[:, None])
-                self.weights[g] += np.linalg.solve(curve[g], own.T @ (t * (bit[rows] - p[rows])))
+            a, b = edge[g], edge[g + 1]
+            if a < b:
+                curve[g] += x[a:b].T @ (x[a:b] * bend[a:b, None])
+                self.weights[g] += np.linalg.solve(curve[g], x[a:b].T @ err[a:b])
         seen, ones = np.zeros(gates * BINS), np.zeros(gates * BINS)
         for i, share in ((at, 1 - part), (at + 1, part)):
             seen += np.bincount(i, share * times, gates * BINS)
@@ -221,7 +265,32 @@ class Mixer:
         flat = self.table.reshape(-1)
         flat += 0.1 * seen / (seen + 200.0) * (ones / np.maximum(seen, 1e-9) - flat)
         np.clip(flat, 1e-4, 1 - 1e-4, out=flat)
-        return np.where(bit == 1, before, 1 - before)
+        return np.where(bit > 0, before, 1 - before)
+
+
+def by_gate(seen: np.ndarray, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in order of their gates, the gates in that order, and where each gate's rows begin."""
+    gate = seen[1][slots[4]] * np.int8(LEVELS) + seen[0][slots[3]]
+    order = np.argsort(gate, kind="stable")
+    sorted_ = gate[order].astype(np.int64)
+    return order, sorted_, np.searchsorted(sorted_, np.arange(LEVELS * LEVELS + 1))
+
+
+def inputs(stretch: np.ndarray, slots: list[np.ndarray]) -> np.ndarray:
+    """The predictors' log-odds and a constant, a row a bit."""
+    x = np.ones((PREDICTORS + 1, len(slots[0])), np.float32)
+    for k, s in enumerate(slots):
+        np.multiply(stretch[k].take(s), np.float32(1 / SCALE), out=x[k])
+    return x.T
+
+
+#: Leading bytes of words that are compared with their neighbours'.
+HEAD = 16
+
+
+def leading_bytes(words: list[bytes]) -> np.ndarray:
+    """The first bytes of each word and its closing space, filled up with zeros."""
+    return np.frombuffer(b"".join([w[:HEAD].ljust(HEAD, b"\0") if len(w) >= HEAD else (w + b" ").ljust(HEAD, b"\0") for w in words]), np.uint8).reshape(-1, HEAD)
 
 
 @dataclass
@@ -236,19 +305,41 @@ class Model:
 
     def log10(self, words: list[bytes], classes: np.ndarray, counts: np.ndarray, after: np.ndarray, step: int = 20_000) -> np.ndarray:
         """log10 of each word's probability after the given class, given its counts after any class and after this one."""
-        out = np.empty(len(words))
+        spelled = np.empty(len(words))
+        head = leading_bytes(words)
+        order = np.lexsort((head[:, :8].copy().view(">u8")[:, 0], classes))
         for lo in range(0, len(words), step):
-            part = words[lo : lo + step]
-            owner, bit, slots = self.coder.spell(part, classes[lo : lo + step])
-            gate = self.seen[1][slots[4]].astype(np.int64) * LEVELS + self.seen[0][slots[3]]
-            z = self.mixer.mix(gate, [self.stretch[k][s] for k, s in enumerate(slots)])
-            p, _, _ = self.mixer.refine(gate, z)
-            spelled = np.exp(np.bincount(owner, np.log(np.where(bit == 1, p, 1 - p)), len(part)))
-            cls = classes[lo : lo + step]
-            share = self.mixer.whole[cls]
-            both = share[:, 0] * counts[lo : lo + step] / max(self.tokens, 1) + share[:, 1] * after[lo : lo + step] / np.maximum(self.by_class[cls], 1) + (1 - share.sum(1)) * spelled
-            out[lo : lo + step] = np.log10(np.maximum(both, 1e-300))
-        return out
+            part = order[lo : lo + step]
+            spelled[part] = self.spelled([words[i] for i in part.tolist()], classes[part], head[part])
+        share = self.mixer.whole[classes]
+        both = share[:, 0] * counts / max(self.tokens, 1) + share[:, 1] * after / np.maximum(self.by_class[classes], 1) + (1 - share.sum(1)) * np.exp(spelled)
+        return np.log10(np.maximum(both, 1e-300))
+
+    def spelled(self, words: list[bytes], classes: np.ndarray, head: np.ndarray) -> np.ndarray:
+        """ln of the probability of each word's spelling. A beginning that a word shares with the one before it in
+        the list, after the same class, is predicted once."""
+        n = len(words)
+        same = head[1:] == head[:-1]
+        shared = np.zeros(n, np.int64)
+        shared[1:] = np.where(classes[1:] == classes[:-1], np.minimum.accumulate(same, axis=1).sum(1), 0)
+        byte, bit, slots, owner = self.coder.spell(words, classes, shared)
+        gate = self.seen[1].take(slots[4]) * np.int8(LEVELS) + self.seen[0].take(slots[3])
+        w = (self.mixer.weights / np.array([SCALE] * PREDICTORS + [1])).astype(np.float32)
+        z = w[:, PREDICTORS].take(gate)
+        for k, s in enumerate(slots):
+            z += w[:, k].take(gate) * self.stretch[k].take(s)
+        np.clip(z, -8, 8, out=z)
+        p, _, _ = self.mixer.refine(gate.astype(np.int64), z)
+        each = np.bincount(byte, np.log(np.where(bit == 1, p, 1 - p)), len(owner))
+        size = np.bincount(owner, minlength=n)
+        start = np.cumsum(size) - size
+        out = np.bincount(owner, np.where(np.arange(len(owner)) - start[owner] >= HEAD, each, 0.0), n)
+        # what a word shares stands in the last row before it that spelled it
+        rows = np.arange(n)
+        at = np.arange(HEAD)
+        held = np.where(at < size[:, None], each[np.minimum(start[:, None] + at, len(each) - 1)], 0.0)
+        source = np.maximum.accumulate(np.where(at >= shared[:, None], rows[:, None], 0), axis=0)
+        return out + np.where(at < size[:, None], held[source, at], 0.0).sum(1)
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -271,30 +362,14 @@ def _text_values(table: pa.Table) -> list[bytes | None]:
     return table.column("text").cast(pa.large_binary() if pa.types.is_large_string(table.column("text").type) else pa.binary()).to_pylist()
 
 
-def _chunk_pairs(values: list[bytes | None], letters: np.ndarray):
-    """Over steps of a chunk: each step's words, classes and pair keys, ends included as empty words."""
-    for a, b in steps(values):
-        w = Words(values[a:b])
-        cls = word_classes(w, letters)
-        yield a, b, w, cls, np.concatenate([pair_key(w.hash, cls), pair_key(np.zeros(b - a, np.uint64), w.end_class)]), np.concatenate([w.doc, np.arange(b - a)]) + a
-
-
-def _distinct_pairs(values: list[bytes | None], train: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-    """A chunk's distinct pairs: keys ascending, words, classes and occurrences in training texts."""
-    keys, words, classes, counts = [], [], [], []
-    for _, _, w, cls, key, doc in _chunk_pairs(values, letters):
-        u, at, inv = np.unique(key, return_index=True, return_inverse=True)
-        keys.append(u)
-        counts.append(np.bincount(inv, train[doc].astype(float), len(u)))
-        n = len(cls)
-        classes.append(np.concatenate([cls, w.end_class])[at])
-        data = w.data.tobytes()
-        words += [data[w.start[i] : w.end[i]] if i < n else b"" for i in at]
-    if not keys:
-        return np.zeros(0, np.uint64), [], np.zeros(0, np.int64), np.zeros(0)
-    key, cls, n = np.concatenate(keys), np.concatenate(classes), np.concatenate(counts)
-    u, at, inv = np.unique(key, return_index=True, return_inverse=True)
-    return u, [words[i] for i in at], cls[at], np.bincount(inv, n, len(u))
+def _distinct(values: list[bytes | None], letters: np.ndarray) -> tuple[list[Step], np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """A chunk's steps, the chunk's number for each pair of all steps, and the chunk's words, classes and hashes."""
+    read = [read_step(values, a, b, letters) for a, b in steps(values)]
+    if not read:
+        return [], np.zeros(0, np.int64), [], np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    words = [w for s in read for w in s.words]
+    _, at, number = np.unique(np.concatenate([s.key for s in read]), return_index=True, return_inverse=True)
+    return read, number, [words[i] for i in at.tolist()], np.concatenate([s.classes for s in read])[at], np.concatenate([s.hashes for s in read])[at]
 
 
 def _bucket(word: bytes, buckets: int) -> int:
@@ -330,23 +405,27 @@ def score_documents(docs: DataFrame, held_out: Column, chunk_bytes: int = CHUNK_
     def gather(table: pa.Table) -> pa.Table:
         """A chunk's distinct words by bucket, with counts by class."""
         train = ~np.array(_values(table, "held_out"), bool)
-        _, words, cls, n = _distinct_pairs(_text_values(table), train, letters)
-        order = sorted(range(len(words)), key=lambda i: (_bucket(words[i], buckets), words[i]))
+        read, number, words, cls, hashes = _distinct(_text_values(table), letters)
+        n, base = np.zeros(len(words)), 0
+        for s in read:
+            n += np.bincount(number[base : base + len(s.key)], np.bincount(s.pair, train[s.doc].astype(float), len(s.key)), len(words))
+            base += len(s.key)
+        where = np.array([_bucket(w, buckets) for w in words], np.int64)
+        order = np.lexsort((hashes, where))  # equal words side by side
+        edge = np.searchsorted(where[order], np.arange(buckets + 1))
         out: dict[str, list] = {c: [] for c in ("bucket", "chunk", "words", "at", "cls", "n")}
-        lo = 0
-        while lo < len(order):
-            hi, b = lo, _bucket(words[order[lo]], buckets)
+        for b in range(buckets):
+            part = order[edge[b] : edge[b + 1]]
+            if not len(part):
+                continue
             own: list[bytes] = []
             at = []
-            while hi < len(order) and (not own or words[order[hi]] == own[-1] or _bucket(words[order[hi]], buckets) == b):
-                if not own or own[-1] != words[order[hi]]:
-                    own.append(words[order[hi]])
+            for i in part.tolist():
+                if not own or own[-1] != words[i]:
+                    own.append(words[i])
                 at.append(len(own) - 1)
-                hi += 1
-            part = order[lo:hi]
             for c, v in (("bucket", b), ("chunk", table.column("chunk")[0].as_py()), ("words", _pack_words(own)), ("at", _pack(np.array(at, np.int32))), ("cls", _pack(cls[part].astype(np.uint8))), ("n", _pack(n[part].astype(np.int64)))):
                 out[c].append(v)
-            lo = hi
         return pa.table({"bucket": pa.array(out["bucket"], pa.int32()), "chunk": pa.array(out["chunk"], pa.int64()), **{c: pa.array(out[c], pa.binary()) for c in ("words", "at", "cls", "n")}})
 
     blob_schema = "bucket int, chunk long, words binary, at binary, cls binary, n binary"
@@ -446,16 +525,16 @@ def score_documents(docs: DataFrame, held_out: Column, chunk_bytes: int = CHUNK_
             own, total = _unpack_words(words), np.frombuffer(zlib.decompress(counts), np.int64).tolist()
             for i, c, k in zip(np.frombuffer(zlib.decompress(at), np.int32).tolist(), zlib.decompress(by), np.frombuffer(zlib.decompress(m), np.int64).tolist(), strict=True):
                 known[own[i] + bytes((c,))] = (total[i], k)
-        keys, words, cls, _ = _distinct_pairs(values, ~held, letters)
+        read, number, words, cls, _ = _distinct(values, letters)
         found = np.array([known[w + bytes((x,))] for w, x in zip(words, cls.tolist(), strict=True)], np.float64).reshape(-1, 2)
         c = found[:, 0]
-        unigram, mixed = np.log10(c + 0.5) - smooth, model.log10(words, cls, c, found[:, 1])
-        cols = np.zeros((4, n))
-        for a, b, _, _, key, doc in _chunk_pairs(values, letters):
-            at = np.searchsorted(keys, key)
-            size = b - a
-            for i, v in enumerate((np.ones(len(key)), (c > 0)[at], unigram[at], mixed[at])):
-                cols[i, a:b] = np.bincount(doc - a, v, size)
+        each = (np.ones(len(c)), (c > 0).astype(float), np.log10(c + 0.5) - smooth, model.log10(words, cls, c, found[:, 1]))
+        cols, base = np.zeros((4, n)), 0
+        for s in read:
+            pair = number[base : base + len(s.key)][s.pair]
+            base += len(s.key)
+            for i, v in enumerate(each):
+                cols[i, s.low : s.high] = np.bincount(s.doc - s.low, v[pair], s.high - s.low)
         size = np.array([len(v or b"") + 1 for v in values])
         return pa.table({"doc_id": left.column("doc_id").cast(pa.int64()), "held_out": pa.array(held), "n_tokens": pa.array(cols[0].astype(np.int64)), "n_known": pa.array(cols[1].astype(np.int64)), "train_tokens": pa.array(np.full(n, N, np.int64)), "base_score": pa.array(cols[2]), "score": pa.array(cols[3]), "bits_per_byte": pa.array(-cols[3] / np.log10(2) / size)})
 
@@ -472,7 +551,7 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], np.ndarray, np
 
 
 #: Occurrences of a pair that one entry of an online batch stands for, and entries in a batch.
-ENTRY, BATCH = 20, 500
+ENTRY, BATCH = 100, 1000
 
 
 def fit(totals: DataFrame, hist: np.ndarray, tokens: int, by_class: np.ndarray, letters: np.ndarray, scratch: Scratch, table_bits: int) -> Model:
@@ -491,8 +570,8 @@ def fit(totals: DataFrame, hist: np.ndarray, tokens: int, by_class: np.ndarray,
             for words, cls, m, _ in _pieces(batch):
                 any_ = True
                 for lo in range(0, len(words), 20_000):
-                    owner, bit, slots = coder.spell(words[lo : lo + 20_000], cls[lo : lo + 20_000])
-                    times = m[lo : lo + 20_000][owner]
+                    byte, bit, slots, of = coder.spell(words[lo : lo + 20_000], cls[lo : lo + 20_000])
+                    times = m[lo : lo + 20_000][of][byte]
                     for k, s in enumerate(slots):
                         table[k].reshape(-1)[:] += np.bincount(s * 2 + bit, times, 2 * slots_n)
         if any_:
@@ -509,9 +588,18 @@ def fit(totals: DataFrame, hist: np.ndarray, tokens: int, by_class: np.ndarray,
     packed = scratch.spark.sparkContext.broadcast(_pack(counts))  # PREDICTORS << (table_bits + 3) bytes, unpacked
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.frombuffer(zlib.decompress(packed.value), np.float32).reshape(PREDICTORS, slots_n, 2)
+        table = np.frombuffer(zlib.decompress(packed.value), np.float32).reshape(PREDICTORS, slots_n, 2)
+        # log-odds and levels as they are without the occurrence that is predicted, for either of its bits
+        without = np.empty((PREDICTORS, slots_n, 2), np.int8)
+        for k in range(PREDICTORS):
+            for b in (0, 1):
+                n0, n1 = np.maximum(table[k, :, 0] - (1 - b), 0), np.maximum(table[k, :, 1] - b, 0)
+                without[k, :, b] = stretch_counts(n0, n1)
+        without = without.reshape(PREDICTORS, -1)
+        seen = np.stack([np.repeat(level(np.maximum(table[k].sum(1) - 1, 0)), 2) for k in (3, 4)])
+        del table
         mixer, t, weight = Mixer.new(), 0, 0.0
-        curve = np.tile(np.eye(PREDICTORS + 1) * 100.0, (LEVELS * LEVELS, 1, 1))
+        curve = np.tile(np.eye(PREDICTORS + 1) * 200.0, (LEVELS * LEVELS, 1, 1))
         won, met = np.full((CLASSES, 2), 3.0), np.full(CLASSES, 10.0)
         for batch in batches:
             for words, cls, m, c in _pieces(batch):
@@ -522,15 +610,12 @@ def fit(totals: DataFrame, hist: np.ndarray, tokens: int, by_class: np.ndarray,
                 order = np.random.default_rng(len(entry)).permutation(len(entry))
                 for lo in range(0, len(entry), BATCH):
                     part, occ = entry[order[lo : lo + BATCH]], share[order[lo : lo + BATCH]]
-                    owner, bit, slots = coder.spell([words[i] for i in part], cls[part])
-                    inputs, levels = [], []
-                    for k, s in enumerate(slots):
-                        n = seen[k][s].copy()
-                        n[np.arange(len(s)), bit] = np.maximum(n[np.arange(len(s)), bit] - 1, 0)
-                        inputs.append(stretch_counts(n[:, 0], n[:, 1]))
-                        levels.append(level(n.sum(1)))
-                    gate = levels[4].astype(np.int64) * LEVELS + levels[3]
-                    p = mixer.learn(gate, inputs, bit.astype(np.float64), occ[owner], curve)
+                    byte, bit, slots, of = coder.spell([words[i] for i in part.tolist()], cls[part])
+                    owner = of[byte]
+                    slots = [s * 2 + bit for s in slots]
+                    by, gate, edge = by_gate(seen, slots)
+                    owner = owner[by]
+                    p = mixer.learn(gate, edge, inputs(without, [s[by] for s in slots]), bit[by].astype(np.float32), occ[owner].astype(np.float32), curve)
                     spelled = np.exp(np.bincount(owner, np.log(p), len(part)))
                     k = cls[part]
                     whole = mixer.whole[k] * np.stack([(c[part] - 1) / max(tokens - 1, 1), (m[part] - 1) / np.maximum(by_class[k] - 1, 1)], 1)
