@@ -1,10 +1,11 @@
-"""Line deduplication by pairwise alignment: documents meet through shared rare lines and are aligned by
+"""Line deduplication by pairwise alignment: documents meet through shared runs of lines and are aligned by
 patience diff; aligned common blocks go from the later document.
 
 A line ends at a line break or at the end of a sentence, for a passage that documents share often runs on within
-their lines. A line is an anchor if few documents hold it or if it is long enough to make a block by itself. Each document
-that holds an anchor meets the anchor's first holder (the smallest doc_id) and no other, so a line costs its
-holders, however many they are, and every anchor line has a pair that can align it.
+their lines. Anchors are the shortest runs of consecutive lines that hold ``min_words`` words, from each line on and up
+to each line, so that every line of a block of that many words lies in an anchor within the block. Each document
+that holds an anchor meets the anchor's first holder (the smallest doc_id) and no other, so an anchor costs its
+holders, however many they are, and every shared block has pairs that hold all of its lines.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, arrow_map, column, need, texts
+from .common import Scratch, _power_tables, arrow_map, column, mix, need, texts
 
 
 _END = re.compile(rb"\n|[.!?] ")
@@ -47,6 +48,38 @@ def line_table(docs: DataFrame) -> DataFrame:
     return arrow_map(need(docs, doc_id="long", text="string").withColumn("fp", F.xxhash64("text")), run, "doc_id long, fp long, hashes array<long>, words array<int>")
 
 
+def runs(hashes: np.ndarray, words: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The shortest runs of ``min_words`` words or more from each line on and up to each line, inside one text.
+
+    ``offsets`` says where each text's lines begin. Gives each run's text, first line, end and hash; a run may come twice.
+    """
+    n = len(hashes)
+    at = np.arange(n)
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    before = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    end = np.maximum(np.searchsorted(before, before[:-1] + min_words), at + 1)
+    start = np.minimum(np.searchsorted(before, before[1:] - min_words, "right") - 1, at)
+    on, upto = end <= offsets[1:][doc], start >= offsets[:-1][doc]
+    # a run that is shortest both ways comes once
+    upto &= ~((start >= 0) & (end[start] == at + 1))
+    doc, start, end = np.concatenate([doc[on], doc[upto]]), np.concatenate([at[on], start[upto]]), np.concatenate([end[on], at[upto] + 1])
+    pw, inv = _power_tables(n + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes.astype(np.uint64)) * pw[:n])])
+    return doc, start, end, mix((total[end] - total[start]) * inv[start] + (end - start).astype(np.uint64)).view(np.int64)
+
+
+def run_table(lines: DataFrame, min_words: int) -> DataFrame:
+    """``doc_id, h``: the hashes of each document's runs, from its lines' hashes and words."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        h, w = column(batch, "hashes"), column(batch, "words")
+        offsets = h.offsets.to_numpy().astype(np.int64)
+        doc, _, _, key = runs(h.flatten().to_numpy(), w.flatten().to_numpy(), offsets - offsets[0], min_words)
+        return {"doc_id": column(batch, "doc_id").take(pa.array(doc)), "h": key}
+
+    return arrow_map(lines.select("doc_id", "hashes", "words"), run, "doc_id long, h long")
+
+
 def patience(a: list, b: list) -> list[tuple[int, int]]:
     """Pairs of equal places, ascending in both: equal ends, then lines unique to both sides in their longest
     increasing run, then the same between them."""
@@ -109,23 +142,28 @@ def common_blocks(a: list, b: list, words: list[int], min_words: int) -> list[in
     return out
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int = 50) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int | None = None) -> DataFrame:
     """Documents with aligned common blocks deleted from all but the first that holds them.
 
     ``docs`` needs ``doc_id`` and ``text``; all its columns are kept, ``text`` without the deleted lines, and
     ``n_lines, n_removed`` are added (a column of such a name is replaced). The smaller doc_id is the earlier
     document. A null text stays null; a row without doc_id or with an empty text is unchanged; rows that share a
-    doc_id are not compared with each other. A line of fewer words that more than ``rare`` documents hold, or of
-    fewer than three, finds no pair by itself. An empty table gives an empty result.
+    doc_id are not compared with each other. With ``rare`` documents meet through single lines alone, those of
+    ``min_words`` words and those of three or more that at most ``rare`` documents hold; without it all blocks find
+    their pairs. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "linededup")
     lines = scratch.write(line_table(docs), "lines")
     named = lines.where("doc_id is not null")
-    flat = named.select("doc_id", F.explode(F.arrays_zip("hashes", "words")).alias("x")).select("doc_id", F.col("x.hashes").alias("h"), F.col("x.words").alias("w")).where("w > 0").distinct()
-    anchors = flat.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"), F.max("w").alias("w"))
-    anchors = anchors.where("first < last").where((F.col("w") >= min_words) | ((F.col("n") <= rare) & (F.col("w") >= 3))).select("h", "first")
-    pairs = flat.join(anchors, "h").where("doc_id > first").select("first", "doc_id").distinct()
+    if rare is None:
+        flat = run_table(named, min_words)
+        anchors = flat.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    else:
+        flat = named.select("doc_id", F.explode(F.arrays_zip("hashes", "words")).alias("x")).select("doc_id", F.col("x.hashes").alias("h"), F.col("x.words").alias("w")).where("w > 0").distinct()
+        anchors = flat.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"), F.max("w").alias("w"))
+        anchors = anchors.where("first < last").where((F.col("w") >= min_words) | ((F.col("n") <= rare) & (F.col("w") >= 3)))
+    pairs = flat.join(anchors.select("h", "first"), "h").where("doc_id > first").select("first", "doc_id").distinct()
     later = named.select("doc_id", "fp", F.col("hashes").alias("b"), F.col("words").alias("w"))
     earlier = named.select(F.col("doc_id").alias("first"), F.col("hashes").alias("a"))
     met = pairs.join(later, "doc_id").join(earlier, "first").select("doc_id", "fp", "a", "b", "w")

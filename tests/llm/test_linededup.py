@@ -94,3 +94,13 @@ def test_repeated_ids_nulls_and_empty(spark):
     assert [r.text for r in got if r.doc_id == 3] == [""]
     assert {r.text for r in got if r.doc_id is None} == {a, None}
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_blocks_of_short_lines_find_their_pairs(spark):
+    rng = random.Random(4)
+    shout = " ".join(line(rng, 1).upper() + "!!" for _ in range(60))
+    rows = [(1, shout), (2, shout), (3, f"{line(rng)}\n{shout}\n{line(rng)}"), (4, "a\n" * 3000), (5, "a\n" * 3000), (6, "b\n" * 7), (7, "b\n" * 7)]
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    own = dict(rows)
+    assert all(got[i] == own[i] for i in (1, 4, 6, 7)) and got[2] == got[5] == ""
+    assert got[3] == own[3].replace(shout + "\n", "")
