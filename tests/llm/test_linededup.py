@@ -104,3 +104,12 @@ def test_blocks_of_short_lines_find_their_pairs(spark):
     own = dict(rows)
     assert all(got[i] == own[i] for i in (1, 4, 6, 7)) and got[2] == got[5] == ""
     assert got[3] == own[3].replace(shout + "\n", "")
+
+
+def test_frequent_passages_go_like_rare_ones(spark):
+    rng = random.Random(5)
+    passage = f"{line(rng, 5)}. {line(rng, 4)}."
+    for n in (10, 120):
+        rows = [(i, f"{line(rng)}\n{passage}\n{line(rng)}") for i in range(n)]
+        got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {i: t if i == 0 else t.replace(passage + "\n", "") for i, t in rows}
