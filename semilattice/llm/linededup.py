@@ -1,5 +1,5 @@
 """Line deduplication by pairwise alignment: documents meet through shared runs of lines and are aligned by
-patience diff; aligned common blocks go from the later document.
+patience diff, and by runs where that leaves lines open; common blocks go from the later document.
 
 A line ends at a line break or at the end of a sentence, for a passage that documents share often runs on within
 their lines. Anchors are the shortest runs of consecutive lines that hold ``min_words`` words, from each line on and up
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, _power_tables, arrow_map, column, mix, need, texts
+from .common import Scratch, _power_tables, arrow_map, column, distinct_sets, mix, need, texts
 
 
 _END = re.compile(rb"\n|[.!?] ")
@@ -69,13 +69,14 @@ def runs(hashes: np.ndarray, words: np.ndarray, offsets: np.ndarray, min_words:
 
 
 def run_table(lines: DataFrame, min_words: int) -> DataFrame:
-    """``doc_id, h``: the hashes of each document's runs, from its lines' hashes and words."""
+    """``doc_id, h``: the hashes of each document's runs, each once, from its lines' hashes and words."""
 
     def run(batch: pa.RecordBatch) -> dict:
         h, w = column(batch, "hashes"), column(batch, "words")
         offsets = h.offsets.to_numpy().astype(np.int64)
         doc, _, _, key = runs(h.flatten().to_numpy(), w.flatten().to_numpy(), offsets - offsets[0], min_words)
-        return {"doc_id": column(batch, "doc_id").take(pa.array(doc)), "h": key}
+        key, begin = distinct_sets(key, doc, batch.num_rows)
+        return {"doc_id": column(batch, "doc_id").take(pa.array(np.repeat(np.arange(batch.num_rows), np.diff(begin)))), "h": key}
 
     return arrow_map(lines.select("doc_id", "hashes", "words"), run, "doc_id long, h long")
 
@@ -128,7 +129,10 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
 
 
 def common_blocks(a: list, b: list, words: list[int], min_words: int) -> list[int]:
-    """The lines of b in blocks that align with consecutive lines of a and hold ``min_words`` words or more."""
+    """The lines of b in blocks that equal consecutive lines of a and hold ``min_words`` words or more.
+
+    What patience diff leaves open, for it takes lines once and in one order, is settled by runs.
+    """
     out: list[int] = []
     block: list[int] = []
     before = (-2, -2)
@@ -139,9 +143,34 @@ def common_blocks(a: list, b: list, words: list[int], min_words: int) -> list[in
             block = []
         block.append(pair[1])
         before = pair
+    if len(out) < len(b) and _open(a, b, words, min_words, set(out)):
+        ids: dict = {}
+        ys = [ids.setdefault(v, len(ids)) for v in b]
+        xs = [ids.get(v, len(ids)) for v in a]
+        size = dict(zip(ys, words, strict=True)) | {len(ids): min_words}
+        _, _, _, held = runs(np.array(xs), np.array([size[x] for x in xs]), np.array([0, len(xs)]), min_words)
+        _, start, end, key = runs(np.array(ys), np.array(words), np.array([0, len(ys)]), min_words)
+        some = np.isin(key, held)
+        step = np.bincount(start[some], minlength=len(b) + 1) - np.bincount(end[some], minlength=len(b) + 1)
+        out = sorted({*out, *np.flatnonzero(np.cumsum(step)).tolist()})
     return out
 
 
+def _open(a: list, b: list, words: list[int], min_words: int, done: set[int]) -> bool:
+    """Whether consecutive lines of b that a holds somewhere have ``min_words`` words and a line that is not done."""
+    known = set(a)
+    total, some = 0, False
+    for j, v in enumerate(b):
+        if v not in known:
+            total, some = 0, False
+            continue
+        total += words[j]
+        some = some or j not in done
+        if some and total >= min_words:
+            return True
+    return False
+
+
 def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int | None = None) -> DataFrame:
     """Documents with aligned common blocks deleted from all but the first that holds them.
 
@@ -158,7 +187,9 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int | None = None) ->
     named = lines.where("doc_id is not null")
     if rare is None:
         flat = run_table(named, min_words)
-        anchors = flat.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+        anchors = flat.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first")
+        # written, so that the join below can deal a frequent run to several tasks
+        anchors = scratch.write(anchors, "anchors")
     else:
         flat = named.select("doc_id", F.explode(F.arrays_zip("hashes", "words")).alias("x")).select("doc_id", F.col("x.hashes").alias("h"), F.col("x.words").alias("w")).where("w > 0").distinct()
         anchors = flat.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"), F.max("w").alias("w"))
@@ -177,6 +208,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int | None = None) ->
     gone = arrow_map(met, align, "doc_id long, fp long, gone array<int>").select("doc_id", "fp", F.explode("gone").alias("line")).distinct()
     gone = scratch.write(gone.groupBy("doc_id", "fp").agg(F.collect_list("line").alias("_gone")).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), "_gone"), "gone")
     scratch.drop(lines)
+    if rare is None:
+        scratch.drop(anchors)
 
     # a doc_id nearly always has one text; the fingerprint tells repeated ones apart
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]

@@ -113,3 +113,39 @@ def test_frequent_passages_go_like_rare_ones(spark):
         rows = [(i, f"{line(rng)}\n{passage}\n{line(rng)}") for i in range(n)]
         got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
         assert got == {i: t if i == 0 else t.replace(passage + "\n", "") for i, t in rows}
+
+
+def brute_all(rows, min_words):
+    """The lines in every run of ``min_words`` words that an earlier document holds too go, by looking at all runs of all documents."""
+    lines = {i: [x.decode() for x in split_lines(t.encode())] for i, t in rows}
+    held, out = set(), {}
+    for i in sorted(lines):
+        own = [x.strip() for x in lines[i]]
+        spans = [(a, b) for a in range(len(own)) for b in range(a + 1, len(own) + 1) if sum(len(x.split()) for x in own[a:b]) >= min_words]
+        gone = {j for a, b in spans if tuple(own[a:b]) in held for j in range(a, b)}
+        held |= {tuple(own[a:b]) for a, b in spans}
+        out[i] = "".join(x for j, x in enumerate(lines[i]) if j not in gone)
+    return out
+
+
+def test_equals_all_runs_of_all_documents(spark):
+    rng = random.Random(8)
+    shared = [line(rng, n) for n in (1, 1, 2, 3, 4, 5, 7, 8, 9, 12)] + [""]
+    rows = []
+    for i in range(120):
+        own = [rng.choice(shared) if rng.random() < 0.8 else line(rng, rng.randint(1, 9)) for _ in range(rng.randint(1, 14))]
+        rows.append((i, "\n".join(own)))
+    for min_words in (8, 3):
+        got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_words).collect()}
+        assert got == brute_all(rows, min_words)
+
+
+def test_repeated_and_crossing_passages_go(spark):
+    rng = random.Random(3)
+    p, q, r, s = (line(rng, 10) for _ in range(4))
+    u = [line(rng) for _ in range(20)]
+    texts = [[u[0], p, u[1], p, u[2]], [u[3], p, u[4]], [u[5], p, u[6], p, u[7]], [u[8], q, u[9], r, u[10], s, u[11]], [u[12], s, u[13], r, u[14], q, u[15]]]
+    rows = [(i, "\n".join(t)) for i, t in enumerate(texts)]
+    got = {x.doc_id: x.text for x in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    left = [texts[0], [u[3], u[4]], [u[5], u[6], u[7]], texts[3], [u[12], u[13], u[14], u[15]]]
+    assert got == {i: "\n".join(t) for i, t in enumerate(left)}
