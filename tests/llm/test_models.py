@@ -180,3 +180,7 @@ def test_lm_edges(spark):
 def test_folds(spark):
     got = spark.range(50).select("id", crc_mod("id", 5).alias("f")).collect()
     assert all(r.f == fold(r.id, 5) for r in got)
+
+
+def test_mixer_meets_frequent_pairs_in_small_steps():
+    assert lm.ENTRY <= 20 and lm.BATCH <= 500
