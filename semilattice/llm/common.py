@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -13,18 +16,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes that one vectorised step works on; temporaries take about 60 times as much.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
+#: Bytes of rows that one Arrow batch brings to Python; a longer text comes alone.
+BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares, from ``spark.checkpoint.dir``; a folder of the session's own where that is unset."""
+    """The folder the cluster shares, from ``spark.checkpoint.dir``.
+
+    Where that is unset a session on one machine gets a folder of its own; on a cluster, whose executors would not
+    see it, this raises.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of Arrow batches in this session, unless it holds a lower bound itself."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    with contextlib.suppress(Exception):  # a session that forbids it keeps its own
+        if int(re.sub(r"\D", "", spark.conf.get(key, "") or "0") or 0) not in range(1, BATCH_BYTES + 1):
+            spark.conf.set(key, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, as a worker stays beside its executor when its task has ended."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Scratch:
     """Tables that cut lineage, written below the shared folder.
 
@@ -58,6 +84,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that ``df`` has none of, in either case of letters."""
+    held, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while (n := f"_{n}").lower() in held:
+            pass
+        held.add(n.lower())
+        out.append(n)
+    return out
+
+
 def need(df: DataFrame, **types: str) -> DataFrame:
     """The named columns alone, cast; a column that clashes with an operator's own names is thus left out."""
     return df.select(*(F.col(f"`{c}`").cast(t).alias(c) for c, t in types.items()))
@@ -65,6 +102,7 @@ def need(df: DataFrame, **types: str) -> DataFrame:
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dict | None], schema: T.StructType | str) -> DataFrame:
     """``fn`` turns each batch into columns (or several such); an operator without shuffle."""
+    bounded_batches(df.sparkSession)
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -77,6 +115,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dic
             got = fn(b)
             for cols in [got] if isinstance(got, dict) else got or ():
                 yield pa.RecordBatch.from_arrays([c if isinstance(c := cols[f.name], pa.Array) else pa.array(c, f.type) for f in out_schema], schema=out_schema)
+        give_back()
 
     return df.mapInArrow(run, schema)
 

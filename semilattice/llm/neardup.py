@@ -2,8 +2,8 @@
 
 A document has ``m`` small collections of ``r`` minhashes each. A table's key combines two collections, so
 ``m*(m-1)/2`` tables of ``2*r`` minhashes each cost ``m*r`` minhashes instead of ``m*(m-1)*r``: about the square
-root. A pair of similarity s shares a table unless fewer than two collections agree: with r=3, m=13 that is a
-chance of 9e-5 at s=0.85 and 1e-5 at 0.88.
+root. A pair of similarity s shares a table unless fewer than two collections agree: with r=2, m=10 that is a
+chance of 7e-5 at s=0.85 and 1e-5 at 0.88; with m=12 1e-4 at 0.8.
 
 Copies (equal sets) collapse to one representative first. In each table's bucket every member meets the smallest
 one. The documents of buckets that this leaves in several components are settled among one another on their sets'
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, arrow_map, column, distinct_sets, list_array, mix, need, steps, texts
+from .common import Scratch, Words, arrow_map, column, distinct_sets, fresh, list_array, mix, need, shuffle_partitions, steps, texts
 
 #: Documents up to which the ids of candidates are broadcast (8 bytes each); beyond it the texts are shuffled.
 BROADCAST_IDS = 1_000_000
@@ -30,7 +30,7 @@ def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
     return x[:n], x[n:] | np.uint64(1)
 
 
-def sketches(docs: DataFrame, collections: int = 13, rows: int = 3, k: int = 5) -> DataFrame:
+def sketches(docs: DataFrame, collections: int = 10, rows: int = 2, k: int = 5) -> DataFrame:
     """``doc_id, n_shingles, h1, h2, bands``: the size of a document's set, a 128-bit hash of it and its collections.
 
     A null or wordless text has an empty set: n_shingles 0 and no bands.
@@ -135,7 +135,7 @@ def _prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
     return cut.where("room > 0").select("doc", "n", "own", F.transform(F.slice("held", 1, F.col("room")), lambda x: x["s"]).alias("prefix"))
 
 
-def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, collections: int = 13, rows: int = 3, k: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, collections: int = 10, rows: int = 2, k: int = 5) -> DataFrame:
     """Classes of documents linked by Jaccard similarity of at least ``num/den`` over distinct k-word shingles.
 
     Returns ``doc_id, n_shingles, component_id, kept``, a row per input row: component_id is the smallest doc_id
@@ -154,7 +154,8 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, collections:
 
     pairs_of = [(i, j) for i in range(collections) for j in range(i + 1, collections)]
     keys = F.array(*(F.xxhash64(F.lit(t), F.col("bands")[i], F.col("bands")[j]) for t, (i, j) in enumerate(pairs_of)))
-    rows_of = reps.select("doc", F.explode(keys).alias("key"))
+    # many rows come from each: dealt out, so that no task makes more than its share
+    rows_of = reps.repartition(shuffle_partitions(spark), "doc").select("doc", F.explode(keys).alias("key"))
     shared = rows_of.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key", "lo")
     buckets = scratch.write(rows_of.join(shared, "key"), "buckets")
 
@@ -226,11 +227,17 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, collections:
 def keep_first(docs: DataFrame, num: int = 80, den: int = 100, **how: int) -> DataFrame:
     """The documents without those that a near duplicate with a smaller doc_id stands for, all columns kept.
 
-    Of rows that share a doc_id one stays; a row without doc_id stays.
+    Of rows that share a doc_id one stays: that with the smallest text, and of equal texts with the smallest JSON of
+    all columns. A row without doc_id stays. A null or wordless text stays. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "kept")
     classes = near_duplicates(docs, num, den, **how)
-    ids = scratch.write(classes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("kept").alias("kept")).where("not kept or rows > 1").select(F.col("doc_id").alias("_id"), "kept"), "special")
-    once = docs.join(ids, docs["doc_id"] == ids["_id"], "left_anti")
-    repeated = docs.join(ids.where("kept"), docs["doc_id"] == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(repeated)
+    id_, rows, kept = fresh(docs, "id", "rows", "kept")
+    ids = classes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias(rows), F.min("kept").alias(kept))
+    ids = scratch.write(ids.where(~F.col(kept) | (F.col(rows) > 1)).select(F.col("doc_id").alias(id_), kept), "special")
+    same = F.col("doc_id").cast("long") == F.col(id_)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = docs.join(ids, same, "left_anti")
+    repeated = docs.join(ids.where(kept), same, "left_semi").groupBy(F.col("doc_id").cast("long"))
+    one = repeated.agg(F.min_by(F.struct(*columns), F.struct(F.col("text").cast("string"), F.to_json(F.struct(*columns)))).alias(kept))
+    return once.unionByName(one.select(*(F.col(kept)[c].alias(c) for c in docs.columns)))
