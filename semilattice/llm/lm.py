@@ -1,644 +1,664 @@
-"""Language-model scores by logistic context mixing over bits.
-
-A text is its words, lower-cased in A-Z, then an end. A word is spelled byte by byte and closed by a space, the end
-is a lone space, and each byte is a path of bits in a Huffman code of the training corpus. Several predictors look
-a bit up under a hash of their context (the last 1, 2, 3, 4 and 6 bytes of the word, all of them, and the last two with
-the class of the text so far) and of the place in the code. The class tells which of a few sorts of text the words
-before it come from, by their letters. Their log-odds are mixed by weights that a gate selects by how
-much the longer contexts have seen, the weights being learned online by gradient steps, and an adaptive table
-refines the mixed probability. Beside the spelling stand two whole-word predictors, the word's own share of the
-corpus and of what follows the class, with weights learned online for each class. Every bit's two probabilities sum to one, and so
-do the shares, so a text's score is a probability.
-
-What depends on the corpus covers all training texts: documents are dealt into chunks of bounded size, each gives
-its distinct words with counts by class, sorted into buckets; buckets sum them, and the context
-tables, of fixed size, are summed from those sums. A word's probability depends on the word and that class alone,
-so each chunk scores its distinct pairs once. While the mixer learns, the occurrence that is predicted is taken out
-of the counts that predict it, as if it had not been seen yet.
+"""Language-model scores by online logistic context mixing over bits.
+
+A text is its words, lower-cased in A-Z, then an end. Every token is a path of bits: words with a code of their own
+(at most ``SHORT``, the most frequent ones), the end and "another word" are the leaves of a Huffman tree over the
+training tokens. Each bit is predicted by four predictors: by the place in the tree alone, by that and the last very
+frequent word before it, by that and the word before it, and by that and the two words before it; the last two look
+up counts under a hash of their context. Their log-odds are mixed by weights that a gate selects by how much the two
+hashed contexts have seen. The weights are learned online, block by block along the stream of training tokens, and
+an adaptive table refines the mixed probability. Another word is either known, and then has its share of such
+tokens, or it is spelled, its bytes being paths of bits predicted under hashes of the last 1, 2, 3 and 4 bytes and of
+all of them, mixed and refined in the same way. Every bit's two probabilities sum to one, so a text's score is a probability.
+
+What is gathered grows with the corpus: tokens are dealt by the word before them to as many buckets as the corpus
+asks for, words without a code by their own hash. A bucket counts its training tokens in tables as large as it needs,
+learns its weights from them and scores all its tokens. While it learns, the token that is predicted is taken out of
+the counts that predict it, as if it had not been seen yet. Very frequent words are dealt out further by the word
+before them. Only the tree, the shares after very frequent words and counts of words with a code are broadcast, all
+of a size that ``SHORT`` bounds. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import heapq
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, Scratch, Words, _power_tables, arrow_map, mix, need, steps, texts
+from .common import Scratch, Words, _power_tables, bounded_batches, give_back, mix, need, steps, texts
 
-#: Text bytes in a chunk on average, classes of what comes before a word, log2 of a context table's slots, tasks that sum tables.
-CHUNK_BYTES, CLASSES, TABLE_BITS, TABLE_TASKS = 12 << 20, 9, 20, 12
-#: Buckets of words at most, and words in one piece of a bucket.
-MAX_BUCKETS, PIECE_WORDS = 4096, 40_000
-#: Training texts (those with the smallest hashes of their ids) that the classes are fitted on.
-CLASS_SAMPLE = 2000
-PREDICTORS = 7
+#: Words with a code of their own at most and their least count; very frequent words that tell the sort of text.
+SHORT, LEAST, FREQUENT = 65_000, 3, 96
+#: Text bytes in a chunk; tokens in a bucket from which buckets grow in number; words without a code likewise.
+CHUNK_BYTES, BUCKET_TOKENS, BUCKET_WORDS = 1 << 20, 1_500_000, 200_000
+#: Buckets of tokens at least, so that small corpora use several cores too.
+LEAST_BUCKETS = 4
+#: Tokens, and bytes that are spelled, in one online step.
+BLOCK, SPELL_BLOCK = 2048, 1 << 13
 LEVELS = 4  # of what a context has seen: nothing, 1-3, 4-30, more
+GATES = LEVELS * LEVELS
 BINS = 33  # of the refining table, over log-odds of -8 .. 8
+SPELLERS = 5
+ODDS = 12
+TOP = 256  # counts from here on weigh alike in a predictor's log-odds
 _U = np.uint64
-_END = 0x20
-
-
-def fit_classes(letters: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Bytes' log-odds in each class, from texts' byte counts: a mixture of multinomials over letters, hard
-    assignments, started from texts that lie far apart."""
-    k = CLASSES - 1
-    used = np.zeros(256, bool)
-    used[[*range(97, 123), *range(128, 256)]] = True
-    x = letters[:, used].astype(np.float64)
-    x = x[x.sum(1) > 0]
-    table = np.zeros((256, k))
-    if not len(x):
-        return table
-    share = np.sqrt(x / x.sum(1, keepdims=True))
-    chosen = [int(x.sum(1).argmax())]
-    far = np.full(len(x), np.inf)
-    for _ in range(k - 1):
-        far = np.minimum(far, ((share - share[chosen[-1]]) ** 2).sum(1))
-        chosen.append(int((far * np.sqrt(x.sum(1))).argmax()))
-    centre = np.log((x[chosen] + 0.5) / (x[chosen] + 0.5).sum(1, keepdims=True))
-    for _ in range(rounds):
-        own = (x @ centre.T).argmax(1)
-        sums = np.stack([x[own == i].sum(0) for i in range(k)]) + 0.5
-        centre = np.log(sums / sums.sum(1, keepdims=True))
-    # whole numbers, so that sums are the same in whatever order texts are read
-    table[used] = np.rint((centre - centre.mean(0)).T * 1024)
-    return table
+_END, _START = _U(1), _U(2)
+_ONE = np.array([1, 1 << 8], np.uint16)
+_ZEROS, _ONES = np.arange(TOP * TOP) % TOP, np.arange(TOP * TOP) // TOP
+_ODDS = np.log((_ONES + 0.4) / (_ZEROS + 0.4)).astype(np.float32)
+_LEVEL = ((_ZEROS + _ONES > 0).astype(np.int8) + (_ZEROS + _ONES > 3) + (_ZEROS + _ONES > 30)).astype(np.int8)
+#: Upper edges of the counts that one bin of the histogram of counts holds: exact to 64, then in eighths of powers of two.
+_EDGES = np.unique(np.concatenate([np.arange(1, 65), np.rint(64 * 2 ** (np.arange(1, 8 * 50) / 8))])).astype(np.int64)
 
 
-@dataclass
-class Step:
-    """Some texts of a chunk: their words' distinct pairs with what comes before, ends included as empty words."""
-
-    low: int  # the first text
-    high: int
-    key: np.ndarray  # of each distinct pair
-    words: list[bytes]
-    classes: np.ndarray
-    hashes: np.ndarray  # of the words
-    pair: np.ndarray  # of each word, then of each end
-    doc: np.ndarray  # of each word, then of each end
-
-
-def read_step(values: list[bytes | None], low: int, high: int, table: np.ndarray) -> Step:
-    """A word's class is the one that the words before it in its text are likeliest to come from (0: none before)."""
-    w = Words(values[low:high])
-    n, texts_n = len(w.start), high - low
-    first, at, word = np.unique(w.hash, return_index=True, return_inverse=True)
-    # letters are looked at once for each distinct word
-    size = (w.end - w.start)[at]
-    begin = np.cumsum(size) - size
-    byte = w.data[np.repeat(w.start[at] - begin, size) + np.arange(int(size.sum()))]
-    evidence = np.add.reduceat(table.astype(np.int32)[byte], begin, axis=0) if len(at) else np.zeros((0, table.shape[1]), np.int32)
-    total = np.zeros((n + 1, table.shape[1]), np.int64)
-    np.cumsum(evidence[word], axis=0, out=total[1:])
-    base, some = total[w.first[:-1]], np.diff(w.first) > 0
-    end = np.where(some, (total[w.first[1:]] - base).argmax(1) + 1, 0)
-    cls = (total[:-1] - np.repeat(base, np.diff(w.first), axis=0)).argmax(1) + 1
-    cls[w.first[:-1][some]] = 0
-    # pairs as small numbers: distinct word and class; an end is one more word
-    code = np.concatenate([word * CLASSES + cls, len(at) * CLASSES + end])
-    held = np.flatnonzero(np.bincount(code, minlength=(len(at) + 1) * CLASSES))
-    names = np.zeros((len(at) + 1) * CLASSES, np.int64)
-    names[held] = np.arange(len(held))
-    hashes = np.append(first, _U(0))
-    data = w.data.tobytes()
-    spelled = [data[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)] + [b""]
-    which = held // CLASSES
-    return Step(low, high, pair_key(hashes[which], held % CLASSES), [spelled[i] for i in which.tolist()], held % CLASSES, hashes[which], names[code], np.concatenate([w.doc, np.arange(texts_n)]) + low)
-
-
-def pair_key(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    return mix(hashes + classes.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
-
-
-def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the 256 bytes: code lengths, nodes on the way and bits (bytes x longest code); deterministic."""
-    heap = [(int(c) + 1, i, i) for i, c in enumerate(counts)]
-    heapq.heapify(heap)
-    kids: dict[int, tuple] = {}
-    n = 256
-    while len(heap) > 1:
-        a, b = heapq.heappop(heap), heapq.heappop(heap)
-        kids[n] = (a[2], b[2])
-        heapq.heappush(heap, (a[0] + b[0], n, n))
-        n += 1
-    paths: dict[int, list[tuple[int, int]]] = {}
-    todo = [(n - 1, [])]
-    while todo:
-        node, path = todo.pop()
-        if node < 256:
-            paths[node] = path
-        else:
-            todo += [(k, [*path, (node - 256, bit)]) for bit, k in enumerate(kids[node])]
-    longest = max(map(len, paths.values()))
-    nodes, bits = np.zeros((256, longest), np.uint64), np.zeros((256, longest), np.uint8)
-    for s, p in paths.items():
-        nodes[s, : len(p)], bits[s, : len(p)] = [x for x, _ in p], [b for _, b in p]
-    return np.array([len(paths[s]) for s in range(256)]), nodes, bits
-
-
-class Coder:
-    """Turns words into bits with a table slot for each predictor."""
-
-    def __init__(self, counts: np.ndarray, table_bits: int = TABLE_BITS) -> None:
-        self.length, nodes, bits = huffman(counts)
-        self.shift = _U(64 - table_bits)
-        # the codes one after the other
-        self.begin = np.cumsum(self.length) - self.length
-        self.flat_nodes = np.concatenate([nodes[b, :n] for b, n in enumerate(self.length)]) + _U(1)
-        self.flat_nodes *= _U(0xC2B2AE3D27D4EB4F)
-        self.flat_bits = np.concatenate([bits[b, :n] for b, n in enumerate(self.length)])
-
-    @staticmethod
-    def powers(n: int) -> np.ndarray:
-        return _power_tables(n)[0][:n]
-
-    @staticmethod
-    def inverse(n: int) -> np.ndarray:
-        return _power_tables(n)[1][:n]
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length after the other, compressed."""
+    raw = b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
-    def spell(self, words: list[bytes], classes: np.ndarray, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-        """The byte that each bit belongs to, the bits, each predictor's slots, and the word of each byte. Bytes are
-        those of all words, a closing space after each; ``skip`` leaves out so many first ones of a word."""
-        joined = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-        size = np.array([len(x) + 1 for x in words])
-        start = np.cumsum(size) - size
-        owner = np.repeat(np.arange(len(words)), size)
-        place = np.arange(len(joined)) - start[owner]
-        wide = np.concatenate([np.zeros(6, np.uint8), joined])
-        h = np.zeros(len(joined), np.uint64)
-        contexts = {}
-        total = np.concatenate([[_U(0)], np.cumsum((joined.astype(np.uint64) + _U(1)) * self.powers(len(joined)))])
-        prefix = mix((total[:-1] - total[start[owner]]) * self.inverse(len(joined))[start[owner]] + place.astype(np.uint64))
-        for k in range(1, 7):
-            byte = wide[6 - k : 6 - k + len(joined)].astype(np.uint64)
-            byte = np.where(place >= k, byte + _U(2), np.where(place == k - 1, _U(1), _U(0)))
-            h = (h + byte) * _U(0x9FB21C651E98DF25)
-            h ^= h >> _U(29)
-            contexts[k] = h
-        with_class = (contexts[2] + (classes[owner].astype(np.uint64) + _U(1)) * _U(0xD6E8FEB86659FD93)) * _U(0x9FB21C651E98DF25)
-        chosen = [contexts[1], contexts[2], contexts[3], contexts[4], contexts[6], prefix, with_class ^ (with_class >> _U(31))]
-        reps = self.length[joined] if skip is None else np.where(place >= skip[owner], self.length[joined], 0)
-        until = np.cumsum(reps)
-        at = np.repeat(self.begin[joined] - (until - reps), reps) + np.arange(int(until[-1]))
-        node = self.flat_nodes[at]
-        slots = []
-        for c in chosen:
-            h = np.repeat(c, reps)
-            h ^= node
-            h *= _U(0x9E3779B97F4A7C15)
-            h >>= self.shift
-            slots.append(h.view(np.int64))
-        return np.repeat(np.arange(len(joined)), reps), self.flat_bits[at], slots, owner
-
-
-#: Log-odds are kept in bytes, in steps of 1/SCALE.
-SCALE = 12
-
-
-def stretch_counts(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(np.log((n1 + 0.4) / (n0 + 0.4)) * SCALE), -127, 127).astype(np.int8)
-
-
-def level(n: np.ndarray) -> np.ndarray:
-    return ((n > 0).astype(np.int8) + (n > 3) + (n > 30)).astype(np.int8)
 
+def unpack(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
 
-@dataclass
-class Mixer:
-    weights: np.ndarray  # gates x (predictors + 1)
-    table: np.ndarray  # gates x bins: the refined probability of a one
-    whole: np.ndarray  # by class: the shares of the two whole-word predictors
-
-    @classmethod
-    def new(cls) -> Mixer:
-        gates = LEVELS * LEVELS
-        centre = 1 / (1 + np.exp(-np.linspace(-8, 8, BINS)))
-        weights = np.full((gates, PREDICTORS + 1), 0.2)
-        weights[:, -1] = 0
-        return cls(weights, np.tile(centre, (gates, 1)), np.full((CLASSES, 2), 0.3))
-
-    def mix(self, x: np.ndarray, edge: np.ndarray) -> np.ndarray:
-        """Log-odds of rows sorted by gate; ``edge``: where each gate's begin."""
-        w = self.weights.astype(np.float32)
-        z = np.empty(len(x), np.float32)
-        for g in range(len(w)):
-            if edge[g] < edge[g + 1]:
-                z[edge[g] : edge[g + 1]] = x[edge[g] : edge[g + 1]] @ w[g]
-        return np.clip(z, -8, 8)
-
-    def refine(self, gate: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The refined probability of a one, and the table's lower bin with the weight of the upper one."""
-        x = (z + 8) * ((BINS - 1) / 16)
-        low = np.minimum(x.astype(np.int64), BINS - 2)
-        part = x - low
-        flat = self.table.reshape(-1)
-        at = gate * BINS + low
-        refined = flat[at] * (1 - part) + flat[at + 1] * part
-        return 0.5 / (1 + np.exp(-z)) + 0.5 * refined, at, part
-
-    def learn(self, gate: np.ndarray, edge: np.ndarray, x: np.ndarray, bit: np.ndarray, times: np.ndarray, curve: np.ndarray) -> np.ndarray:
-        """One online step over rows sorted by gate: weights move along the gradient of the code length, scaled by
-        the curvature met so far (``curve``, gates x weights x weights, which grows), and the table moves towards
-        what came. Returns the probabilities of the bits as they were before."""
-        z = self.mix(x, edge)
-        before, at, part = self.refine(gate, z)
-        gates = LEVELS * LEVELS
-        p = 1 / (1 + np.exp(-z))
-        bend = times * np.maximum(p * (1 - p), np.float32(1e-3))
-        err = times * (bit - p)
-        for g in range(gates):
-            a, b = edge[g], edge[g + 1]
-            if a < b:
-                curve[g] += x[a:b].T @ (x[a:b] * bend[a:b, None])
-                self.weights[g] += np.linalg.solve(curve[g], x[a:b].T @ err[a:b])
-        seen, ones = np.zeros(gates * BINS), np.zeros(gates * BINS)
-        for i, share in ((at, 1 - part), (at + 1, part)):
-            seen += np.bincount(i, share * times, gates * BINS)
-            ones += np.bincount(i, share * times * bit, gates * BINS)
-        flat = self.table.reshape(-1)
-        flat += 0.1 * seen / (seen + 200.0) * (ones / np.maximum(seen, 1e-9) - flat)
-        np.clip(flat, 1e-4, 1 - 1e-4, out=flat)
-        return np.where(bit > 0, before, 1 - before)
 
+def columns_of(blob: bytes, *kinds: type) -> list[np.ndarray]:
+    """The arrays of ``pack``, by their types."""
+    raw, out, at = unpack(blob), [], 0
+    n = len(raw) // sum(np.dtype(k).itemsize for k in kinds)
+    for k in kinds:
+        out.append(np.frombuffer(raw, k, n, at))
+        at += n * np.dtype(k).itemsize
+    return out
 
-def by_gate(seen: np.ndarray, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows in order of their gates, the gates in that order, and where each gate's rows begin."""
-    gate = seen[1][slots[4]] * np.int8(LEVELS) + seen[0][slots[3]]
-    order = np.argsort(gate, kind="stable")
-    sorted_ = gate[order].astype(np.int64)
-    return order, sorted_, np.searchsorted(sorted_, np.arange(LEVELS * LEVELS + 1))
 
+@dataclass
+class Code:
+    """A Huffman code: the paths of all leaves one after the other, and each inner node's counts of zeros and ones."""
+
+    length: np.ndarray
+    begin: np.ndarray
+    nodes: np.ndarray
+    bits: np.ndarray
+    parent: np.ndarray
+    side: np.ndarray
+
+    def counts(self, leaves: np.ndarray) -> np.ndarray:
+        """Inner nodes x 2 counts from leaves' counts, or of many rows of them."""
+        n = len(self.length)
+        total = np.concatenate([leaves, np.zeros((n - 1, *leaves.shape[1:]), leaves.dtype)])
+        out = np.zeros((n - 1, 2, *leaves.shape[1:]), leaves.dtype)
+        for i in range(2 * n - 2):  # a node's children come before it
+            p = self.parent[i]
+            out[p - n, self.side[i]] = total[i]
+            total[p] += total[i]
+        return out
+
+
+def huffman(counts: np.ndarray) -> Code:
+    """The code of leaves with these counts (each counts one more); deterministic."""
+    n = len(counts)
+    heap = [(int(c) + 1, i) for i, c in enumerate(counts)]
+    heapq.heapify(heap)
+    parent, side = np.zeros(2 * n - 1, np.int64), np.zeros(2 * n - 1, np.int8)
+    for new in range(n, 2 * n - 1):
+        (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
+        parent[i], parent[j], side[j] = new, new, 1
+        heapq.heappush(heap, (a + b, new))
+    depth = np.zeros(2 * n - 1, np.int64)
+    for i in range(2 * n - 3, -1, -1):
+        depth[i] = depth[parent[i]] + 1
+    length = depth[:n]
+    begin = np.cumsum(length) - length
+    nodes, bits = np.zeros(int(length.sum()), np.int32), np.zeros(int(length.sum()), np.int8)
+    now, at, todo = np.arange(n), begin + length - 1, length.copy()
+    while (some := np.flatnonzero(todo)).size:
+        i = now[some]
+        nodes[at[some]], bits[at[some]] = parent[i] - n, side[i]
+        now[some], at[some], todo[some] = parent[i], at[some] - 1, todo[some] - 1
+    return Code(length, begin, nodes, bits, parent, side)
+
+
+def paths(code: Code, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For symbols one after the other: the symbol of each bit, the nodes, the bits, and where each symbol's begin."""
+    size = code.length[leaf]
+    start = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(leaf)), size)
+    at = (code.begin[leaf] - start)[owner] + np.arange(len(owner))
+    return owner, code.nodes[at], code.bits[at], start
+
+
+class Table:
+    """Counts of zeros and ones in slots, side by side; once they are complete, as bytes of one number a slot."""
+
+    def __init__(self, shift: np.uint64) -> None:
+        self.n = np.zeros(2 << (64 - int(shift)), np.int32)
+        self.both = np.zeros(0, np.uint16)
+
+    def add(self, slot: np.ndarray, bit: np.ndarray) -> None:
+        np.add.at(self.n, slot * 2 + bit, np.int32(1))
+
+    def close(self) -> None:
+        np.minimum(self.n, TOP - 1, out=self.n)
+        self.both = (self.n[0::2] + (self.n[1::2] << 8)).astype(np.uint16)
+        self.n = np.zeros(0, np.int32)
+
+    def look(self, slot: np.ndarray, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds of a one, and how much the slot has seen, without the ``own`` bits."""
+        both = self.both.take(slot)
+        if own is not None:
+            both -= _ONE.take(own)
+        return _ODDS.take(both), _LEVEL.take(both)
 
-def inputs(stretch: np.ndarray, slots: list[np.ndarray]) -> np.ndarray:
-    """The predictors' log-odds and a constant, a row a bit."""
-    x = np.ones((PREDICTORS + 1, len(slots[0])), np.float32)
-    for k, s in enumerate(slots):
-        np.multiply(stretch[k].take(s), np.float32(1 / SCALE), out=x[k])
-    return x.T
 
+class Mixer:
+    """Mixes predictors' log-odds by weights of a gate, refines the result, and learns both online."""
 
-#: Leading bytes of words that are compared with their neighbours'.
-HEAD = 16
+    def __init__(self, predictors: int) -> None:
+        self.weights = np.full((GATES, predictors + 1), 1.2 / predictors, np.float64)
+        self.weights[:, -1] = 0
+        self.curve = np.full((GATES, predictors + 1), 50.0)  # of the code length, by weight
+        self.steps = 0
+        self.table = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, BINS))), GATES).astype(np.float32)
 
+    def mix(self, gate: np.ndarray, inputs: list[np.ndarray]) -> np.ndarray:
+        w = self.weights.astype(np.float32)
+        z = w[:, -1].take(gate)
+        for k, x in enumerate(inputs):
+            z += w[:, k].take(gate) * x
+        return np.clip(z, -8, 8, out=z)
 
-def leading_bytes(words: list[bytes]) -> np.ndarray:
-    """The first bytes of each word and its closing space, filled up with zeros."""
-    return np.frombuffer(b"".join([w[:HEAD].ljust(HEAD, b"\0") if len(w) >= HEAD else (w + b" ").ljust(HEAD, b"\0") for w in words]), np.uint8).reshape(-1, HEAD)
+    @staticmethod
+    def place(gate: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The refining table's lower bin and the weight of the upper one."""
+        x = (z + np.float32(8)) * np.float32((BINS - 1) / 16)
+        low = np.minimum(x.astype(np.int32), BINS - 2)
+        return gate.astype(np.int32) * np.int32(BINS) + low, x - low.astype(np.float32)
+
+    def learn(self, gate: np.ndarray, inputs: list[np.ndarray], bit: np.ndarray) -> None:
+        """One online step: weights move along the gradient of the code length of a block's bits, over the curvature
+        met lately, and the nearest places of the table move towards what came."""
+        z = self.mix(gate, inputs)
+        p = 1 / (1 + np.exp(-z))
+        err, bend = bit - p, np.maximum(p * (1 - p), np.float32(1e-3))
+        step, wide = np.empty_like(self.weights), gate.astype(np.int64)
+        for k, x in enumerate([*inputs, np.float32(1)]):
+            step[:, k] = np.bincount(wide, err * x, GATES)
+        if self.steps % 4 == 0:  # it changes slowly
+            self.curve *= 0.92
+            for k, x in enumerate([*inputs, np.float32(1)]):
+                self.curve[:, k] += 4 * np.bincount(wide, bend * x * x, GATES)
+        self.steps += 1
+        # so many times the diagonal bounds the whole curvature
+        self.weights += step / (self.weights.shape[1] * self.curve + 1.0)
+        at, part = self.place(gate, z)
+        at += part > 0.5
+        seen, ones = np.bincount(at, minlength=GATES * BINS), np.bincount(at, bit, GATES * BINS)
+        self.table += (0.1 * seen / (seen + 100.0) * (ones / np.maximum(seen, 1) - self.table)).astype(np.float32)
+        np.clip(self.table, 1e-4, 1 - 1e-4, out=self.table)
+
+    def log_bits(self, gate: np.ndarray, inputs: list[np.ndarray], bit: np.ndarray) -> np.ndarray:
+        """ln of the probability of each bit."""
+        z = self.mix(gate, inputs)
+        at, part = self.place(gate, z)
+        low = self.table.take(at)
+        refined = low + part * (self.table.take(at + 1) - low)
+        p = np.float32(0.5) / (1 + np.exp(-z)) + np.float32(0.5) * refined
+        return np.log(np.abs(p - (1 - bit)))
+
+
+def slots(context: np.ndarray, node: np.ndarray, shift: np.uint64) -> np.ndarray:
+    """The slot of a table for each bit's hashed context and node."""
+    h = context ^ (node.astype(np.uint64) + _U(1)) * _U(0xC2B2AE3D27D4EB4F)
+    h *= _U(0x9E3779B97F4A7C15)
+    h >>= shift
+    return h.view(np.int64)
+
+
+def table_shift(entries: int) -> np.uint64:
+    """64 less the bits of a table with room for so many entries."""
+    return _U(64 - max(10, int(entries - 1).bit_length() if entries > 1 else 0))
+
+
+class Stream:
+    """A bucket's tokens: the leaf of each, the words before it as hashed contexts, and the last very frequent word."""
+
+    def __init__(self, code: Code, flat: np.ndarray, after: np.ndarray, leaf: np.ndarray, before: np.ndarray, two: np.ndarray, last: np.ndarray) -> None:
+        self.code, self.flat, self.after = code, flat, after
+        self.leaf, self.last = leaf, last.astype(np.int64)
+        first = mix(before.astype(np.uint64) + _U(0x9E37))
+        self.contexts = [first, mix(first + two.astype(np.uint64) + _U(1))]
+        self.tables: list[Table] = []
+        self.shift = _U(0)
+
+    def block(self, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """For tokens at these places: each bit's node, its slots, the bit, its last very frequent word, and begins."""
+        owner, node, bit, start = paths(self.code, self.leaf[at])
+        return node, [slots(c[at][owner], node, self.shift) for c in self.contexts], bit, self.last[at][owner], start
+
+    def count(self, train: np.ndarray) -> None:
+        """Fills the tables from the training tokens."""
+        self.shift = table_shift(int(self.code.length[self.leaf[train]].sum()) // 2)
+        self.tables = [Table(self.shift) for _ in self.contexts]
+        for lo in range(0, len(train), BLOCK):
+            _, found, bit, _, _ = self.block(train[lo : lo + BLOCK])
+            for t, s in zip(self.tables, found, strict=True):
+                t.add(s, bit)
+        for t in self.tables:
+            t.close()
+
+    def inputs(self, node: np.ndarray, found: list[np.ndarray], last: np.ndarray, own: np.ndarray | None) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Gates and log-odds; ``own`` bits are taken out of the hashed contexts' counts."""
+        (one, seen), (two, often) = (t.look(s, own) for t, s in zip(self.tables, found, strict=True))
+        after = self.after.take(last * len(self.flat) + node) * np.float32(1 / ODDS)
+        return often * np.int8(LEVELS) + seen, [self.flat.take(node), after, one, two]
+
+    def learn(self, train: np.ndarray, mixer: Mixer) -> None:
+        for lo in range(0, len(train), BLOCK):
+            node, found, bit, last, _ = self.block(train[lo : lo + BLOCK])
+            gate, x = self.inputs(node, found, last, bit)
+            mixer.learn(gate, x, bit.astype(np.float32))
+
+    def score(self, mixer: Mixer) -> np.ndarray:
+        """ln of the probability of each token's leaf."""
+        out = np.empty(len(self.leaf))
+        for lo in range(0, len(self.leaf), BLOCK):
+            at = np.arange(lo, min(lo + BLOCK, len(self.leaf)))
+            node, found, bit, last, start = self.block(at)
+            gate, x = self.inputs(node, found, last, None)
+            out[at] = np.add.reduceat(mixer.log_bits(gate, x, bit), start)
+        return out
+
+
+class Speller:
+    """Spells words byte by byte, each closed by a space; learns from distinct words, each once."""
+
+    def __init__(self, words: list[bytes]) -> None:
+        joined = np.frombuffer(b" ".join([*words, b""]), np.uint8)
+        hist = np.bincount(joined, minlength=256)
+        self.code = huffman(hist)
+        self.shift = table_shift(int(self.code.length[joined].sum()) // 4)
+        self.tables = [Table(self.shift) for _ in range(SPELLERS)]
+        self.mixer = Mixer(SPELLERS)
+        blocks = [words[a:b] for a, b in steps(words, SPELL_BLOCK)]
+        for b in blocks:
+            found, bit, _ = self._bits(b)
+            for t, s in zip(self.tables, found, strict=True):
+                t.add(s, bit)
+        for t in self.tables:
+            t.close()
+        for b in blocks:
+            found, bit, _ = self._bits(b)
+            gate, x = self._inputs(found, bit)
+            self.mixer.learn(gate, x, bit.astype(np.float32))
+
+    def _bits(self, words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Each predictor's slots, the bits, and where each word's bits begin."""
+        joined = np.frombuffer(b" ".join([*words, b""]), np.uint8)
+        size = np.array([len(x) + 1 for x in words])
+        begin = np.cumsum(size) - size
+        owner = np.repeat(np.arange(len(words)), size)
+        place = np.arange(len(joined)) - begin[owner]
+        pw, inv = _power_tables(len(joined))
+        total = np.concatenate([[_U(0)], np.cumsum((joined.astype(np.uint64) + _U(1)) * pw[: len(joined)])])
+        held = [mix((total[:-1] - total[begin[owner]]) * inv[: len(joined)][begin[owner]] + place.astype(np.uint64))]
+        wide, h = np.concatenate([np.zeros(4, np.uint8), joined]), np.zeros(len(joined), np.uint64)
+        for k in range(1, 5):
+            byte = wide[4 - k : 4 - k + len(joined)].astype(np.uint64)
+            h = mix(h * _U(3) + np.where(place >= k, byte + _U(2), np.where(place == k - 1, _U(1), _U(0))))
+            held.append(h + _U(k))
+        of, node, bit, start = paths(self.code, joined)
+        return [slots(c[of], node, self.shift) for c in held], bit, start[begin]
+
+    def _inputs(self, found: list[np.ndarray], own: np.ndarray | None) -> tuple[np.ndarray, list[np.ndarray]]:
+        out, seen = zip(*(t.look(s, own) for t, s in zip(self.tables, found, strict=True)), strict=True)
+        return seen[4] * np.int8(LEVELS) + seen[0], list(out)
+
+    def score(self, words: list[bytes]) -> np.ndarray:
+        """ln of the probability of each word's spelling."""
+        out = np.empty(len(words))
+        for a, b in steps(words, SPELL_BLOCK):
+            found, bit, start = self._bits(words[a:b])
+            gate, x = self._inputs(found, None)
+            out[a:b] = np.add.reduceat(self.mixer.log_bits(gate, x, bit), start)
+        return out
+
+
+def join_words(w: Words, at: np.ndarray) -> bytes:
+    """The words at these places, a space after each."""
+    size = w.end[at] - w.start[at] + 1
+    begin = np.cumsum(size) - size
+    out = np.full(int(size.sum()), 0x20, np.uint8)
+    inside = np.arange(len(out)) - np.repeat(begin, size)
+    word = inside < np.repeat(size - 1, size)
+    out[word] = w.data[(np.repeat(w.start[at], size) + inside)[word]]
+    return out.tobytes()
+
+
+CHUNKS = "chunk long, ids array<long>, held binary, bytes binary, n binary, tokens long, stream binary, hashes binary, words binary, learned binary"
+TOTALS = "bucket int, hashes binary, n binary, words long, tokens long, hist array<long>"
+BLOBS = "bucket int, chunk long, payload binary, words binary"
+REPLIES = "chunk long, payload binary"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+
+
+def read_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of texts: per document its id, bytes, tokens; the stream of tokens as numbers of the chunk's distinct
+    words, ends included; those words with their occurrences in training texts."""
+    part, number = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        ids, values = batch.column(batch.schema.get_field_index("doc_id")), texts(batch)
+        held_all = batch.column(batch.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False).astype(bool)
+        for a, b in steps(values, CHUNK_BYTES):
+            w, held = Words(values[a:b]), held_all[a:b]
+            found, at, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+            n = np.diff(w.first) + 1
+            stream = np.full(len(inverse) + (b - a), len(found), np.uint32)
+            stream[np.arange(len(inverse)) + w.doc] = inverse
+            learned = np.bincount(inverse[~held[w.doc]], minlength=len(found)).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([part << 22 | number], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), ids[a:b]),
+                    *(pa.array([x], pa.binary()) for x in (pack(held), pack(np.array([len(v or b"") + 1 for v in values[a:b]], np.int64)), pack(n.astype(np.int64)))),
+                    pa.array([len(stream)], pa.int64()),
+                    *(pa.array([x], pa.binary()) for x in (pack(stream if len(found) > 65535 else stream.astype(np.uint16)), found.tobytes(), pack(np.frombuffer(join_words(w, at), np.uint8)), pack(learned))),
+                ],
+                [c.split()[0] for c in CHUNKS.split(", ")],
+            )
+            number += 1
+    give_back()
+
+
+def cut(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket's share of ascending hashes begins."""
+    return np.concatenate([[0], np.searchsorted(hashes, np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)), [len(hashes)]])
 
 
 @dataclass
-class Model:
-    coder: Coder
-    stretch: np.ndarray  # predictors x slots
-    seen: np.ndarray  # 2 x slots: levels of the gate's two predictors
-    mixer: Mixer
-    tokens: int  # in training texts
-    by_class: np.ndarray  # the same after each class
-    letters: np.ndarray  # bytes' log-odds in each class
-
-    def log10(self, words: list[bytes], classes: np.ndarray, counts: np.ndarray, after: np.ndarray, step: int = 20_000) -> np.ndarray:
-        """log10 of each word's probability after the given class, given its counts after any class and after this one."""
-        spelled = np.empty(len(words))
-        head = leading_bytes(words)
-        order = np.lexsort((head[:, :8].copy().view(">u8")[:, 0], classes))
-        for lo in range(0, len(words), step):
-            part = order[lo : lo + step]
-            spelled[part] = self.spelled([words[i] for i in part.tolist()], classes[part], head[part])
-        share = self.mixer.whole[classes]
-        both = share[:, 0] * counts / max(self.tokens, 1) + share[:, 1] * after / np.maximum(self.by_class[classes], 1) + (1 - share.sum(1)) * np.exp(spelled)
-        return np.log10(np.maximum(both, 1e-300))
-
-    def spelled(self, words: list[bytes], classes: np.ndarray, head: np.ndarray) -> np.ndarray:
-        """ln of the probability of each word's spelling. A beginning that a word shares with the one before it in
-        the list, after the same class, is predicted once."""
-        n = len(words)
-        same = head[1:] == head[:-1]
-        shared = np.zeros(n, np.int64)
-        shared[1:] = np.where(classes[1:] == classes[:-1], np.minimum.accumulate(same, axis=1).sum(1), 0)
-        byte, bit, slots, owner = self.coder.spell(words, classes, shared)
-        gate = self.seen[1].take(slots[4]) * np.int8(LEVELS) + self.seen[0].take(slots[3])
-        w = (self.mixer.weights / np.array([SCALE] * PREDICTORS + [1])).astype(np.float32)
-        z = w[:, PREDICTORS].take(gate)
-        for k, s in enumerate(slots):
-            z += w[:, k].take(gate) * self.stretch[k].take(s)
-        np.clip(z, -8, 8, out=z)
-        p, _, _ = self.mixer.refine(gate.astype(np.int64), z)
-        each = np.bincount(byte, np.log(np.where(bit == 1, p, 1 - p)), len(owner))
-        size = np.bincount(owner, minlength=n)
-        start = np.cumsum(size) - size
-        out = np.bincount(owner, np.where(np.arange(len(owner)) - start[owner] >= HEAD, each, 0.0), n)
-        # what a word shares stands in the last row before it that spelled it
-        rows = np.arange(n)
-        at = np.arange(HEAD)
-        held = np.where(at < size[:, None], each[np.minimum(start[:, None] + at, len(each) - 1)], 0.0)
-        source = np.maximum.accumulate(np.where(at >= shared[:, None], rows[:, None], 0), axis=0)
-        return out + np.where(at < size[:, None], held[source, at], 0.0).sum(1)
-
-
-def _pack(a: np.ndarray) -> bytes:
-    return zlib.compress(a.tobytes(), 1)
-
-
-def _pack_words(words: list[bytes]) -> bytes:
-    return zlib.compress(b" ".join(words), 1)
-
-
-def _unpack_words(blob: bytes) -> list[bytes]:
-    return zlib.decompress(blob).split(b" ")
-
-
-def _values(table: pa.Table, name: str) -> list:
-    return table.column(name).to_pylist()
-
-
-def _text_values(table: pa.Table) -> list[bytes | None]:
-    return table.column("text").cast(pa.large_binary() if pa.types.is_large_string(table.column("text").type) else pa.binary()).to_pylist()
-
-
-def _distinct(values: list[bytes | None], letters: np.ndarray) -> tuple[list[Step], np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-    """A chunk's steps, the chunk's number for each pair of all steps, and the chunk's words, classes and hashes."""
-    read = [read_step(values, a, b, letters) for a, b in steps(values)]
-    if not read:
-        return [], np.zeros(0, np.int64), [], np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    words = [w for s in read for w in s.words]
-    _, at, number = np.unique(np.concatenate([s.key for s in read]), return_index=True, return_inverse=True)
-    return read, number, [words[i] for i in at.tolist()], np.concatenate([s.classes for s in read])[at], np.concatenate([s.hashes for s in read])[at]
-
-
-def _bucket(word: bytes, buckets: int) -> int:
-    return zlib.crc32(word) % buckets
-
-
-def score_documents(docs: DataFrame, held_out: Column, chunk_bytes: int = CHUNK_BYTES, table_bits: int = TABLE_BITS) -> DataFrame:
+class Vocabulary:
+    """Words with a code (ascending hashes) and their leaves and counts, the code, and what follows frequent words."""
+
+    hashes: np.ndarray
+    leaf: np.ndarray
+    counts: np.ndarray  # of leaves: words by frequency, then the end, then another word
+    code: Code
+    tokens: int
+    distinct: int
+    once: int  # words without a code that training texts hold once
+    flat: np.ndarray  # log-odds by node alone
+    after: np.ndarray | None = None  # the same after each very frequent word, in steps of 1/ODDS
+
+    @property
+    def end(self) -> int:
+        return len(self.hashes)
+
+    @property
+    def other(self) -> int:
+        return len(self.hashes) + 1
+
+    def leaves(self, hashes: np.ndarray) -> np.ndarray:
+        """The leaves of a chunk's distinct words, and of the end."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        out = np.full(len(hashes) + 1, self.other, np.int64)
+        if len(self.hashes):
+            out[:-1] = np.where(self.hashes[at] == hashes, self.leaf[at], self.other)
+        out[-1] = self.end
+        return out
+
+
+def last_frequent(leaf: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each token the last very frequent word before it in its text, FREQUENT where there is none."""
+    place = np.maximum.accumulate(np.where(leaf < FREQUENT, np.arange(len(leaf)), -1))
+    place = np.concatenate([[-1], place[:-1]])
+    return np.where(place >= np.repeat(first, n), leaf[place], FREQUENT)
+
+
+class Chunk:
+    """One chunk's tokens, decoded."""
+
+    def __init__(self, row: dict, vocabulary: Vocabulary) -> None:
+        self.hashes = np.frombuffer(row["hashes"], np.uint64)
+        raw = unpack(row["stream"])
+        self.local = np.frombuffer(raw, np.uint16 if len(raw) < 4 * row["tokens"] else np.uint32).astype(np.int64)
+        self.n, self.held = columns_of(row["n"], np.int64)[0], columns_of(row["held"], bool)[0]
+        self.first = np.cumsum(self.n) - self.n
+        self.leaf_of = vocabulary.leaves(self.hashes)
+        self.leaf = self.leaf_of[self.local]
+        self.last = last_frequent(self.leaf, self.first, self.n)
+        self.doc = np.repeat(np.arange(len(self.n)), self.n)
+
+    def before(self, values: np.ndarray, by: int, start: int) -> np.ndarray:
+        """The value of the token ``by`` places before each one in its text."""
+        out = np.full(len(values), start, values.dtype)
+        out[by:] = np.where(self.doc[by:] == self.doc[:-by], values[:-by], values.dtype.type(start))
+        return out
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        yield from b.to_pylist()
+
+
+def score_documents(docs: DataFrame, held_out: Column, short: int = SHORT, bucket_tokens: int = BUCKET_TOKENS, least_buckets: int = LEAST_BUCKETS) -> DataFrame:
     """Scores every whole text, learning from the rows for which ``held_out`` (over doc_id) is false.
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte``, a row per
     input row. A null text has its end for its only token. A row without doc_id is held out. Repeated rows count
     and are scored each; an empty table gives an empty result; other columns are not read. With nothing to learn
     from, every bit has probability a half. base_score is the smoothed unigram one; bits_per_byte is that of
-    ``score`` over the text's bytes and one for its end.
+    ``score`` over the text's bytes and one for its end. A word may be of any length.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     scratch = Scratch(spark, "lm")
     base = need(docs, doc_id="long", text="string").withColumn("held_out", F.coalesce(held_out, F.lit(True)))
-    total = base.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1), F.sum(F.when(~F.col("held_out"), 1).otherwise(0))).first()
-    chunks = max(1, -(-int(total[0] or 0) // chunk_bytes))
-    buckets = min(MAX_BUCKETS, max(4, chunks))
-    chunked = base.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
-
-    def spectrum(batch: pa.RecordBatch) -> dict:
-        return {"counts": [np.bincount(_LOWER[np.frombuffer(v or b"", np.uint8)], minlength=256).astype(np.int32) for v in texts(batch)]}
-
-    learners = base.where("not held_out")
-    few = learners.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CLASS_SAMPLE).withColumnRenamed("doc_id", "_id")
-    spectra = arrow_map(learners.join(F.broadcast(few.distinct()), F.col("doc_id") == F.col("_id"), "left_semi").select("text"), spectrum, "counts array<int>")
-    spectra_rows = sorted(tuple(r.counts) for r in spectra.collect())
-    letters = fit_classes(np.array(spectra_rows, np.int64).reshape(-1, 256))
-
-    def gather(table: pa.Table) -> pa.Table:
-        """A chunk's distinct words by bucket, with counts by class."""
-        train = ~np.array(_values(table, "held_out"), bool)
-        read, number, words, cls, hashes = _distinct(_text_values(table), letters)
-        n, base = np.zeros(len(words)), 0
-        for s in read:
-            n += np.bincount(number[base : base + len(s.key)], np.bincount(s.pair, train[s.doc].astype(float), len(s.key)), len(words))
-            base += len(s.key)
-        where = np.array([_bucket(w, buckets) for w in words], np.int64)
-        order = np.lexsort((hashes, where))  # equal words side by side
-        edge = np.searchsorted(where[order], np.arange(buckets + 1))
-        out: dict[str, list] = {c: [] for c in ("bucket", "chunk", "words", "at", "cls", "n")}
-        for b in range(buckets):
-            part = order[edge[b] : edge[b + 1]]
-            if not len(part):
-                continue
-            own: list[bytes] = []
-            at = []
-            for i in part.tolist():
-                if not own or own[-1] != words[i]:
-                    own.append(words[i])
-                at.append(len(own) - 1)
-            for c, v in (("bucket", b), ("chunk", table.column("chunk")[0].as_py()), ("words", _pack_words(own)), ("at", _pack(np.array(at, np.int32))), ("cls", _pack(cls[part].astype(np.uint8))), ("n", _pack(n[part].astype(np.int64)))):
-                out[c].append(v)
-        return pa.table({"bucket": pa.array(out["bucket"], pa.int32()), "chunk": pa.array(out["chunk"], pa.int64()), **{c: pa.array(out[c], pa.binary()) for c in ("words", "at", "cls", "n")}})
-
-    blob_schema = "bucket int, chunk long, words binary, at binary, cls binary, n binary"
-    blobs = scratch.write(chunked.groupBy("chunk").applyInArrow(gather, blob_schema), "blobs", "none")
-
-    def total_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums a bucket's blobs as they stream past; holds one bucket's distinct words."""
-        counts: dict[bytes, int] = {}
-        pairs: dict[bytes, int] = {}
-        now: int | None = None
-
-        def pieces() -> Iterator[pa.RecordBatch]:
-            known = sorted(w for w, c in counts.items() if c)
-            where = {}
-            for lo in range(0, len(known), PIECE_WORDS):
-                where |= {w: (lo // PIECE_WORDS, i) for i, w in enumerate(known[lo : lo + PIECE_WORDS])}
-            split: dict[int, list] = {}
-            for key in sorted(pairs):
-                if pairs[key]:
-                    p, i = where[key[:-1]]
-                    split.setdefault(p, []).append((i, key[-1], pairs[key]))
-            for p, rows in split.items():
-                words = known[p * PIECE_WORDS : (p + 1) * PIECE_WORDS]
-                n = np.array([counts[w] for w in words], np.int64)
-                spelled = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-                hist = np.bincount(spelled, np.repeat(n, [len(w) + 1 for w in words]), 256).astype(np.int64)
-                at, cls, m = (np.array(x) for x in zip(*rows, strict=True))
-                yield pa.RecordBatch.from_pydict({"bucket": [now], "words": [_pack_words(words)], "n": [_pack(n)], "at": [_pack(at.astype(np.int32))], "cls": [_pack(cls.astype(np.uint8))], "m": [_pack(m.astype(np.int64))], "distinct": [len(words)], "tokens": [int(n.sum())], "hist": [hist.tolist()], "by_class": [np.bincount(cls, m, CLASSES).astype(np.int64).tolist()]}, schema=total_arrow)
-
-        for batch in batches:
-            for bucket, words, at, cls, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "words", "at", "cls", "n")), strict=True):
-                if now is not None and bucket != now:
-                    yield from pieces()
-                    counts.clear()
-                    pairs.clear()
-                now = bucket
-                own = _unpack_words(words)
-                i, c, k = np.frombuffer(zlib.decompress(at), np.int32).tolist(), zlib.decompress(cls), np.frombuffer(zlib.decompress(n), np.int64).tolist()
-                for x, y, z in zip(i, c, k, strict=True):
-                    if z:
-                        w = own[x]
-                        counts[w] = counts.get(w, 0) + z
-                        key = w + bytes((y,))
-                        pairs[key] = pairs.get(key, 0) + z
-        if now is not None:
-            yield from pieces()
-
-    total_arrow = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("n", pa.binary()), ("at", pa.binary()), ("cls", pa.binary()), ("m", pa.binary()), ("distinct", pa.int64()), ("tokens", pa.int64()), ("hist", pa.list_(pa.int64())), ("by_class", pa.list_(pa.int64()))])
-    totals = blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(total_up, "bucket int, words binary, n binary, at binary, cls binary, m binary, distinct long, tokens long, hist array<long>, by_class array<long>")
-    totals = scratch.write(totals, "totals", "none")
-    sums = totals.agg(F.sum("distinct"), F.sum("tokens")).first()
-    V, N = int(sums[0] or 0), int(sums[1] or 0)
-    hist = np.zeros(256)
-    for r in totals.select(F.posexplode("hist").alias("byte", "n")).groupBy("byte").agg(F.sum("n").alias("n")).collect():
-        hist[r.byte] = r.n
-
-    by_class = np.zeros(CLASSES)
-    for r in totals.select(F.posexplode("by_class").alias("c", "n")).groupBy("c").agg(F.sum("n").alias("n")).collect():
-        by_class[r.c] = r.n
-
-    model = fit(totals, hist, N, by_class, letters, scratch, table_bits)
-
-    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A bucket's totals come first; each of its blobs then gets the counts of its words and pairs."""
-        counts: dict[bytes, int] = {}
-        pairs: dict[bytes, int] = {}
-        now = None
-        for batch in batches:
-            rows = []
-            for bucket, kind, chunk, words, at, cls, n, m in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "chunk", "words", "at", "cls", "n", "m")), strict=True):
-                if bucket != now:
-                    counts.clear()
-                    pairs.clear()
-                    now = bucket
-                own = _unpack_words(words)
-                keys = [own[i] + bytes((c,)) for i, c in zip(np.frombuffer(zlib.decompress(at), np.int32).tolist(), zlib.decompress(cls), strict=True)]
-                if kind == 0:
-                    counts.update(zip(own, np.frombuffer(zlib.decompress(n), np.int64).tolist(), strict=True))
-                    pairs.update(zip(keys, np.frombuffer(zlib.decompress(m), np.int64).tolist(), strict=True))
-                else:
-                    rows.append((chunk, words, _pack(np.array([counts.get(w, 0) for w in own], np.int64)), at, cls, _pack(np.array([pairs.get(k, 0) for k in keys], np.int64))))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int64()) for i in range(6)], ["chunk", "words", "n", "at", "cls", "m"])
-
-    none = F.lit(None).cast("binary")
-    asked = totals.select("bucket", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("chunk"), "words", "at", "cls", "n", "m").unionByName(blobs.select("bucket", F.lit(1).alias("kind"), "chunk", "words", "at", "cls", none.alias("n"), none.alias("m")))
-    answered = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(reply, "chunk long, words binary, n binary, at binary, cls binary, m binary")
-
-    smooth = np.log10(N + 0.5 * (V + 1))
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        values = _text_values(left)
-        held = np.array(_values(left, "held_out"), bool)
-        n = len(values)
-        known: dict[bytes, tuple[int, int]] = {}
-        for words, counts, at, by, m in zip(*(_values(right, x) for x in ("words", "n", "at", "cls", "m")), strict=True):
-            own, total = _unpack_words(words), np.frombuffer(zlib.decompress(counts), np.int64).tolist()
-            for i, c, k in zip(np.frombuffer(zlib.decompress(at), np.int32).tolist(), zlib.decompress(by), np.frombuffer(zlib.decompress(m), np.int64).tolist(), strict=True):
-                known[own[i] + bytes((c,))] = (total[i], k)
-        read, number, words, cls, _ = _distinct(values, letters)
-        found = np.array([known[w + bytes((x,))] for w, x in zip(words, cls.tolist(), strict=True)], np.float64).reshape(-1, 2)
-        c = found[:, 0]
-        each = (np.ones(len(c)), (c > 0).astype(float), np.log10(c + 0.5) - smooth, model.log10(words, cls, c, found[:, 1]))
-        cols, base = np.zeros((4, n)), 0
-        for s in read:
-            pair = number[base : base + len(s.key)][s.pair]
-            base += len(s.key)
-            for i, v in enumerate(each):
-                cols[i, s.low : s.high] = np.bincount(s.doc - s.low, v[pair], s.high - s.low)
-        size = np.array([len(v or b"") + 1 for v in values])
-        return pa.table({"doc_id": left.column("doc_id").cast(pa.int64()), "held_out": pa.array(held), "n_tokens": pa.array(cols[0].astype(np.int64)), "n_known": pa.array(cols[1].astype(np.int64)), "train_tokens": pa.array(np.full(n, N, np.int64)), "base_score": pa.array(cols[2]), "score": pa.array(cols[3]), "bits_per_byte": pa.array(-cols[3] / np.log10(2) / size)})
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return chunked.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(score, schema)
-
-
-def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
-    """A piece's pairs: words, classes, occurrences, and the words' occurrences after any class."""
-    for words, n, at, cls, m in zip(*(batch.column(c).to_pylist() for c in ("words", "n", "at", "cls", "m")), strict=True):
-        own = _unpack_words(words)
-        i = np.frombuffer(zlib.decompress(at), np.int32)
-        yield [own[x] for x in i.tolist()], np.frombuffer(zlib.decompress(cls), np.uint8).astype(np.int64), np.frombuffer(zlib.decompress(m), np.int64), np.frombuffer(zlib.decompress(n), np.int64)[i]
-
-
-#: Occurrences of a pair that one entry of an online batch stands for, and entries in a batch.
-ENTRY, BATCH = 20, 500
-
-
-def fit(totals: DataFrame, hist: np.ndarray, tokens: int, by_class: np.ndarray, letters: np.ndarray, scratch: Scratch, table_bits: int) -> Model:
-    """Sums the context tables over all pairs, then learns the mixer over all pairs, tasks averaged.
-
-    The driver receives tables of a size that ``table_bits`` fixes and one mixer a task.
+    chunks = scratch.write(base.mapInArrow(read_chunks, CHUNKS), "chunks", "none")
+    tokens = int(chunks.agg(F.sum("tokens")).first()[0] or 0)
+    vocabulary = gather(chunks, base, tokens, scratch, short)
+    vocabulary.after = follow(chunks, vocabulary)
+    model = spark.sparkContext.broadcast(vocabulary)  # of a size that SHORT and FREQUENT bound
+    N, V = vocabulary.tokens, vocabulary.distinct
+    rare_tokens = int(vocabulary.counts[-1])
+    token_buckets = max(least_buckets, -(-tokens // bucket_tokens))
+    # a word that more than an eighth of a bucket follows is dealt out by the word before it too
+    hot = max(1, -(-tokens // token_buckets) // 8)
+    word_buckets = max(1, -(-V // BUCKET_WORDS))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v: Vocabulary = model.value
+        share = np.append(v.counts[:-1] // hot, 0) + 1
+        for row in rows_of(batches):
+            c = Chunk(row, v)
+            name = mix(np.append(c.hashes, _END))[c.local]
+            first, second = c.before(name, 1, int(_START)), c.before(name, 2, int(_START))
+            # a text's first token, with nothing before, goes by the text's number
+            salt = np.where(first == _START, c.doc.astype(np.uint64), second) % c.before(share[c.leaf], 1, int(share[v.end])).astype(np.uint64)
+            to = ((mix(first + salt) >> _U(32)) * _U(token_buckets) >> _U(32)).astype(np.int64)
+            order = np.argsort(to.astype(np.uint16) if token_buckets < 65536 else to, kind="stable")
+            edge = np.searchsorted(to[order], np.arange(token_buckets + 1))
+            train = ~c.held[c.doc]
+            kinds = (np.uint32, np.uint32, np.uint16, np.uint16, np.uint8)
+            held = [x[order].astype(k) for x, k in zip((c.doc, first & _U(0xFFFFFF), second & _U(0xFFFF), c.leaf, c.last | (train << 7)), kinds, strict=True)]
+            out: list[tuple] = []
+            for i in np.flatnonzero(np.diff(edge)).tolist():
+                out.append((i, pack(*(x[edge[i] : edge[i + 1]] for x in held)), None))
+            # words without a code go by their own hash, which ascends
+            rare = np.flatnonzero(c.leaf_of[:-1] == v.other)
+            if len(rare):
+                number = np.full(len(c.hashes) + 1, -1, np.int64)
+                number[rare] = np.arange(len(rare))
+                mine = np.flatnonzero(c.leaf == v.other)
+                which, times = np.unique(number[c.local[mine]] * len(c.n) + c.doc[mine], return_counts=True)
+                word, doc = np.divmod(which, len(c.n))
+                spelled = unpack(row["words"]).split(b" ")
+                own, limits = c.hashes[rare], cut(c.hashes[rare], word_buckets)
+                for i in np.flatnonzero(np.diff(limits)).tolist():
+                    a, b = limits[i], limits[i + 1]
+                    x, y = np.searchsorted(word, [a, b])
+                    entry = pack((word[x:y] - a).astype(np.uint32), doc[x:y].astype(np.uint32), times[x:y].astype(np.uint32), c.held[doc[x:y]])
+                    words = b" ".join([spelled[j] for j in rare[a:b].tolist()])
+                    out.append((token_buckets + i, entry, pack(np.frombuffer(own[a:b].tobytes() + words, np.uint8)) + (b - a).item().to_bytes(8, "little")))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([row["chunk"]] * len(out), pa.int64()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], ["bucket", "chunk", "payload", "words"])
+        give_back()
+
+    smooth = float(np.log10(N + 0.5 * (V + 1)))
+    # whether another word is known: by how many of such training tokens would still be without their own occurrence
+    known_share = (rare_tokens - vocabulary.once + 0.5) / (rare_tokens + 1)
+
+    def reply(chunk: list[int], edge: np.ndarray, doc: np.ndarray, score: np.ndarray, base_: np.ndarray, known: np.ndarray) -> pa.Table:
+        """What a bucket adds to each document of each chunk, from tokens that stand chunk by chunk."""
+        blobs = []
+        for i in range(len(chunk)):
+            part = slice(edge[i], edge[i + 1])
+            some, at = np.unique(doc[part], return_inverse=True)
+            blobs.append(pack(some.astype(np.uint32), *(np.bincount(at, x[part], len(some)) for x in (score, base_, known))))
+        return pa.table({"chunk": pa.array(chunk, pa.int64()), "payload": pa.array(blobs, pa.binary())})
+
+    def score_bucket(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk")
+        chunk, payload = table.column("chunk").to_pylist(), table.column("payload").to_pylist()
+        v: Vocabulary = model.value
+        if table.column("bucket")[0].as_py() < token_buckets:
+            read = [columns_of(x, np.uint32, np.uint32, np.uint16, np.uint16, np.uint8) for x in payload]
+            doc, first, second, leaf, last = (np.concatenate(x) for x in zip(*read, strict=True))
+            edge = np.concatenate([[0], np.cumsum([len(x[0]) for x in read])])
+            stream = Stream(v.code, v.flat, v.after, leaf.astype(np.int64), first, second, last & 127)
+            train = np.flatnonzero(last >> 7)
+            mixer = Mixer(4)
+            stream.count(train)
+            stream.learn(train, mixer)
+            score = stream.score(mixer) / np.log(10)
+            plain = np.log10(v.counts + 0.5) - smooth
+            plain[-1] = 0
+            return reply(chunk, edge, doc, score, plain[leaf], (v.counts * (np.arange(len(v.counts)) != v.other) > 0).astype(float)[leaf])
+        read = [columns_of(x, np.uint32, np.uint32, np.uint32, bool) for x in payload]
+        hashes, words = [], []
+        for x in table.column("words").to_pylist():
+            n, raw = int.from_bytes(x[-8:], "little"), unpack(x[:-8])
+            hashes.append(np.frombuffer(raw, np.uint64, n))
+            words += raw[8 * n :].split(b" ")
+        start = np.concatenate([[0], np.cumsum([len(h) for h in hashes])])
+        _, at, number = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        entry = number[np.concatenate([x[0] + s for x, s in zip(read, start[:-1], strict=True)])]
+        doc, times, held = (np.concatenate([x[i] for x in read]) for i in (1, 2, 3))
+        count = np.bincount(entry, times * ~held, len(at))
+        spelled = [words[i] for i in at.tolist()]
+        new = np.flatnonzero(count == 0)
+        speller = Speller([w for w, n in zip(spelled, count.tolist(), strict=True) if n > 0])
+        each = np.log10(np.maximum(count, 1) / max(rare_tokens, 1)) + np.log10(known_share)
+        if len(new):
+            each[new] = np.log10(1 - known_share) + speller.score([spelled[i] for i in new.tolist()]) / np.log(10)
+        edge = np.concatenate([[0], np.cumsum([len(x[0]) for x in read])])
+        give_back()
+        return reply(chunk, edge, doc, each[entry] * times, (np.log10(count + 0.5) - smooth)[entry] * times, (count > 0)[entry] * times)
+
+    def settle(left: pa.Table, right: pa.Table) -> pa.Table:
+        """A chunk's documents with the sums of what all buckets added."""
+        if not left.num_rows:
+            return pa.table({f.split()[0]: pa.array([], t) for f, t in zip(SCORES.split(", "), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)})
+        row = left.to_pylist()[0]
+        held, size, n = columns_of(row["held"], bool)[0], columns_of(row["bytes"], np.int64)[0], columns_of(row["n"], np.int64)[0]
+        sums = np.zeros((3, len(n)))
+        # in one order, so that sums are the same in every run
+        for blob in sorted(right.column("payload").to_pylist()):
+            doc, *parts = columns_of(blob, np.uint32, np.float64, np.float64, np.float64)
+            for s, x in zip(sums, parts, strict=True):
+                s[doc] += x
+        return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "held_out": pa.array(held), "n_tokens": pa.array(n), "n_known": pa.array(np.rint(sums[2]).astype(np.int64)), "train_tokens": pa.array(np.full(len(n), N, np.int64)), "base_score": pa.array(sums[1]), "score": pa.array(sums[0]), "bits_per_byte": pa.array(-sums[0] / np.log10(2) / size)})
+
+    dealt = chunks.select("chunk", "held", "n", "tokens", "stream", "hashes", "words").mapInArrow(deal, BLOBS)
+    replies = dealt.groupBy("bucket").applyInArrow(score_bucket, REPLIES)
+    return chunks.select("chunk", "ids", "held", "bytes", "n").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(settle, SCORES)
+
+
+def odds(code: Code, counts: np.ndarray) -> np.ndarray:
+    """Log-odds of a one at each node, from counts of leaves."""
+    n = code.counts(counts)
+    return np.log((n[:, 1] + 0.4) / (n[:, 0] + 0.4)).astype(np.float32)
+
+
+def gather(chunks: DataFrame, base: DataFrame, tokens: int, scratch: Scratch, short: int) -> Vocabulary:
+    """Counts all words of training texts, and gives a code to the most frequent ones.
+
+    The driver receives a histogram of counts and at most ``short`` words.
     """
-    coder = Coder(hist, table_bits)
-    slots_n = 1 << table_bits
-    few = totals.select("words", "n", "at", "cls", "m").coalesce(TABLE_TASKS)
+    buckets = max(12, -(-tokens // 5_000_000))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            n = columns_of(row["learned"], np.uint32)[0]
+            hashes = np.frombuffer(row["hashes"], np.uint64)[n > 0]
+            n = n[n > 0]
+            edge = cut(hashes, buckets)
+            some = np.flatnonzero(np.diff(edge)).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([hashes[edge[i] : edge[i + 1]].tobytes() for i in some], pa.binary()), pa.array([pack(n[edge[i] : edge[i + 1]]) for i in some], pa.binary())], ["bucket", "hashes", "n"])
+        give_back()
+
+    def add(table: pa.Table) -> pa.Table:
+        found, at = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([columns_of(x, np.uint32)[0] for x in table.column("n").to_pylist()]), len(found)).astype(np.int64)
+        hist = np.bincount(np.searchsorted(_EDGES, n), minlength=len(_EDGES))
+        give_back()
+        return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), "hashes": pa.array([found.tobytes()], pa.binary()), "n": pa.array([pack(n)], pa.binary()), "words": pa.array([len(found)], pa.int64()), "tokens": pa.array([int(n.sum())], pa.int64()), "hist": pa.array([hist.tolist()], pa.list_(pa.int64()))})
+
+    parts = chunks.select("hashes", "learned").mapInArrow(deal, "bucket int, hashes binary, n binary")
+    totals = scratch.write(parts.groupBy("bucket").applyInArrow(add, TOTALS), "totals", "none")
+    sums = totals.agg(F.sum("words"), F.sum("tokens")).first()
+    ends = base.where("not held_out").count()
+    hist = np.zeros(len(_EDGES), np.int64)
+    for r in totals.select(F.posexplode("hist").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        hist[r.bin] = r.n
+    # the lowest bin from which on all words have room
+    above = np.concatenate([np.cumsum(hist[::-1])[::-1], [0]])
+    floor = int(_EDGES[max(LEAST - 1, int(np.argmax(above <= min(short, SHORT)))) - 1]) + 1
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            n = columns_of(row["n"], np.int64)[0]
+            some = n >= floor
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["hashes"], np.uint64)[some].view(np.int64)), pa.array(n[some])], ["hash", "n"])
+
+    got = totals.select("hashes", "n").mapInArrow(frequent, "hash long, n long").toArrow()
+    hashes = got.column("hash").to_numpy().astype(np.int64).view(np.uint64)
+    n = got.column("n").to_numpy().astype(np.int64)
+    order = np.lexsort((hashes, -n))  # leaves go by frequency
+    total = int(sums[1] or 0) + ends
+    counts = np.concatenate([n[order], [ends], [total - ends - int(n.sum())]]).astype(np.int64)
+    leaf = np.argsort(hashes[order], kind="stable")
+    scratch.drop(totals)
+    code = huffman(counts)
+    return Vocabulary(hashes[order][leaf], leaf.astype(np.int64), counts, code, total, int(sums[0] or 0) + (ends > 0), int(hist[0]), odds(code, counts))
+
+
+def follow(chunks: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+    """Log-odds of nodes after each very frequent word, from all training tokens: one matrix a task, summed by rows."""
+    v = chunks.sparkSession.sparkContext.broadcast(vocabulary)
+    leaves = len(vocabulary.counts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((PREDICTORS, slots_n, 2))
-        any_ = False
-        for batch in batches:
-            for words, cls, m, _ in _pieces(batch):
-                any_ = True
-                for lo in range(0, len(words), 20_000):
-                    byte, bit, slots, of = coder.spell(words[lo : lo + 20_000], cls[lo : lo + 20_000])
-                    times = m[lo : lo + 20_000][of][byte]
-                    for k, s in enumerate(slots):
-                        table[k].reshape(-1)[:] += np.bincount(s * 2 + bit, times, 2 * slots_n)
-        if any_:
-            for k in range(PREDICTORS):
-                yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "counts": pa.array([_pack(table[k].astype(np.float32))], pa.binary())})
+        table, some = np.zeros((FREQUENT + 1) * leaves, np.int32), False
+        for row in rows_of(batches):
+            c, some = Chunk(row, v.value), True
+            train = ~c.held[c.doc]
+            np.add.at(table, c.last[train] * leaves + c.leaf[train], 1)
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(FREQUENT + 1, dtype=np.int32)), pa.array([pack(x) for x in table.reshape(FREQUENT + 1, -1)], pa.binary())], ["word", "n"])
+        give_back()
 
     def add(table: pa.Table) -> pa.Table:
-        out = sum(np.frombuffer(zlib.decompress(b), np.float32).astype(np.float64) for b in _values(table, "counts"))
-        return pa.table({"k": pa.array([table.column("k")[0].as_py()], pa.int32()), "counts": pa.array([_pack(out.astype(np.float32))], pa.binary())})
-
-    counts = np.zeros((PREDICTORS, slots_n, 2), np.float32)
-    for r in few.mapInArrow(count, "k int, counts binary").groupBy("k").applyInArrow(add, "k int, counts binary").toLocalIterator():
-        counts[r.k] = np.frombuffer(zlib.decompress(r.counts), np.float32).reshape(-1, 2)
-    packed = scratch.spark.sparkContext.broadcast(_pack(counts))  # PREDICTORS << (table_bits + 3) bytes, unpacked
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(zlib.decompress(packed.value), np.float32).reshape(PREDICTORS, slots_n, 2)
-        # log-odds and levels as they are without the occurrence that is predicted, for either of its bits
-        without = np.empty((PREDICTORS, slots_n, 2), np.int8)
-        for k in range(PREDICTORS):
-            for b in (0, 1):
-                n0, n1 = np.maximum(table[k, :, 0] - (1 - b), 0), np.maximum(table[k, :, 1] - b, 0)
-                without[k, :, b] = stretch_counts(n0, n1)
-        without = without.reshape(PREDICTORS, -1)
-        seen = np.stack([np.repeat(level(np.maximum(table[k].sum(1) - 1, 0)), 2) for k in (3, 4)])
-        del table
-        mixer, t, weight = Mixer.new(), 0, 0.0
-        curve = np.tile(np.eye(PREDICTORS + 1) * 200.0, (LEVELS * LEVELS, 1, 1))
-        won, met = np.full((CLASSES, 2), 3.0), np.full(CLASSES, 10.0)
-        for batch in batches:
-            for words, cls, m, c in _pieces(batch):
-                # a frequent pair is met many times, in between the others
-                reps = -(-m // ENTRY)
-                entry = np.repeat(np.arange(len(words)), reps)
-                share = np.repeat(m / reps, reps)
-                order = np.random.default_rng(len(entry)).permutation(len(entry))
-                for lo in range(0, len(entry), BATCH):
-                    part, occ = entry[order[lo : lo + BATCH]], share[order[lo : lo + BATCH]]
-                    byte, bit, slots, of = coder.spell([words[i] for i in part.tolist()], cls[part])
-                    owner = of[byte]
-                    slots = [s * 2 + bit for s in slots]
-                    by, gate, edge = by_gate(seen, slots)
-                    owner = owner[by]
-                    p = mixer.learn(gate, edge, inputs(without, [s[by] for s in slots]), bit[by].astype(np.float32), occ[owner].astype(np.float32), curve)
-                    spelled = np.exp(np.bincount(owner, np.log(p), len(part)))
-                    k = cls[part]
-                    whole = mixer.whole[k] * np.stack([(c[part] - 1) / max(tokens - 1, 1), (m[part] - 1) / np.maximum(by_class[k] - 1, 1)], 1)
-                    whole /= (whole.sum(1) + (1 - mixer.whole[k].sum(1)) * spelled + 1e-300)[:, None]
-                    for i in (0, 1):
-                        won[:, i] += np.bincount(k, occ * whole[:, i], CLASSES)
-                    met += np.bincount(k, occ, CLASSES)
-                    mixer.whole = won / met[:, None]
-                    t += 1
-                    weight += occ.sum()
-        if t:
-            yield pa.RecordBatch.from_pydict({"weights": pa.array([mixer.weights.tobytes()], pa.binary()), "table": pa.array([mixer.table.tobytes()], pa.binary()), "whole": pa.array([mixer.whole.tobytes()], pa.binary()), "w": pa.array([weight])})
-
-    mixers = sorted(few.mapInArrow(learn, "weights binary, table binary, whole binary, w double").collect(), key=lambda r: (r.w, bytes(r.weights)))
-    mixer = Mixer.new()
-    if mixers:
-        share = np.array([r.w for r in mixers])
-        share /= share.sum()
-        mixer.weights = sum(s * np.frombuffer(r.weights).reshape(mixer.weights.shape) for s, r in zip(share, mixers, strict=True))
-        mixer.table = sum(s * np.frombuffer(r.table).reshape(mixer.table.shape) for s, r in zip(share, mixers, strict=True))
-        mixer.whole = sum(s * np.frombuffer(r.whole).reshape(CLASSES, 2) for s, r in zip(share, mixers, strict=True))
-    else:
-        mixer.weights[:], mixer.whole[:] = 0, 0
-    packed.unpersist()
-    n = counts.sum(2)
-    return Model(coder, stretch_counts(counts[..., 0], counts[..., 1]), np.stack([level(n[3]), level(n[4])]), mixer, tokens, by_class, letters)
+        out = np.zeros(leaves, np.int64)
+        for x in table.column("n").to_pylist():
+            out += columns_of(x, np.int32)[0]
+        return pa.table({"word": table.column("word")[:1], "n": pa.array([pack(out)], pa.binary())})
+
+    got = chunks.select("held", "n", "tokens", "stream", "hashes").mapInArrow(count, "word int, n binary").groupBy("word").applyInArrow(add, "word int, n binary")
+    n = np.zeros((leaves, FREQUENT + 1), np.int64)
+    for r in got.toLocalIterator():
+        n[:, r.word] = columns_of(r.n, np.int64)[0]
+    v.unpersist()
+    return np.clip(np.rint(odds(vocabulary.code, n) * ODDS), -127, 127).astype(np.int8).T.reshape(-1).copy()
