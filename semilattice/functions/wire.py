@@ -8,7 +8,7 @@ import math
 from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,13 +94,53 @@ def hash_canonical(text: Column) -> Column:
 
 
 def json_string(text: Column) -> Column:
-    """A string column as a JSON string."""
-    return F.substring(F.to_json(F.array(text)), 2, F.length(F.to_json(F.array(text))) - 2)
+    """A string column as a JSON string: quotes, backslashes and control characters escaped and nothing else; null stays null."""
+    plain = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    escaped = plain
+    for c in map(chr, range(0x20)):
+        escaped = F.replace(escaped, F.lit(c), F.lit(json.dumps(c)[1:-1]))
+    return F.concat(F.lit('"'), F.when(text.rlike(r"[\x00-\x1F]"), escaped).otherwise(plain), F.lit('"'))
 
 
 def number_json(x: Column) -> Column:
-    """A double's canonical text for whole numbers below 2^53 and for numbers whose shortest text has no exponent."""
-    return F.when(x.isNull(), F.lit("null")).when((x == F.floor(x)) & (F.abs(x) < 2**53), x.cast("long").cast("string")).otherwise(x.cast("string"))
+    """A double's canonical text, as ``number_text`` gives it, in built-in functions; null gives ``null``.
+
+    The digits of the shortest text that reads back as the number are split at its exponent and the point is set
+    anew. A number that is not finite raises an error.
+    """
+    size = F.abs(x).cast("double")
+    text = size.cast("string")
+    # Java may give more digits than are needed to read the number back
+    for digits in (16, 15):
+        fewer = F.format_string(f"%.{digits - 1}e", size)
+        text = F.when((F.length(text) > 16) & (fewer.cast("double") == size), F.replace(F.upper(fewer), F.lit("E+"), F.lit("E"))).otherwise(text)
+    mantissa = F.substring_index(text, "E", 1)
+    exponent = F.when(F.instr(text, "E") > 0, F.substring_index(text, "E", -1).cast("int")).otherwise(0)
+    whole = F.substring_index(mantissa, ".", 1)
+    plain = F.replace(mantissa, F.lit("."), F.lit(""))
+    led = F.ltrim(plain, F.lit("0"))
+    digits = F.rtrim(led, F.lit("0"))
+    # places before the point, counted from the first digit that is not zero
+    point = F.length(whole) + exponent - (F.length(plain) - F.length(led))
+    n = F.length(digits)
+    zeros = lambda k: F.repeat(F.lit("0"), k)
+    tail = F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(F.lit(""))
+    scientific = F.concat(F.substring(digits, 1, 1), tail, F.when(point > 0, "e+").otherwise("e-"), F.abs(point - 1).cast("string"))
+    unsigned = (
+        F.when(n == 0, F.lit("0"))
+        .when((point >= n) & (point <= 21), F.concat(digits, zeros(point - n)))
+        .when((point > 0) & (point <= 21), F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n)))
+        .when((point > -6) & (point <= 0), F.concat(F.lit("0."), zeros(-point), digits))
+        .otherwise(scientific)
+    )
+    finite = ~F.isnan(x) & (F.abs(x) != float("inf"))
+    return F.when(x.isNull(), F.lit("null")).when(~finite, F.raise_error(F.lit("not a finite number")).cast("string")).otherwise(F.concat(F.when((x < 0), F.lit("-")).otherwise(F.lit("")), unsigned))
+
+
+def key_json(df: DataFrame, name: str) -> Column:
+    """A column's value as text: a number as canonical JSON has it, everything else as Spark does; null stays null."""
+    c = F.col(name)
+    return F.when(c.isNotNull(), number_json(c)) if df.schema[name].dataType in (T.DoubleType(), T.FloatType()) else c.cast("string")
 
 
 def text_order(text: Column) -> Column:
@@ -137,6 +177,52 @@ def decode_field(text: Column, kind: str, nullable: bool = False, values: tuple[
     raise ValueError(f"unknown type {kind!r}")
 
 
+def encode_value(c: Column, kind: str) -> Column:
+    """A typed column as canonical JSON text; null gives ``null``. The inverse of ``decode_field`` for values of the type.
+
+    ``kind`` is a declared type; a ``json`` column holds JSON text already and gets its canonical form.
+    """
+    if kind in ("string", "date", "enum"):
+        return F.when(c.isNull(), F.lit("null")).otherwise(json_string(c.cast("string")))
+    if kind == "number":
+        return number_json(c.cast("double"))
+    if kind == "boolean":
+        return F.when(c.isNull(), F.lit("null")).otherwise(c.cast("boolean").cast("string"))
+    if kind == "json":
+        return F.coalesce(canonical_json(c), F.lit("null"))
+    raise ValueError(f"unknown type {kind!r}")
+
+
+def store_value(value: Wire, kind: str) -> object:
+    """A wire value as a database column of its declared type holds it.
+
+    A value of the type is kept plain (a boolean as 0 or 1, json as its text); any other becomes canonical JSON text,
+    so that it reads back unchanged. Raises ValueError for numbers that are not finite.
+    """
+    if value is None:
+        return None
+    plain = {"string": str, "date": str, "enum": str, "number": (int, float), "boolean": bool}.get(kind, ())
+    if isinstance(value, plain) and (kind == "boolean" or not isinstance(value, bool)):
+        if kind == "number" and not math.isfinite(value):
+            raise ValueError(f"not a finite number: {value}")
+        return int(value) if kind == "boolean" else value
+    return canonical(value)
+
+
+def read_value(stored: object, kind: str) -> Wire:
+    """What ``store_value`` stored; text in a column of numbers or booleans is JSON."""
+    if stored is None or (kind in ("string", "date", "enum") and isinstance(stored, str)):
+        return stored
+    if kind == "boolean" and isinstance(stored, (int, bool)):
+        return bool(stored)
+    return json.loads(stored) if isinstance(stored, str) else stored
+
+
+def present(values: dict[str, object], absent: object = ...) -> dict[str, object]:
+    """A mutation's values without those left out (``...``); an explicit None stays."""
+    return {k: v for k, v in values.items() if v is not absent}
+
+
 def epoch_ms(value: Column) -> Column:
     """Milliseconds from a number's text or an ISO date's, else 0."""
     number = F.when(value.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), value.try_cast("double").cast("long"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from semilattice.functions.wire import bind, canonical, text_order, utf16
@@ -44,16 +45,30 @@ def in_order(rows: DataFrame, by: str | None, row_id: str = "row_id") -> DataFra
     return rows.orderBy(*keys, text_order(F.col(row_id)))
 
 
+def with_places(ordered: DataFrame, name: str) -> DataFrame:
+    """Rows of a sorted result with their places from 1; equal keys take places in any order.
+
+    A sort leaves each range of keys in one partition; places come from the partitions' counts and the places within
+    them, so that no task sees all rows.
+    """
+    at = ordered.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftrightunsigned("_at", 33))
+    counts = at.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    placed = at.join(F.broadcast(before), "_part")  # one row a partition
+    return placed.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at", "_part", "_before")
+
+
 class Scoped:
     """Reads of one scope's table; the scope's predicate is always there and reaches the scan."""
 
     def __init__(self, rows: DataFrame, scope: str, column: str = "scope_id") -> None:
         self.df = rows.where(F.col(column) == F.lit(bind(scope)))
         self.column = column
+        self.keys: list[Column] = []
 
     def _with(self, df: DataFrame) -> Scoped:
         out = object.__new__(Scoped)
-        out.df, out.column = df, self.column
+        out.df, out.column, out.keys = df, self.column, self.keys
         return out
 
     def where(self, column: str | Column, op: str = "=", value: object = None) -> Scoped:
@@ -78,10 +93,10 @@ class Scoped:
         return self._with(self.df.where(made[op]()))
 
     def order_by(self, column: str, direction: str = "asc") -> Scoped:
-        """Later calls sort within earlier ones. Null is the smallest value."""
+        """Later calls sort within earlier ones, whatever came between. Null is the smallest value."""
         out = self._with(self.df)
-        out.keys = [*getattr(self, "keys", []), F.col(column).asc_nulls_first() if direction == "asc" else F.col(column).desc_nulls_last()]  # type: ignore[attr-defined]
-        out.df = self.df.orderBy(*out.keys)  # type: ignore[attr-defined]
+        out.keys = [*self.keys, F.col(column).asc_nulls_first() if direction == "asc" else F.col(column).desc_nulls_last()]
+        out.df = self.df.orderBy(*out.keys)
         return out
 
     def limit(self, n: int, offset: int = 0) -> Scoped:
@@ -92,11 +107,41 @@ class Scoped:
 
 
 def assert_scoped(spark: SparkSession, sql: str, column: str = "scope_id") -> None:
-    """Refuses SQL whose analysed plan filters no scan by scope."""
-    plan = spark.sql(sql)._jdf.queryExecution().optimizedPlan().toString()
-    filters = [line for line in plan.split("\n") if "Filter" in line]
-    if not any(f"{column}#" in line for line in filters):
-        raise ValueError(f"the query does not filter by {column}")
+    """Refuses SQL that reads any table without an equality of that table's own scope column with a fixed value.
+
+    Every leaf of the optimised plan needs it among the conjuncts of the filters right above it, where Spark puts
+    what follows from joins as well. A plan that reads no rows passes.
+    """
+
+    def conjuncts(e) -> list:
+        return [*conjuncts(e.left()), *conjuncts(e.right())] if e.getClass().getSimpleName() == "And" else [e]
+
+    def items(seq) -> list:
+        return [seq.apply(i) for i in range(seq.size())]
+
+    def pins(e, ids: set[int]) -> bool:
+        if e.getClass().getSimpleName() not in ("EqualTo", "EqualNullSafe"):
+            return False
+        sides = (e.left(), e.right())
+        for a, b in (sides, sides[::-1]):
+            if a.getClass().getSimpleName() == "AttributeReference" and a.exprId().id() in ids and b.foldable():
+                return True
+        return False
+
+    def walk(node, above: list) -> None:
+        kind = node.getClass().getSimpleName()
+        below = items(node.children())
+        if not below:
+            if kind == "OneRowRelation" or (kind == "LocalRelation" and node.data().isEmpty()):
+                return
+            ids = {a.exprId().id() for a in items(node.output()) if a.name() == column}
+            if not any(pins(e, ids) for e in above):
+                raise ValueError(f"{node.nodeName()} is read without a fixed {column}")
+        kept = [*above, *conjuncts(node.condition())] if kind == "Filter" else above if kind in ("Project", "SubqueryAlias") else []
+        for child in below:
+            walk(child, kept)
+
+    walk(spark.sql(sql)._jdf.queryExecution().optimizedPlan(), [])
 
 
 def execute(spark: SparkSession, sql: str, *params: object) -> DataFrame:

@@ -6,25 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from semilattice.functions.wire import key_json
 
-def key_text(x: Column) -> Column:
-    """A relation's key as text: a missing one is the text ``null``, so that 1 meets "1" and null meets "null"."""
-    return F.coalesce(x.cast("string"), F.lit("null"))
+
+def key_text(df: DataFrame, name: str) -> Column:
+    """A relation's key as text: a missing one is the text ``null``, so that 1 meets "1", 1.0 meets 1 and null meets "null"."""
+    return F.coalesce(key_json(df, name), F.lit("null"))
 
 
 def has_many(parents: DataFrame, children: DataFrame, local: str, foreign: str, name: str, order: list[str], keep: list[str]) -> DataFrame:
     """Parents with the array ``name`` of their children's ``keep`` columns in order; empty where there are none."""
     rows = F.array_sort(F.collect_list(F.struct(*order, *(k for k in keep if k not in order))))
-    grouped = children.groupBy(key_text(F.col(foreign)).alias("_k")).agg(rows.alias(name))
-    joined = parents.join(grouped, key_text(F.col(local)) == F.col("_k"), "left").drop("_k")
+    grouped = children.groupBy(key_text(children, foreign).alias("_k")).agg(rows.alias(name))
+    joined = parents.join(grouped, key_text(parents, local) == F.col("_k"), "left").drop("_k")
     return joined.withColumn(name, F.coalesce(F.col(name), F.array().cast(joined.schema[name].dataType)))
 
 
 def has_one(sources: DataFrame, targets: DataFrame, local: str, foreign: str, order: list[str], keep: dict[str, str]) -> DataFrame:
     """Sources with columns of the first matching target; null where there is none."""
-    first = targets.withColumn("_k", key_text(F.col(foreign))).withColumn("_n", F.row_number().over(W.partitionBy("_k").orderBy(*order))).where("_n = 1")
+    first = targets.withColumn("_k", key_text(targets, foreign)).withColumn("_n", F.row_number().over(W.partitionBy("_k").orderBy(*order))).where("_n = 1")
     picked = first.select("_k", *(F.col(c).alias(a) for c, a in keep.items()))
-    return sources.join(picked, key_text(F.col(local)) == F.col("_k"), "left").drop("_k")
+    return sources.join(picked, key_text(sources, local) == F.col("_k"), "left").drop("_k")
 
 
 def visible_children(children: DataFrame, live_parents: DataFrame, foreign: str, parent_id: str) -> DataFrame:

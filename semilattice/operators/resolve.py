@@ -6,11 +6,13 @@ side. With them, or where rejections matter, transactions are folded in order of
 
 from __future__ import annotations
 
+import itertools
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,6 +25,7 @@ from semilattice.plans.schema import BASE_FIELDS
 ROW_KEY = ["scope_id", "table_name", "row_id"]
 FIELD_KEY = [*ROW_KEY, "field"]
 SKEW_MS = 5 * 60 * 1000
+KINDS = ("create", "append", "delete", "restore", "set")
 
 
 def _first_highest() -> Column:
@@ -50,6 +53,16 @@ def rows_of(ops: DataFrame) -> DataFrame:
     return seen.join(registers(ops), ROW_KEY, "left")
 
 
+def highest_stamps(ops: DataFrame) -> DataFrame:
+    """Each scope's highest stamp; a scope whose stamps are all null has null."""
+    return ops.groupBy("scope_id").agg(F.max("hlc").alias("highest"))
+
+
+def acknowledged_rows(ops: DataFrame) -> DataFrame:
+    """The rows that each transaction names, once each, with the place of the op that names them first."""
+    return ops.groupBy("scope_id", "txn_id", "table_name", "row_id").agg(F.min("pos").alias("first_pos"))
+
+
 def live_rows(ops: DataFrame) -> DataFrame:
     return rows_of(ops).where("deleted_hlc is null")
 
@@ -99,7 +112,7 @@ def check_ops(ops: DataFrame, scope: Column, now_ms: Column) -> DataFrame:
     base_ok = ~F.col("field").isin(*BASE_FIELDS) | F.col("field").isNull()
     reason = (
         F.when(F.col("scope_id") != scope, "scope_mismatch")
-        .when(~hlc.is_stamp(F.col("hlc")) | ~F.col("kind").isin("create", "append", "delete", "restore", "set") | ((F.col("kind") == "set") & F.col("field").isNull()), "malformed_op")
+        .when(~hlc.is_stamp(F.col("hlc")) | ~F.col("kind").isin(*KINDS) | F.col("kind").isNull() | ((F.col("kind") == "set") & F.col("field").isNull()), "malformed_op")
         .when(hlc.wall(F.col("hlc")) > now_ms + SKEW_MS, "clock_skew")
         .when(~base_ok, "base_field_violation")
     )
@@ -121,6 +134,13 @@ class Scope:
     last_seen: int = 0
     fields: dict[tuple, dict] = field(default_factory=dict)
     rows: dict[tuple, dict] = field(default_factory=dict)
+    named: dict[tuple, list[str]] = field(default_factory=dict)  # each row's fields, in order of their first write
+
+    def forget(self, key: tuple) -> None:
+        """Drops a row with its fields."""
+        del self.rows[key]
+        for name in self.named.pop(key, ()):
+            del self.fields[*key, name]
 
     def _next(self) -> int:
         self.seq += 1
@@ -139,7 +159,7 @@ class Scope:
                 stamp = hlc.Stamp.parse(o["hlc"])
             except (ValueError, TypeError):
                 return "malformed_op", o, None
-            if o.get("base_hash") == "":
+            if o["kind"] not in KINDS or (o["kind"] == "set" and not o["field"]) or o.get("base_hash") == "":
                 return "malformed_op", o, None
             if stamp.wall_ms > now + skew:
                 return "clock_skew", o, now
@@ -171,7 +191,7 @@ class Scope:
             key = (o["table_name"], o["row_id"])
             if key not in self.rows:
                 self.last_seen = max(now, self.last_seen + 1)
-                self.rows[key] = {"first_seen_at": self.last_seen, "class": "append" if o["kind"] == "append" else "row", "deleted_hlc": None, "register_hlc": None, "server_seq": self._next()}
+                self.rows[key] = {"first_seen_at": self.last_seen, "first_pos": o.get("pos"), "class": "append" if o["kind"] == "append" else "row", "deleted_hlc": None, "register_hlc": None, "server_seq": self._next()}
             row = self.rows[key]
             if o["kind"] == "set":
                 at = (*key, o["field"])
@@ -179,13 +199,14 @@ class Scope:
                 if held and o.get("base_hash") is None and o["hlc"] <= held["hlc"]:
                     beaten.append(dict(held, table_name=key[0], row_id=key[1], field=o["field"]))
                 else:
+                    if held is None:
+                        self.named.setdefault(key, []).append(o["field"])
                     self.fields[at] = {"value_json": o["value_json"], "hlc": o["hlc"], "txn_id": o["txn_id"], "server_seq": self._next()}
             elif o["kind"] in ("delete", "restore") and o["hlc"] > (row["register_hlc"] or ""):
                 row.update(register_hlc=o["hlc"], deleted_hlc=o["hlc"] if o["kind"] == "delete" else None, server_seq=self._next())
                 if o["kind"] == "restore":
-                    for at, held in self.fields.items():
-                        if at[:2] == key:
-                            held["server_seq"] = self._next()
+                    for name in self.named.get(key, ()):
+                        self.fields[*key, name]["server_seq"] = self._next()
         return beaten
 
     def push(self, ops: list[dict], now: int, skew: int = SKEW_MS) -> list[dict]:
@@ -204,45 +225,68 @@ class Scope:
 
 STATE = "scope_id string, record string, table_name string, row_id string, field string, value_json string, hlc string, txn_id string, first_seen_at long, class string, deleted_hlc string, register_hlc string, server_seq long"
 OUTCOMES = "scope_id string, batch_id long, txn_id string, ok boolean, reason string, row_id string, n_beaten long"
+#: Records that one Arrow batch of a fold's result holds.
+BATCH_ROWS = 4096
 
 
 def frame(rows: list[dict], schema: str) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")], dtype=object)
 
 
-def _batches(pdf: pd.DataFrame) -> Iterator[tuple[int, list[dict]]]:
-    rows = pdf.sort_values(["batch_id", "pos"]).astype(object).where(lambda d: d.notna(), None)
-    for batch, group in rows.groupby("batch_id", sort=True):
-        yield int(batch), group.to_dict("records")
+def batches_of(rows: Iterator[dict]) -> Iterator[tuple[int, list[dict]]]:
+    """Pushes of one scope, whose ops come in order."""
+    for batch, group in itertools.groupby(rows, key=lambda r: r["batch_id"]):
+        yield int(batch), list(group)
+
+
+def _by_scope(ops: DataFrame, schema: str, one: Callable[[Scope, Iterator[dict]], Iterator[dict]]) -> DataFrame:
+    """Streams each scope's ops in order of arrival through ``one``; holds a scope's state and one push, not its log."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out_schema = to_arrow_schema(T._parse_datatype_string(schema))
+    columns = ["scope_id", "batch_id", "pos", "table_name", "row_id", "kind", "field", "value_json", "hlc", "txn_id", "base_hash"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in b.to_pylist())
+        made = (r for scope, group in itertools.groupby(rows, key=lambda r: r["scope_id"]) for r in one(Scope(scope), group))
+        while part := list(itertools.islice(made, BATCH_ROWS)):
+            yield pa.RecordBatch.from_pylist(part, schema=out_schema)
+
+    # with what is equal last, so that any deal of the rows gives one order
+    ordered = ops.select(*columns).repartition("scope_id").sortWithinPartitions("scope_id", "batch_id", "pos")
+    return ordered.mapInArrow(run, schema)
 
 
 def fold(ops: DataFrame, now_ms: int, skew_ms: int = SKEW_MS) -> DataFrame:
-    """The relay's records after all pushes (``batch_id``), with certified writes and refusals, scope by scope.
+    """The relay's records after all pushes (``batch_id``), with certified writes and refusals.
 
-    A scope is the unit of order, as on the relay; scopes fold in parallel. Use ``latest_fields`` where no op
-    carries a base hash and none can be refused.
+    A scope is the unit of order, as on the relay; scopes fold in parallel, each streamed in order of (batch_id, pos).
+    ``first_seen_at`` comes from one counter of the relay, in order of ``pos``. Ops of a null scope fold as one scope.
+    An empty log gives an empty result. Use ``latest_fields`` where no op carries a base hash and none can be refused.
     """
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        scope = Scope(key[0])
-        for _, group in _batches(pdf):
+    def one(scope: Scope, rows: Iterator[dict]) -> Iterator[dict]:
+        for _, group in batches_of(rows):
             scope.push(group, now_ms, skew_ms)
-        out = [{"scope_id": key[0], "record": "field", "table_name": t, "row_id": r, "field": f, **v} for (t, r, f), v in scope.fields.items()]
-        out += [{"scope_id": key[0], "record": "row", "table_name": t, "row_id": r, **v} for (t, r), v in scope.rows.items()]
-        return frame(out, STATE)
+        for (t, r, f), v in scope.fields.items():
+            yield {"scope_id": scope.scope_id, "record": "field", "table_name": t, "row_id": r, "field": f, **v}
+        for (t, r), v in scope.rows.items():
+            yield {"scope_id": scope.scope_id, "record": "row", "table_name": t, "row_id": r, **v}
 
-    return ops.groupBy("scope_id").applyInPandas(one, STATE)
+    folded = _by_scope(ops, STATE + ", first_pos long", one)
+    rows = with_first_seen(folded.where("record = 'row'").drop("first_seen_at"), F.lit(now_ms).cast("long"))
+    return folded.where("record = 'field'").drop("first_pos").unionByName(rows.drop("first_pos"))
 
 
 def outcomes(ops: DataFrame, now_ms: int, skew_ms: int = SKEW_MS) -> DataFrame:
     """What each push answered, transaction by transaction; those after a refusal are not in it."""
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        scope = Scope(key[0])
-        out = [{"scope_id": key[0], "batch_id": b, **o} for b, group in _batches(pdf) for o in scope.push(group, now_ms, skew_ms)]
-        return frame(out, OUTCOMES)
+    def one(scope: Scope, rows: Iterator[dict]) -> Iterator[dict]:
+        for batch, group in batches_of(rows):
+            for o in scope.push(group, now_ms, skew_ms):
+                yield {"scope_id": scope.scope_id, "batch_id": batch, **o}
 
-    return ops.groupBy("scope_id").applyInPandas(one, OUTCOMES)
+    return _by_scope(ops, OUTCOMES, one)
 
 
 def emit_stamps(events: DataFrame, device: str, time_ms: str, order: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -14,6 +15,7 @@ from semilattice.operators import cdc, device, materialize, query, relations, re
 from semilattice.plans import schema as S
 from semilattice.sources import snapshot
 from semilattice.sources.oplog import LIFE_SQL, OPS_SQL, ops, table
+from semilattice.sources.store import shared_dir
 from semilattice.streaming import relay
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,7 +71,7 @@ def hlc_compare(spark, sf):
 
 @register(f"WITH {OPS_SQL} SELECT scope_id, max(hlc) AS highest FROM ops GROUP BY 1")
 def highest_stamp(spark, sf):
-    return ops(spark, sf).groupBy("scope_id").agg(F.max("hlc").alias("highest"))
+    return resolve.highest_stamps(ops(spark, sf))
 
 
 @register()
@@ -78,10 +80,24 @@ def clock_emission(spark, sf):
     return resolve.emit_stamps(log.withColumn("ms", F.expr("ms div 60000 * 60000")), "device", "ms", "pos")
 
 
-@register("SELECT doc_id, sha256('\"' || replace(replace(replace(text, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n') || '\"') AS hash FROM documents WHERE text NOT SIMILAR TO '.*[\\x00-\\x09\\x0B-\\x1F\\x7F].*'")
+def _json_sql(text: str) -> str:
+    """SQL for a text column as a JSON string."""
+    out = f"replace(replace({text}, chr(92), repeat(chr(92), 2)), chr(34), chr(92) || chr(34))"
+    for c in range(1, 0x20):
+        out = f"replace({out}, chr({c}), '{json.dumps(chr(c))[1:-1]}')"
+    return f"chr(34) || {out} || chr(34)"
+
+
+@register(f"SELECT doc_id, sha256({_json_sql('text')}) AS hash FROM documents")
 def wire_hash_text(spark, sf):
-    plain = ~F.col("text").rlike(r"[\x00-\x09\x0B-\x1F\x7F]")
-    return table(spark, sf, "documents").where(plain).select("doc_id", wire.hash_canonical(wire.json_string(F.col("text"))).alias("hash"))
+    return table(spark, sf, "documents").select("doc_id", wire.hash_canonical(wire.json_string(F.col("text"))).alias("hash"))
+
+
+@register(f"SELECT p_partkey, sha256({_json_sql('p_name || chr(CAST(p_partkey % 31 + 1 AS INT)) || chr(34) || chr(92)')}) AS hash FROM part")
+def wire_hash_controls(spark, sf):
+    """Texts with every control character, quotes and backslashes."""
+    text = F.concat("p_name", F.char(F.col("p_partkey") % 31 + 1), F.lit(chr(34) + chr(92)))
+    return table(spark, sf, "part").select("p_partkey", wire.hash_canonical(wire.json_string(text)).alias("hash"))
 
 
 @register("SELECT event_id, sha256('{\"event\":' || CAST(event_id AS VARCHAR) || ',\"user\":' || CAST(user_id AS VARCHAR) || '}') AS hash FROM events")
@@ -100,6 +116,14 @@ def number_json(spark, sf):
     return table(spark, sf, "events").select("event_id", wire.number_json(F.col("value")).alias("text"))
 
 
+@register("""WITH d AS (SELECT event_id, rtrim(CAST(event_id + 1 AS VARCHAR), '0') AS d, length(CAST(event_id + 1 AS VARCHAR)) + event_id % 61 - 30 AS n FROM events), k AS (SELECT *, length(d) AS k FROM d)
+SELECT event_id, '-' || CASE WHEN n >= k AND n <= 21 THEN rpad(d, CAST(n AS INT), '0') WHEN n > 0 AND n <= 21 THEN d[:n] || '.' || d[n + 1:] WHEN n > -6 AND n <= 0 THEN '0.' || repeat('0', -n) || d ELSE d[1] || CASE WHEN k > 1 THEN '.' || d[2:] ELSE '' END || CASE WHEN n > 0 THEN 'e+' ELSE 'e-' END || CAST(abs(n - 1) AS VARCHAR) END AS text FROM k""")
+def number_magnitudes(spark, sf):
+    """Numbers from 1e-30 to 1e35, by the rules of the text itself in the SQL."""
+    x = F.concat(F.lit("-"), (F.col("event_id") + 1).cast("string"), F.lit("e"), (F.col("event_id") % 61 - 30).cast("string")).cast("double")
+    return table(spark, sf, "events").select("event_id", wire.number_json(x).alias("text"))
+
+
 @register("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_fields(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
@@ -221,7 +245,7 @@ def transactions(spark, sf):
 
 @register(f"WITH {LIFE_SQL} SELECT scope_id, txn_id, table_name, row_id, min(pos) AS first_pos FROM ops GROUP BY ALL")
 def acknowledged_rows(spark, sf):
-    return ops(spark, sf, True).groupBy("scope_id", "txn_id", "table_name", "row_id").agg(F.min("pos").alias("first_pos"))
+    return resolve.acknowledged_rows(ops(spark, sf, True))
 
 
 @register(f"WITH {OPS_SQL}, c AS (SELECT pos, CASE WHEN scope_id <> '7' AND pos % 50 = 0 THEN 'scope_mismatch' WHEN pos % 10 = 0 THEN 'malformed_op' WHEN pos % 9 = 0 THEN 'base_field_violation' END AS r, hlc FROM ops), k AS (SELECT c.pos, CASE WHEN r IN ('scope_mismatch', 'malformed_op') THEN r WHEN epoch_us(ts) // 1000 > 1705968000000 + 300000 THEN 'clock_skew' ELSE r END AS reason FROM c JOIN events ON event_id = c.pos) SELECT coalesce(reason, 'ok') AS reason, count(*) AS n FROM k GROUP BY 1")
@@ -266,6 +290,25 @@ def fold_equals_lww(spark, sf):
     return resolve.fold(log, NOW_MS).where("record = 'field'").select("scope_id", "row_id", "field", "value_json", "hlc")
 
 
+@register(f"WITH {OPS_SQL} SELECT scope_id, row_id, {NOW_MS} + row_number() OVER (ORDER BY min(pos)) - 1 AS first_seen_at FROM ops GROUP BY scope_id, row_id")
+def fold_first_seen(spark, sf):
+    """When the fold's rows were first seen: one counter over all scopes."""
+    log = _pushes(spark, sf).withColumn("base_hash", F.lit(None).cast("string"))
+    return resolve.fold(log, NOW_MS).where("record = 'row'").select("scope_id", "row_id", "first_seen_at")
+
+
+@register(
+    f"WITH {OPS_SQL}, p AS (SELECT scope_id, pos // 2048 AS batch_id, pos, 't' || CAST(pos AS VARCHAR) AS txn_id, 'n' || CAST(pos AS VARCHAR) AS row_id, CASE WHEN pos % 100 = 3 THEN 'malformed_op' WHEN pos % 100 = 7 THEN 'malformed_op' WHEN pos % 100 = 11 THEN 'row_absent' END AS reason FROM ops), f AS (SELECT *, min(CASE WHEN reason IS NOT NULL THEN pos END) OVER (PARTITION BY scope_id, batch_id) AS stop FROM p) SELECT scope_id, batch_id, txn_id, reason IS NULL AS ok, reason, CASE WHEN reason IS NOT NULL THEN row_id END AS row_id, 0 AS n_beaten FROM f WHERE stop IS NULL OR pos <= stop"
+)
+def refused_pushes(spark, sf):
+    """Pushes of single ops, some of them malformed or naming no row: each stops at its first refusal."""
+    kind = F.when(F.col("pos") % 100 == 3, "odd").when(F.col("pos") % 100 == 7, "set").when(F.col("pos") % 100 == 11, "delete").otherwise("create")
+    name = lambda p: F.concat(F.lit(p), F.col("pos").cast("string"))
+    none = F.lit(None).cast("string")
+    log = ops(spark, sf).withColumns({"kind": kind, "field": none, "value_json": none, "base_hash": none, "row_id": name("n"), "txn_id": name("t"), "batch_id": F.expr("pos div 2048")})
+    return resolve.outcomes(log, NOW_MS)
+
+
 # -- change data capture
 
 
@@ -294,10 +337,22 @@ def snapshot_ndjson(spark, sf):
     return lines.select("line", F.row_number().over(W.orderBy("part", "key")).cast("long").alias("place"))
 
 
-@register(_SEQ_SQL + f" SELECT scope_id, sha256(string_agg({_LINE_SQL}, chr(10) ORDER BY {_LINE_SQL}) || chr(10)) AS digest, count(*) AS n_lines FROM records GROUP BY 1")
+_HEAD_SQL = """'{"type":"header","serverSeq":' || CAST(count(*) AS VARCHAR) || ',"epoch":"e' || scope_id || '","tombstoneFloorSeq":0,"schemaHash":null}'"""
+_ROW_SQL = """'{"type":"row","scopeId":"' || scope_id || '","tableName":"activity","rowId":"' || row_id || '","firstSeenAt":' || CAST(min(pos) AS VARCHAR) || ',"class":"row","deletedHlc":null,"registerHlc":null,"serverSeq":' || CAST(max(server_seq) AS VARCHAR) || '}'"""
+
+
+@register(
+    _SEQ_SQL
+    + f", lines AS (SELECT scope_id, 0 AS part, '' AS key, {_HEAD_SQL} AS line FROM records GROUP BY scope_id UNION ALL SELECT scope_id, 1, row_id || chr(0) || field, {_LINE_SQL} FROM records UNION ALL SELECT scope_id, 2, row_id, {_ROW_SQL} FROM records GROUP BY scope_id, row_id)"
+    + " SELECT scope_id, sha256(string_agg(line, chr(10) ORDER BY part, key) || chr(10)) AS digest, count(*) AS n_lines FROM lines GROUP BY 1"
+)
 def snapshot_digest(spark, sf):
-    text = snapshot.field_lines(_records(spark, sf)).select("line")
-    return snapshot.digest(text.withColumn("scope_id", F.get_json_object("line", "$.scopeId")), by="scope_id").select("scope_id", "digest", "n_lines")
+    """The digest of every scope's whole body: header, fields and rows."""
+    records = _records(spark, sf)
+    heads = records.groupBy("scope_id").agg(F.count("*").alias("server_seq")).select("scope_id", "server_seq", F.concat(F.lit("e"), "scope_id").alias("epoch"), F.lit(0).alias("tombstone_floor_seq"), F.lit(None).cast("string").alias("schema_hash"))
+    none = F.lit(None).cast("string")
+    rows = records.groupBy(*resolve.ROW_KEY).agg(F.min("pos").alias("first_seen_at"), F.max("server_seq").alias("server_seq")).withColumns({"class": F.lit("row"), "deleted_hlc": none, "register_hlc": none})
+    return snapshot.digest(snapshot.body_lines(heads, records, rows, "scope_id"), by="scope_id").select("scope_id", "digest", "n_lines")
 
 
 _DAY20 = 1_705_708_800_000  # 2024-01-20
@@ -397,9 +452,9 @@ def rows_carrying_fields(spark, sf):
     return query.carries(fields, key).join(n, ["scope_id", "row_id"]).select("row_id", "n", F.lit("id,name").alias("q"))
 
 
-@register(_SEQ_SQL + " SELECT 'INSERT INTO \"customers\" (\"balance\", \"name\") VALUES (' || CAST(c_acctbal AS VARCHAR) || ', ''' || replace(c_name, '''', '''''') || ''');' AS statement FROM customer WHERE c_acctbal <> floor(c_acctbal) AND abs(c_acctbal) >= 0.01")
+@register("SELECT 'INSERT INTO \"customers\" (\"balance\", \"name\") VALUES (' || CASE WHEN c_acctbal = floor(c_acctbal) THEN CAST(CAST(c_acctbal AS BIGINT) AS VARCHAR) ELSE CAST(c_acctbal AS VARCHAR) END || ', ' || chr(39) || replace(c_name, chr(39), repeat(chr(39), 2)) || chr(39) || ');' AS statement FROM customer")
 def insert_script(spark, sf):
-    rows = table(spark, sf, "customer").where("c_acctbal != floor(c_acctbal)").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    rows = table(spark, sf, "customer").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
     return snapshot.insert_script(rows, "customers")
 
 
@@ -438,12 +493,12 @@ def raw_sql(spark, sf):
 @register("SELECT p_partkey, row_number() OVER (ORDER BY coalesce(p_name, ''), CAST(p_partkey AS VARCHAR)) AS place FROM part")
 def code_unit_order(spark, sf):
     p = table(spark, sf, "part").withColumn("row_id", F.col("p_partkey").cast("string"))
-    return p.select("p_partkey", F.row_number().over(W.orderBy(wire.text_order(F.coalesce("p_name", F.lit(""))), wire.text_order(F.col("row_id")))).cast("long").alias("place"))
+    return query.with_places(query.in_order(p, "p_name"), "place").select("p_partkey", "place")
 
 
 @register("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC NULLS LAST, o_orderkey LIMIT 8")
 def top_k(spark, sf):
-    return table(spark, sf, "orders").orderBy(F.desc_nulls_last("o_orderdate"), "o_orderkey").limit(8).select("o_orderkey", "o_orderdate")
+    return query.Scoped(table(spark, sf, "orders").withColumn("scope", F.lit("s")), "s", "scope").order_by("o_orderdate", "desc").order_by("o_orderkey").limit(8).select("o_orderkey", "o_orderdate")
 
 
 # -- relations
@@ -485,10 +540,9 @@ def derived_totals(spark, sf):
     return relations.derived_total(table(spark, sf, "orders"), lines, "o_orderkey", "l_orderkey", "l_extendedprice", override, "total").select("o_orderkey", F.round("total", 2).alias("total"))
 
 
-@register("SELECT place, c_custkey, c_name FROM (SELECT row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS place, o_custkey FROM orders QUALIFY place <= 20) JOIN customer ON c_custkey = o_custkey")
+@register("SELECT o_orderkey AS place, c_custkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey")
 def ordered_lookup(spark, sf):
-    top = table(spark, sf, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(20)
-    ids = top.select(F.row_number().over(W.orderBy(F.desc("o_orderdate"), "o_orderkey")).cast("long").alias("place"), F.col("o_custkey").alias("c_custkey"))
+    ids = table(spark, sf, "orders").select(F.col("o_orderkey").alias("place"), F.col("o_custkey").alias("c_custkey"))
     return relations.ordered_lookup(ids, table(spark, sf, "customer"), "place", ["c_custkey"]).select("place", "c_custkey", "c_name")
 
 
@@ -505,7 +559,7 @@ def _boxes(spark, sf):
 
 @register(_BOX_SQL + " SELECT pos, kind, field, hlc FROM outbox WHERE scope_id = '7' ORDER BY pos")
 def outbox_scan(spark, sf):
-    return _boxes(spark, sf)[1].where("scope_id = '7'").orderBy("pos").select("pos", "kind", "field", "hlc")
+    return device.queued(_boxes(spark, sf)[1], "7").select("pos", "kind", "field", "hlc")
 
 
 @register(_BOX_SQL + " SELECT scope_id, row_id, field, max(pos) AS pos, arg_max(value, pos) AS value FROM outbox WHERE kind = 'set' GROUP BY ALL")
@@ -588,8 +642,32 @@ def missing_rows(spark, sf):
 @register("SELECT p_partkey, lag(r, 2) OVER w AS before2, lag(r) OVER w AS before1, lead(r) OVER w AS after1, lead(r, 2) OVER w AS after2 FROM (SELECT p_partkey, p_brand, lpad(CAST(p_size AS VARCHAR), 3, '0') || ':' || CAST(p_partkey AS VARCHAR) AS r FROM part) WINDOW w AS (PARTITION BY p_brand ORDER BY r)")
 def neighbour_ranks(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", "p_brand", F.concat(F.lpad(F.col("p_size").cast("string"), 3, "0"), F.lit(":"), F.col("p_partkey").cast("string")).alias("r"))
-    w = W.partitionBy("p_brand").orderBy("r")
-    return p.select("p_partkey", F.lag("r", 2).over(w).alias("before2"), F.lag("r").over(w).alias("before1"), F.lead("r").over(w).alias("after1"), F.lead("r", 2).over(w).alias("after2"))
+    return merge.neighbour_ranks(p, ["p_brand"], "r").select("p_partkey", "before2", "before1", "after1", "after2")
+
+
+_RANKED_SQL = "r AS (SELECT p_partkey, p_brand, lpad(translate(CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS VARCHAR), '0123456789', 'BDFHJLNPRT'), 6, 'B') || ':dev' AS rank FROM part)"
+
+
+def _ranked(spark, sf):
+    n = F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey")).cast("string")
+    return table(spark, sf, "part").select("p_partkey", "p_brand", F.concat(F.lpad(F.translate(n, "0123456789", "BDFHJLNPRT"), 6, "B"), F.lit(":dev")).alias("rank"))
+
+
+@register("SELECT DISTINCT p_brand, TRUE AS behind_all FROM part")
+def next_ranks(spark, sf):
+    """A rank behind each group's last one."""
+    ranked = _ranked(spark, sf)
+    last = ranked.groupBy("p_brand").agg(F.max("rank").alias("last"))
+    return merge.next_ranks(ranked, ["p_brand"], "rank", "dev").join(last, "p_brand").select("p_brand", (F.col("next_rank") > F.col("last")).alias("behind_all"))
+
+
+@register(f"WITH {_RANKED_SQL}, w AS (SELECT *, row_number() OVER g AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM r WINDOW g AS (PARTITION BY p_brand ORDER BY rank)) SELECT p_partkey, CASE WHEN i > 1 THEN TRUE END AS up, CASE WHEN i < n THEN TRUE END AS down FROM w")
+def moved_ranks(spark, sf):
+    """Whether the rank of a row moved one place lies between its new neighbours."""
+    moved = merge.neighbour_ranks(merge.moved_ranks(_ranked(spark, sf), ["p_brand"], "rank", "dev"), ["p_brand"], "rank")
+    up = (F.col("rank_up") < F.col("before1")) & F.coalesce(F.col("rank_up") > F.col("before2"), F.lit(True))
+    down = (F.col("rank_down") > F.col("after1")) & F.coalesce(F.col("rank_down") < F.col("after2"), F.lit(True))
+    return moved.select("p_partkey", up.alias("up"), down.alias("down"))
 
 
 # -- differences
@@ -651,8 +729,7 @@ def streamed_lww(spark, sf):
     """The op log as a stream, folded with state and written batch by batch; equal to the batch result."""
     from semilattice.sources.oplog import from_events
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-    out = f"{root}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = f"{sf}/events.parquet"
     events = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source if _is_dir(spark, source) else f"{sf}/events.parquet*")
     won = relay.running_fields(from_events(events))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semilattice.functions.wire import json_string, quote_name, sql_literal, text_order
+from semilattice.functions.wire import json_string, number_json, quote_name, sql_literal, text_order
 from semilattice.plans import schema as S
 
 NUL = "\u0000"
@@ -30,25 +32,33 @@ def _object(pairs: dict):
     return F.concat(*parts, F.lit("}"))
 
 
-def field_lines(fields: DataFrame) -> DataFrame:
+def field_lines(fields: DataFrame, by: str | None = None) -> DataFrame:
     """``key, line`` of field records; keys of a line are in fixed order."""
     line = _object({"type": F.lit('"field"'), "scopeId": _text("scope_id"), "tableName": _text("table_name"), "rowId": _text("row_id"), "field": _text("field"), "value": F.coalesce("value_json", F.lit("null")), "hlc": _text("hlc"), "serverSeq": F.col("server_seq").cast("string"), "txnId": _text("txn_id")})
-    return fields.select(F.lit(1).alias("part"), _key("scope_id", "table_name", "row_id", "field").alias("key"), line.alias("line"))
+    return fields.select(*([by] if by else []), F.lit(1).alias("part"), _key("scope_id", "table_name", "row_id", "field").alias("key"), line.alias("line"))
 
 
-def row_lines(rows: DataFrame) -> DataFrame:
+def row_lines(rows: DataFrame, by: str | None = None) -> DataFrame:
     line = _object({"type": F.lit('"row"'), "scopeId": _text("scope_id"), "tableName": _text("table_name"), "rowId": _text("row_id"), "firstSeenAt": F.col("first_seen_at").cast("string"), "class": _text("class"), "deletedHlc": _text("deleted_hlc"), "registerHlc": _text("register_hlc"), "serverSeq": F.col("server_seq").cast("string")})
-    return rows.select(F.lit(2).alias("part"), _key("scope_id", "table_name", "row_id").alias("key"), line.alias("line"))
+    return rows.select(*([by] if by else []), F.lit(2).alias("part"), _key("scope_id", "table_name", "row_id").alias("key"), line.alias("line"))
 
 
-def header_line(scope: DataFrame) -> DataFrame:
+def header_line(scope: DataFrame, by: str | None = None) -> DataFrame:
     line = _object({"type": F.lit('"header"'), "serverSeq": F.col("server_seq").cast("string"), "epoch": _text("epoch"), "tombstoneFloorSeq": F.col("tombstone_floor_seq").cast("string"), "schemaHash": _text("schema_hash")})
-    return scope.select(F.lit(0).alias("part"), F.encode(F.lit(""), "UTF-16BE").alias("key"), line.alias("line"))
+    return scope.select(*([by] if by else []), F.lit(0).alias("part"), F.encode(F.lit(""), "UTF-16BE").alias("key"), line.alias("line"))
+
+
+def body_lines(scope: DataFrame, fields: DataFrame, rows: DataFrame, by: str | None = None) -> DataFrame:
+    """``part, key, line``: a snapshot's lines with their places: header, fields, rows, each by key in code-unit order.
+
+    With ``by``, a column of all three, the lines of many bodies, each with that column.
+    """
+    return header_line(scope, by).unionByName(field_lines(fields, by)).unionByName(row_lines(rows, by))
 
 
 def to_ndjson(scope: DataFrame, fields: DataFrame, rows: DataFrame) -> DataFrame:
-    """One scope's snapshot as ``line``, in order: header, fields and rows by key in code-unit order."""
-    return header_line(scope).unionByName(field_lines(fields)).unionByName(row_lines(rows)).orderBy("part", "key").select("line")
+    """One scope's snapshot as ``line``, in the order of its body."""
+    return body_lines(scope, fields, rows).orderBy("part", "key").select("line")
 
 
 def write_ndjson(lines: DataFrame, path: str) -> None:
@@ -56,16 +66,26 @@ def write_ndjson(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 
 
-def digest(lines: DataFrame, line: str = "line", by: str | None = None) -> DataFrame:
-    """SHA-256 of the lines in sorted order, each ended by a newline: per group of ``by``, or of all.
+def digest(lines: DataFrame, by: str | None = None) -> DataFrame:
+    """SHA-256 of the body that ``part, key, line`` make up, each line ended by a newline: per group of ``by``, or of all.
 
-    A digest needs a body's bytes together; a body is one scope's snapshot, a device's own data.
+    Equals that of the file that ``write_ndjson`` writes. A digest needs a body's bytes together; a body is one
+    scope's snapshot, a device's own data.
     """
-    body = F.concat(F.array_join(F.array_sort(F.collect_list(line)), "\n"), F.lit("\n"))
+    in_order = F.array_sort(F.collect_list(F.struct("part", "key", "line")))
+    body = F.concat(F.array_join(F.transform(in_order, lambda x: x["line"]), "\n"), F.lit("\n"))
     grouped = lines.groupBy(by) if by else lines.groupBy()
     return grouped.agg(F.sha2(body, 256).alias("digest"), F.count("*").alias("n_lines"))
 
 
+def file_digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a written snapshot's bytes, its parts in the order of their names."""
+    found = hashlib.sha256()
+    for r in spark.read.format("binaryFile").load(f"{path.rstrip('/')}/part-*").orderBy("path").select("content").toLocalIterator():
+        found.update(r.content)
+    return found.hexdigest()
+
+
 _FIELD = "type string, scopeId string, tableName string, rowId string, field string, value string, hlc string, serverSeq long, txnId string"
 _ROW = "type string, scopeId string, tableName string, rowId string, firstSeenAt long, class string, deletedHlc string, registerHlc string, serverSeq long"
 
@@ -89,8 +109,9 @@ def from_ndjson(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
     return scope, fields, rows
 
 
-def verify(lines: DataFrame, expected: str) -> None:
-    got = digest(lines).first().digest
+def verify(spark: SparkSession, path: str, expected: str) -> None:
+    """Raises SnapshotError if a written snapshot's bytes are not those of the digest."""
+    got = file_digest(spark, path)
     if got != expected:
         raise SnapshotError(f"digest {got} is not {expected}")
 
@@ -112,7 +133,8 @@ def insert_script(rows: DataFrame, table: str) -> DataFrame:
     def literal(name: str, kind: str):
         c = F.col(name)
         text = F.concat(F.lit("'"), F.replace(c.cast("string"), F.lit("'"), F.lit("''")), F.lit("'"))
-        return F.coalesce(text if kind == "string" else c.cast("int").cast("string") if kind == "boolean" else c.cast("string"), F.lit(sql_literal(None)))
+        number = F.when(c.isNotNull(), number_json(c)) if kind in ("double", "float") else c.cast("string")
+        return F.coalesce(text if kind == "string" else c.cast("int").cast("string") if kind == "boolean" else number, F.lit(sql_literal(None)))
 
     head = f"INSERT INTO {quote_name(table)} ({', '.join(map(quote_name, names))}) VALUES ("
     kinds = dict(rows.dtypes)

@@ -12,6 +12,16 @@ from semilattice.plans import schema as S
 TABLES = {"fields": S.FIELDS, "rows": S.ROWS, "scope_state": S.SCOPES, "devices": S.DEVICES}
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares, from ``spark.checkpoint.dir``; on one machine, where that is unset, one of the session's own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    return found.rstrip("/")
+
+
 class Store:
     """All tables of a version appear together or not at all; a failed write leaves the version before.
 

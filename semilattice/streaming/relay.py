@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from semilattice.operators.resolve import FIELD_KEY, OUTCOMES, SKEW_MS, Scope, _batches, frame
+from semilattice.operators.resolve import FIELD_KEY, OUTCOMES, SKEW_MS, Scope, batches_of, frame
 
 
 def running_fields(ops: DataFrame) -> DataFrame:
@@ -34,14 +34,16 @@ class _ScopeProcessor(StatefulProcessor):
         self.rows = handle.getMapState("rows", "k string", "v string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:  # noqa: N802
-        pdf = pd.concat(list(rows))
+        pdf = pd.concat(list(rows)).sort_values(["batch_id", "pos"]).astype(object).where(lambda d: d.notna(), None)
         scope = Scope(key[0])
         if self.meta.exists():
             scope.seq, scope.last_seen = map(int, self.meta.get())
         scope.fields = {tuple(json.loads(k[0])): json.loads(v[0]) for k, v in self.fields.iterator()}
         scope.rows = {tuple(json.loads(k[0])): json.loads(v[0]) for k, v in self.rows.iterator()}
+        for t, r, f in scope.fields:
+            scope.named.setdefault((t, r), []).append(f)
         before = {n: {k: json.dumps(v) for k, v in getattr(scope, n).items()} for n in ("fields", "rows")}
-        out = [{"scope_id": key[0], "batch_id": b, **o} for b, group in _batches(pdf) for o in scope.push(group, self.now_ms, self.skew_ms)]
+        out = [{"scope_id": key[0], "batch_id": b, **o} for b, group in batches_of(pdf.to_dict("records")) for o in scope.push(group, self.now_ms, self.skew_ms)]
         for n, state in (("fields", self.fields), ("rows", self.rows)):
             for k, v in getattr(scope, n).items():
                 if before[n].get(k) != (text := json.dumps(v)):
