@@ -35,7 +35,9 @@ from .common import Scratch, Words, _power_tables, bounded_batches, give_back, m
 #: Words with a code of their own at most and their least count; very frequent words that tell the sort of text.
 SHORT, LEAST, FREQUENT = 65_000, 3, 96
 #: Text bytes in a chunk; tokens in a bucket from which buckets grow in number; words without a code likewise.
-CHUNK_BYTES, BUCKET_TOKENS, BUCKET_WORDS = 1 << 20, 1_500_000, 200_000
+CHUNK_BYTES, BUCKET_TOKENS, BUCKET_WORDS = 1 << 20, 900_000, 200_000
+#: Texts in a chunk at most.
+CHUNK_ROWS = 50_000
 #: Buckets of tokens at least, so that small corpora use several cores too.
 LEAST_BUCKETS = 4
 #: Tokens, and bytes that are spelled, in one online step.
@@ -66,6 +68,22 @@ def unpack(blob: bytes) -> bytes:
     return pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
 
 
+def planes(a: np.ndarray) -> np.ndarray:
+    """Two-byte numbers as their low bytes, then their high ones, which compress better."""
+    return np.ascontiguousarray(a.astype("<u2").view(np.uint8).reshape(-1, 2).T).reshape(-1)
+
+
+def from_planes(raw: bytes, n: int, at: int) -> np.ndarray:
+    """The two-byte numbers that ``planes`` laid out, as whole numbers."""
+    both = np.frombuffer(raw, np.uint8, 2 * n, at).reshape(2, n)
+    return both[0].astype(np.int64) + (both[1].astype(np.int64) << 8)
+
+
+def steps_up(a: np.ndarray) -> np.ndarray:
+    """An ascending column as the steps between its numbers."""
+    return np.diff(a, prepend=0).astype(np.uint16)
+
+
 def columns_of(blob: bytes, *kinds: type) -> list[np.ndarray]:
     """The arrays of ``pack``, by their types."""
     raw, out, at = unpack(blob), [], 0
@@ -339,10 +357,10 @@ def join_words(w: Words, at: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-CHUNKS = "chunk long, ids array<long>, held binary, bytes binary, n binary, tokens long, stream binary, hashes binary, words binary, learned binary"
+CHUNKS = "chunk long, ids array<long>, held binary, bytes binary, n binary, tokens long, stream binary, words binary, learned binary"
 TOTALS = "bucket int, hashes binary, n binary, words long, tokens long, hist array<long>"
 BLOBS = "bucket int, chunk long, payload binary, words binary"
-REPLIES = "chunk long, payload binary"
+REPLIES = "chunk long, kind int, payload binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
@@ -353,9 +371,9 @@ def read_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, values = batch.column(batch.schema.get_field_index("doc_id")), texts(batch)
         held_all = batch.column(batch.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False).astype(bool)
-        for a, b in steps(values, CHUNK_BYTES):
+        for a, b in ((x, min(x + CHUNK_ROWS, b)) for a, b in steps(values, CHUNK_BYTES) for x in range(a, b, CHUNK_ROWS)):
             w, held = Words(values[a:b]), held_all[a:b]
-            found, at, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+            found, at, inverse = np.unique(w.hash, return_index=True, return_inverse=True)  # ascending hashes
             n = np.diff(w.first) + 1
             stream = np.full(len(inverse) + (b - a), len(found), np.uint32)
             stream[np.arange(len(inverse)) + w.doc] = inverse
@@ -366,7 +384,7 @@ def read_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), ids[a:b]),
                     *(pa.array([x], pa.binary()) for x in (pack(held), pack(np.array([len(v or b"") + 1 for v in values[a:b]], np.int64)), pack(n.astype(np.int64)))),
                     pa.array([len(stream)], pa.int64()),
-                    *(pa.array([x], pa.binary()) for x in (pack(stream if len(found) > 65535 else stream.astype(np.uint16)), found.tobytes(), pack(np.frombuffer(join_words(w, at), np.uint8)), pack(learned))),
+                    *(pa.array([x], pa.binary()) for x in (pack(stream if len(found) > 65535 else stream.astype(np.uint16)), pack(np.frombuffer(join_words(w, at), np.uint8)), pack(learned))),
                 ],
                 [c.split()[0] for c in CHUNKS.split(", ")],
             )
@@ -374,6 +392,11 @@ def read_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
+def hashes_of(words: bytes) -> np.ndarray:
+    """The hashes of words with a space after each."""
+    return Words([words]).hash
+
+
 def cut(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket's share of ascending hashes begins."""
     return np.concatenate([[0], np.searchsorted(hashes, np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)), [len(hashes)]])
@@ -401,6 +424,12 @@ class Vocabulary:
     def other(self) -> int:
         return len(self.hashes) + 1
 
+    def plain(self, smooth: float) -> np.ndarray:
+        """log10 of leaves' smoothed shares; 0 for another word, which its own count decides."""
+        out = np.log10(self.counts + 0.5) - smooth
+        out[self.other] = 0
+        return out
+
     def leaves(self, hashes: np.ndarray) -> np.ndarray:
         """The leaves of a chunk's distinct words, and of the end."""
         at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
@@ -422,7 +451,8 @@ class Chunk:
     """One chunk's tokens, decoded."""
 
     def __init__(self, row: dict, vocabulary: Vocabulary) -> None:
-        self.hashes = np.frombuffer(row["hashes"], np.uint64)
+        self.words = unpack(row["words"])
+        self.hashes = hashes_of(self.words)
         raw = unpack(row["stream"])
         self.local = np.frombuffer(raw, np.uint16 if len(raw) < 4 * row["tokens"] else np.uint32).astype(np.int64)
         self.n, self.held = columns_of(row["n"], np.int64)[0], columns_of(row["held"], bool)[0]
@@ -469,6 +499,8 @@ def score_documents(docs: DataFrame, held_out: Column, short: int = SHORT, bucke
     hot = max(1, -(-tokens // token_buckets) // 8)
     word_buckets = max(1, -(-V // BUCKET_WORDS))
 
+    smooth = float(np.log10(N + 0.5 * (V + 1)))
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = model.value
         share = np.append(v.counts[:-1] // hot, 0) + 1
@@ -482,80 +514,92 @@ def score_documents(docs: DataFrame, held_out: Column, short: int = SHORT, bucke
             order = np.argsort(to.astype(np.uint16) if token_buckets < 65536 else to, kind="stable")
             edge = np.searchsorted(to[order], np.arange(token_buckets + 1))
             train = ~c.held[c.doc]
-            kinds = (np.uint32, np.uint32, np.uint16, np.uint16, np.uint8)
-            held = [x[order].astype(k) for x, k in zip((c.doc, first & _U(0xFFFFFF), second & _U(0xFFFF), c.leaf, c.last | (train << 7)), kinds, strict=True)]
+            first, second = (first & _U(0xFFFF)).astype(np.uint16)[order], (second & _U(0xFFFF)).astype(np.uint16)[order]
+            doc, leaf, last = c.doc[order], c.leaf[order], (c.last | (train << 7)).astype(np.uint8)[order]
             out: list[tuple] = []
             for i in np.flatnonzero(np.diff(edge)).tolist():
-                out.append((i, pack(*(x[edge[i] : edge[i + 1]] for x in held)), None))
+                x = slice(edge[i], edge[i + 1])
+                out.append((i, pack(planes(steps_up(doc[x])), planes(first[x]), planes(second[x]), planes(leaf[x]), last[x]), None))
             # words without a code go by their own hash, which ascends
             rare = np.flatnonzero(c.leaf_of[:-1] == v.other)
+            plain = v.plain(smooth)[c.leaf]
+            known = (v.counts[c.leaf] > 0) & (c.leaf != v.other)
+            base_ = np.add.reduceat(plain, c.first) if len(plain) else np.zeros(0)
+            out.append((token_buckets + word_buckets + row["chunk"] % 64, pack(base_, np.add.reduceat(known.astype(np.float64), c.first)), None))
             if len(rare):
                 number = np.full(len(c.hashes) + 1, -1, np.int64)
                 number[rare] = np.arange(len(rare))
                 mine = np.flatnonzero(c.leaf == v.other)
                 which, times = np.unique(number[c.local[mine]] * len(c.n) + c.doc[mine], return_counts=True)
                 word, doc = np.divmod(which, len(c.n))
-                spelled = unpack(row["words"]).split(b" ")
-                own, limits = c.hashes[rare], cut(c.hashes[rare], word_buckets)
+                spelled = c.words.split(b" ")
+                limits = cut(c.hashes[rare], word_buckets)
                 for i in np.flatnonzero(np.diff(limits)).tolist():
                     a, b = limits[i], limits[i + 1]
-                    x, y = np.searchsorted(word, [a, b])
-                    entry = pack((word[x:y] - a).astype(np.uint32), doc[x:y].astype(np.uint32), times[x:y].astype(np.uint32), c.held[doc[x:y]])
-                    words = b" ".join([spelled[j] for j in rare[a:b].tolist()])
-                    out.append((token_buckets + i, entry, pack(np.frombuffer(own[a:b].tobytes() + words, np.uint8)) + (b - a).item().to_bytes(8, "little")))
+                    x = slice(*np.searchsorted(word, [a, b]))
+                    entry = pack(steps_up(word[x] - a), doc[x].astype(np.uint32), times[x].astype(np.uint32), c.held[doc[x]])
+                    words = b" ".join([*(spelled[j] for j in rare[a:b].tolist()), b""])
+                    out.append((token_buckets + i, entry, pack(np.frombuffer(words, np.uint8))))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([row["chunk"]] * len(out), pa.int64()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], ["bucket", "chunk", "payload", "words"])
         give_back()
 
-    smooth = float(np.log10(N + 0.5 * (V + 1)))
     # whether another word is known: by how many of such training tokens would still be without their own occurrence
     known_share = (rare_tokens - vocabulary.once + 0.5) / (rare_tokens + 1)
 
-    def reply(chunk: list[int], edge: np.ndarray, doc: np.ndarray, score: np.ndarray, base_: np.ndarray, known: np.ndarray) -> pa.Table:
+    def reply(chunk: list[int], edge: np.ndarray, doc: np.ndarray, *sums: np.ndarray) -> pa.Table:
         """What a bucket adds to each document of each chunk, from tokens that stand chunk by chunk."""
         blobs = []
         for i in range(len(chunk)):
             part = slice(edge[i], edge[i + 1])
             some, at = np.unique(doc[part], return_inverse=True)
-            blobs.append(pack(some.astype(np.uint32), *(np.bincount(at, x[part], len(some)) for x in (score, base_, known))))
-        return pa.table({"chunk": pa.array(chunk, pa.int64()), "payload": pa.array(blobs, pa.binary())})
+            blobs.append(pack(some.astype(np.uint32), *(np.bincount(at, x[part], len(some)) for x in sums)))
+        return pa.table({"chunk": pa.array(chunk, pa.int64()), "kind": pa.array([len(sums)] * len(chunk), pa.int32()), "payload": pa.array(blobs, pa.binary())})
 
     def score_bucket(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")
         chunk, payload = table.column("chunk").to_pylist(), table.column("payload").to_pylist()
         v: Vocabulary = model.value
-        if table.column("bucket")[0].as_py() < token_buckets:
-            read = [columns_of(x, np.uint32, np.uint32, np.uint16, np.uint16, np.uint8) for x in payload]
-            doc, first, second, leaf, last = (np.concatenate(x) for x in zip(*read, strict=True))
-            edge = np.concatenate([[0], np.cumsum([len(x[0]) for x in read])])
-            stream = Stream(v.code, v.flat, v.after, leaf.astype(np.int64), first, second, last & 127)
+        bucket = table.column("bucket")[0].as_py()
+        if bucket >= token_buckets + word_buckets:  # what was settled where the tokens were dealt
+            return pa.table({"chunk": pa.array(chunk, pa.int64()), "kind": pa.array([0] * len(chunk), pa.int32()), "payload": pa.array(payload, pa.binary())})
+        if bucket < token_buckets:
+            raw = [unpack(x) for x in payload]
+            n = [len(x) // 9 for x in raw]
+            edge = np.concatenate([[0], np.cumsum(n)])
+            doc = np.concatenate([np.cumsum(from_planes(x, k, 0)) for x, k in zip(raw, n, strict=True)])
+            first, second, leaf = (np.concatenate([from_planes(x, k, at * k) for x, k in zip(raw, n, strict=True)]) for at in (2, 4, 6))
+            last = np.concatenate([np.frombuffer(x, np.uint8, k, 8 * k) for x, k in zip(raw, n, strict=True)])
+            del raw, payload
+            stream = Stream(v.code, v.flat, v.after, leaf, first, second, last & 127)
             train = np.flatnonzero(last >> 7)
             mixer = Mixer(4)
             stream.count(train)
             stream.learn(train, mixer)
-            score = stream.score(mixer) / np.log(10)
-            plain = np.log10(v.counts + 0.5) - smooth
-            plain[-1] = 0
-            return reply(chunk, edge, doc, score, plain[leaf], (v.counts * (np.arange(len(v.counts)) != v.other) > 0).astype(float)[leaf])
-        read = [columns_of(x, np.uint32, np.uint32, np.uint32, bool) for x in payload]
-        hashes, words = [], []
-        for x in table.column("words").to_pylist():
-            n, raw = int.from_bytes(x[-8:], "little"), unpack(x[:-8])
-            hashes.append(np.frombuffer(raw, np.uint64, n))
-            words += raw[8 * n :].split(b" ")
+            out = reply(chunk, edge, doc, stream.score(mixer) / np.log(10))
+            del stream
+            give_back()
+            return out
+        read = [columns_of(x, np.uint16, np.uint32, np.uint32, bool) for x in payload]
+        held_words = [unpack(x) for x in table.column("words").to_pylist()]
+        hashes = [hashes_of(x) for x in held_words]
+        words = [w for x in held_words for w in x.split(b" ")[:-1]]
         start = np.concatenate([[0], np.cumsum([len(h) for h in hashes])])
         _, at, number = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-        entry = number[np.concatenate([x[0] + s for x, s in zip(read, start[:-1], strict=True)])]
+        entry = number[np.concatenate([np.cumsum(x[0], dtype=np.int64) + s for x, s in zip(read, start[:-1], strict=True)])]
         doc, times, held = (np.concatenate([x[i] for x in read]) for i in (1, 2, 3))
         count = np.bincount(entry, times * ~held, len(at))
         spelled = [words[i] for i in at.tolist()]
+        del words
         new = np.flatnonzero(count == 0)
         speller = Speller([w for w, n in zip(spelled, count.tolist(), strict=True) if n > 0])
         each = np.log10(np.maximum(count, 1) / max(rare_tokens, 1)) + np.log10(known_share)
         if len(new):
             each[new] = np.log10(1 - known_share) + speller.score([spelled[i] for i in new.tolist()]) / np.log(10)
         edge = np.concatenate([[0], np.cumsum([len(x[0]) for x in read])])
+        out = reply(chunk, edge, doc, each[entry] * times, (np.log10(count + 0.5) - smooth)[entry] * times, (count > 0)[entry] * times)
+        del speller
         give_back()
-        return reply(chunk, edge, doc, each[entry] * times, (np.log10(count + 0.5) - smooth)[entry] * times, (count > 0)[entry] * times)
+        return out
 
     def settle(left: pa.Table, right: pa.Table) -> pa.Table:
         """A chunk's documents with the sums of what all buckets added."""
@@ -565,13 +609,16 @@ def score_documents(docs: DataFrame, held_out: Column, short: int = SHORT, bucke
         held, size, n = columns_of(row["held"], bool)[0], columns_of(row["bytes"], np.int64)[0], columns_of(row["n"], np.int64)[0]
         sums = np.zeros((3, len(n)))
         # in one order, so that sums are the same in every run
-        for blob in sorted(right.column("payload").to_pylist()):
-            doc, *parts = columns_of(blob, np.uint32, np.float64, np.float64, np.float64)
-            for s, x in zip(sums, parts, strict=True):
+        for kind, blob in sorted(zip(right.column("kind").to_pylist(), right.column("payload").to_pylist(), strict=True)):
+            if not kind:
+                sums[1:] += columns_of(blob, np.float64, np.float64)
+                continue
+            doc, *parts = columns_of(blob, np.uint32, *[np.float64] * kind)
+            for s, x in zip(sums, parts, strict=False):
                 s[doc] += x
         return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "held_out": pa.array(held), "n_tokens": pa.array(n), "n_known": pa.array(np.rint(sums[2]).astype(np.int64)), "train_tokens": pa.array(np.full(len(n), N, np.int64)), "base_score": pa.array(sums[1]), "score": pa.array(sums[0]), "bits_per_byte": pa.array(-sums[0] / np.log10(2) / size)})
 
-    dealt = chunks.select("chunk", "held", "n", "tokens", "stream", "hashes", "words").mapInArrow(deal, BLOBS)
+    dealt = chunks.select("chunk", "held", "n", "tokens", "stream", "words").mapInArrow(deal, BLOBS)
     replies = dealt.groupBy("bucket").applyInArrow(score_bucket, REPLIES)
     return chunks.select("chunk", "ids", "held", "bytes", "n").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(settle, SCORES)
 
@@ -592,7 +639,7 @@ def gather(chunks: DataFrame, base: DataFrame, tokens: int, scratch: Scratch, sh
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             n = columns_of(row["learned"], np.uint32)[0]
-            hashes = np.frombuffer(row["hashes"], np.uint64)[n > 0]
+            hashes = hashes_of(unpack(row["words"]))[n > 0]
             n = n[n > 0]
             edge = cut(hashes, buckets)
             some = np.flatnonzero(np.diff(edge)).tolist()
@@ -606,7 +653,7 @@ def gather(chunks: DataFrame, base: DataFrame, tokens: int, scratch: Scratch, sh
         give_back()
         return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), "hashes": pa.array([found.tobytes()], pa.binary()), "n": pa.array([pack(n)], pa.binary()), "words": pa.array([len(found)], pa.int64()), "tokens": pa.array([int(n.sum())], pa.int64()), "hist": pa.array([hist.tolist()], pa.list_(pa.int64()))})
 
-    parts = chunks.select("hashes", "learned").mapInArrow(deal, "bucket int, hashes binary, n binary")
+    parts = chunks.select("words", "learned").mapInArrow(deal, "bucket int, hashes binary, n binary")
     totals = scratch.write(parts.groupBy("bucket").applyInArrow(add, TOTALS), "totals", "none")
     sums = totals.agg(F.sum("words"), F.sum("tokens")).first()
     ends = base.where("not held_out").count()
@@ -656,7 +703,7 @@ def follow(chunks: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
             out += columns_of(x, np.int32)[0]
         return pa.table({"word": table.column("word")[:1], "n": pa.array([pack(out)], pa.binary())})
 
-    got = chunks.select("held", "n", "tokens", "stream", "hashes").mapInArrow(count, "word int, n binary").groupBy("word").applyInArrow(add, "word int, n binary")
+    got = chunks.select("held", "n", "tokens", "stream", "words").mapInArrow(count, "word int, n binary").groupBy("word").applyInArrow(add, "word int, n binary")
     n = np.zeros((leaves, FREQUENT + 1), np.int64)
     for r in got.toLocalIterator():
         n[:, r.word] = columns_of(r.n, np.int64)[0]
