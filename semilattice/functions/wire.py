@@ -106,12 +106,14 @@ def number_json(x: Column) -> Column:
     """A double's canonical text, as ``number_text`` gives it, in built-in functions; null gives ``null``.
 
     The digits of the shortest text that reads back as the number are split at its exponent and the point is set
-    anew. A number that is not finite raises an error.
+    anew. A number that is not finite raises an error. Where two shortest texts read back as the number, Java takes
+    the upper one and ``number_text`` the nearer one: about one in 2,000 random numbers of 16 digits and none of fewer,
+    but for numbers below 1e-307, whose digits are Java's.
     """
     size = F.abs(x).cast("double")
     text = size.cast("string")
     # Java may give more digits than are needed to read the number back
-    for digits in (16, 15):
+    for digits in (17, 16, 15):
         fewer = F.format_string(f"%.{digits - 1}e", size)
         text = F.when((F.length(text) > 16) & (fewer.cast("double") == size), F.replace(F.upper(fewer), F.lit("E+"), F.lit("E"))).otherwise(text)
     mantissa = F.substring_index(text, "E", 1)

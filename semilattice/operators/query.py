@@ -177,14 +177,30 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
     return not a.exceptAll(b).take(1) and not b.exceptAll(a).take(1)
 
 
+@dataclass(frozen=True)
+class QuerySnapshot:
+    """A watched query's result and how it differs from the one before: ``changes`` (keys, change), null the first time."""
+
+    rows: DataFrame
+    changes: DataFrame | None
+    same: bool  # whether a reader may keep what it shows
+
+
 @dataclass
 class Subscriptions:
-    """Watched queries: each runs once a generation, however many watch it, and all listeners hear once."""
+    """Watched queries: each runs once a generation, however many watch it, and all listeners hear once.
+
+    ``keep`` stores a result, for example in the shared folder, and returns it as stored; actions on it then run no
+    query again. ``keys`` and ``rev`` tell rows and their versions, as for ``delta``.
+    """
 
     run: Callable[[str], DataFrame]
+    keep: Callable[[DataFrame], DataFrame] = lambda df: df
+    keys: tuple[str, ...] = ("id",)
+    rev: str = "rev"
     generation: int = 0
     _watched: dict[str, int] = field(default_factory=dict)
-    _results: dict[str, tuple[int, DataFrame]] = field(default_factory=dict)
+    _results: dict[str, tuple[int, QuerySnapshot]] = field(default_factory=dict)
     _listeners: list[Callable[[int], None]] = field(default_factory=list)
 
     def watch(self, key: str) -> Callable[[], None]:
@@ -202,13 +218,30 @@ class Subscriptions:
         self._listeners.append(hear)
         return lambda: self._listeners.remove(hear)
 
+    def query_snapshot(self, key: str) -> QuerySnapshot:
+        """The result of this generation; one that equals the last one is that same object's rows."""
+        at, last = self._results.get(key, (-1, None))
+        if last is not None and at == self.generation:
+            return last
+        rows = self.keep(self.run(key))
+        changes = self.keep(delta(last.rows, rows, list(self.keys), self.rev)) if last is not None else None
+        same = changes is not None and changes.isEmpty()
+        out = QuerySnapshot(last.rows if same else rows, changes, same)
+        if key in self._watched:
+            self._results[key] = (self.generation, out)
+        return out
+
     def snapshot(self, key: str) -> DataFrame:
-        at, df = self._results.get(key, (-1, None))
-        if df is None or at != self.generation:
-            df = self.run(key)
-            if key in self._watched:
-                self._results[key] = (self.generation, df)
-        return df
+        """The result alone."""
+        at, last = self._results.get(key, (-1, None))
+        if last is not None and at == self.generation:
+            return last.rows
+        if key not in self._watched:
+            return self.run(key)
+        if last is None:
+            self._results[key] = (self.generation, QuerySnapshot(self.keep(self.run(key)), None, False))
+            return self._results[key][1].rows
+        return self.query_snapshot(key).rows
 
     def changed(self) -> None:
         self.generation += 1

@@ -221,6 +221,18 @@ def spark_ddl(schema: Schema) -> str:
 
 
 #: Columns of the relay's and the devices' tables.
+def python_module(schema: Schema) -> str:
+    """A module with a typed dictionary for each collection's rows and its Spark type as DDL."""
+    kinds = {"number": "float", "boolean": "bool", "json": "object"}
+    out = ["from typing import TypedDict", "", f"SCHEMA_HASH = {schema.hash!r}", f"SCHEMA_VERSION = {schema.version}"]
+    for c in schema.collections:
+        name = "".join(p.capitalize() for p in c.name.split("_"))
+        out += ["", "", f"class {name}(TypedDict, total=False):"]
+        out += [f"    {f.name}: {kinds.get(f.type, 'str')}{' | None' if f.nullable else ''}" for f in c.all_fields]
+        out += ["", "", f"{c.name.upper()}_DDL = {', '.join(f'{f.name} {f.spark().dataType.simpleString()}' for f in c.all_fields)!r}"]
+    return "\n".join(out) + "\n"
+
+
 OPS = "pos long, scope_id string, table_name string, row_id string, kind string, field string, value_json string, hlc string, txn_id string, base_hash string, batch_id long"
 FIELDS = "scope_id string, table_name string, row_id string, field string, value_json string, hlc string, server_seq long, txn_id string"
 ROWS = "scope_id string, table_name string, row_id string, first_seen_at long, class string, deleted_hlc string, register_hlc string, server_seq long"

@@ -244,7 +244,7 @@ def test_snapshot_ndjson_round_trip(spark, tmp_path):
 
 
 def test_store_commits_whole_versions(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "db"), partitioned=True)
+    store = Store(spark, str(tmp_path / "db"))
     assert store.table("rows").count() == 0
     rec = lambda s, seq: (s, "t", "r", "f", "1", "h", seq, "x")
     fields = spark.createDataFrame([rec("s", 1), rec("o'x", 2)], store.table("fields").schema)
@@ -255,6 +255,13 @@ def test_store_commits_whole_versions(spark, tmp_path):
     with pytest.raises(Exception):  # noqa: B017
         store.commit(fields=fields.withColumn("server_seq", F.raise_error(F.lit("no")).cast("long")))
     assert store.table("fields").count() == 2
+    before = store._pointer()
+    store.commit_scopes(["s"], fields=spark.createDataFrame([rec("s", 8), rec("o'x", 99)], fields.schema))
+    assert {(r.scope_id, r.server_seq) for r in store.table("fields").collect()} == {("s", 8), ("o'x", 2)}
+    after = store._pointer()
+    assert len([k for k in after if after[k] != before.get(k)]) == 1  # one bucket was written
+    store.commit_scopes(["s"], fields=fields.limit(0))
+    assert [r.scope_id for r in store.table("fields").collect()] == ["o'x"]
 
 
 def test_schema_rules(tmp_path):
