@@ -11,9 +11,9 @@ tokens, or it is spelled, its bytes being paths of bits predicted under hashes o
 all of them, mixed and refined in the same way. Every bit's two probabilities sum to one, so a text's score is a probability.
 
 What is gathered grows with the corpus: tokens are dealt by the word before them to as many buckets as the corpus
-asks for, words without a code by their own hash. A bucket counts its training tokens in tables as large as it needs,
-learns its weights from them and scores all its tokens. While it learns, the token that is predicted is taken out of
-the counts that predict it, as if it had not been seen yet. Very frequent words are dealt out further by the word
+asks for, words without a code by their own hash. A bucket goes along its training tokens block by block: each block is
+predicted from what came before it, moves the weights, and is then counted in tables as large as the bucket needs;
+with what it has learned in the end the bucket scores all its tokens. Very frequent words are dealt out further by the word
 before them. Only the tree, the shares after very frequent words and counts of words with a code are broadcast, all
 of a size that ``SHORT`` bounds. Words are told apart by 64-bit hashes.
 """
@@ -42,6 +42,8 @@ CHUNK_ROWS = 50_000
 LEAST_BUCKETS = 4
 #: Tokens, and bytes that are spelled, in one online step.
 BLOCK, SPELL_BLOCK = 2048, 1 << 13
+#: Steps after which counts are looked through: a slot grows by one a token at most, so none can overflow before.
+SETTLE = 16
 LEVELS = 4  # of what a context has seen: nothing, 1-3, 4-30, more
 GATES = LEVELS * LEVELS
 BINS = 33  # of the refining table, over log-odds of -8 .. 8
@@ -50,7 +52,8 @@ ODDS = 12
 TOP = 256  # counts from here on weigh alike in a predictor's log-odds
 _U = np.uint64
 _END, _START = _U(1), _U(2)
-_ONE = np.array([1, 1 << 8], np.uint16)
+_ONE = np.array([1, 1 << 16], np.uint32)
+_LOW, _LAST, _NEAR, _HALF, _BYTE = (np.uint32(x) for x in (0xFFFF, TOP - 1, 30_000, 16, 8))
 _ZEROS, _ONES = np.arange(TOP * TOP) % TOP, np.arange(TOP * TOP) // TOP
 _ODDS = np.log((_ONES + 0.4) / (_ZEROS + 0.4)).astype(np.float32)
 _LEVEL = ((_ZEROS + _ONES > 0).astype(np.int8) + (_ZEROS + _ONES > 3) + (_ZEROS + _ONES > 30)).astype(np.int8)
@@ -151,26 +154,41 @@ def paths(code: Code, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 class Table:
-    """Counts of zeros and ones in slots, side by side; once they are complete, as bytes of one number a slot."""
+    """Counts of zeros and ones in slots: two bytes each while they grow, one byte each once they are complete."""
 
     def __init__(self, shift: np.uint64) -> None:
-        self.n = np.zeros(2 << (64 - int(shift)), np.int32)
-        self.both = np.zeros(0, np.uint16)
+        self.both = np.zeros(1 << (64 - int(shift)), np.uint32)
+        self.closed = False
+
+    def look(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds of a one, and how much the slot has seen."""
+        at = self.both.take(slot)
+        if not self.closed:
+            at = np.minimum(at & _LOW, _LAST) | (np.minimum(at >> _HALF, _LAST) << _BYTE)
+        return _ODDS.take(at), _LEVEL.take(at)
 
     def add(self, slot: np.ndarray, bit: np.ndarray) -> None:
-        np.add.at(self.n, slot * 2 + bit, np.int32(1))
+        np.add.at(self.both, slot, _ONE.take(bit))
 
-    def close(self) -> None:
-        np.minimum(self.n, TOP - 1, out=self.n)
-        self.both = (self.n[0::2] + (self.n[1::2] << 8)).astype(np.uint16)
-        self.n = np.zeros(0, np.int32)
+    def add_all(self, slot: np.ndarray, bit: np.ndarray) -> None:
+        """The same for any number of bits, many of which may fall into one slot."""
+        for lo in range(0, len(slot), int(_NEAR)):
+            part = slot[lo : lo + int(_NEAR)]
+            self.add(part, bit[lo : lo + int(_NEAR)])
+            now = self.both.take(part)
+            if (over := ((now & _LOW) > _NEAR) | (now >> _HALF > _NEAR)).any():
+                self._halve(np.unique(part[over]))
+
+    def settle(self) -> None:
+        """Keeps counts within their two bytes: halves both where one has grown near their end."""
+        self._halve(np.flatnonzero(((self.both & _LOW) > _NEAR) | (self.both >> _HALF > _NEAR)))
 
-    def look(self, slot: np.ndarray, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """Log-odds of a one, and how much the slot has seen, without the ``own`` bits."""
-        both = self.both.take(slot)
-        if own is not None:
-            both -= _ONE.take(own)
-        return _ODDS.take(both), _LEVEL.take(both)
+    def _halve(self, full: np.ndarray) -> None:
+        self.both[full] = (self.both[full] >> np.uint32(1)) & np.uint32(0x7FFF7FFF)
+
+    def close(self) -> None:
+        self.both = (np.minimum(self.both & _LOW, _LAST) | (np.minimum(self.both >> _HALF, _LAST) << _BYTE)).astype(np.uint16)
+        self.closed = True
 
 
 class Mixer:
@@ -194,8 +212,8 @@ class Mixer:
     def place(gate: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The refining table's lower bin and the weight of the upper one."""
         x = (z + np.float32(8)) * np.float32((BINS - 1) / 16)
-        low = np.minimum(x.astype(np.int32), BINS - 2)
-        return gate.astype(np.int32) * np.int32(BINS) + low, x - low.astype(np.float32)
+        low = np.minimum(x.astype(np.int64), BINS - 2)
+        return gate * BINS + low, x - low.astype(np.float32)
 
     def learn(self, gate: np.ndarray, inputs: list[np.ndarray], bit: np.ndarray) -> None:
         """One online step: weights move along the gradient of the code length of a block's bits, over the curvature
@@ -203,13 +221,13 @@ class Mixer:
         z = self.mix(gate, inputs)
         p = 1 / (1 + np.exp(-z))
         err, bend = bit - p, np.maximum(p * (1 - p), np.float32(1e-3))
-        step, wide = np.empty_like(self.weights), gate.astype(np.int64)
+        step = np.empty_like(self.weights)
         for k, x in enumerate([*inputs, np.float32(1)]):
-            step[:, k] = np.bincount(wide, err * x, GATES)
+            step[:, k] = np.bincount(gate, err * x, GATES)
         if self.steps % 4 == 0:  # it changes slowly
             self.curve *= 0.92
             for k, x in enumerate([*inputs, np.float32(1)]):
-                self.curve[:, k] += 4 * np.bincount(wide, bend * x * x, GATES)
+                self.curve[:, k] += 4 * np.bincount(gate, bend * x * x, GATES)
         self.steps += 1
         # so many times the diagonal bounds the whole curvature
         self.weights += step / (self.weights.shape[1] * self.curve + 1.0)
@@ -230,13 +248,17 @@ class Mixer:
 
 
 def slots(context: np.ndarray, node: np.ndarray, shift: np.uint64) -> np.ndarray:
-    """The slot of a table for each bit's hashed context and node."""
-    h = context ^ (node.astype(np.uint64) + _U(1)) * _U(0xC2B2AE3D27D4EB4F)
+    """The slot of a table for each bit's hashed context and hashed node."""
+    h = context ^ node
     h *= _U(0x9E3779B97F4A7C15)
     h >>= shift
     return h.view(np.int64)
 
 
+def node_hashes(code: Code) -> np.ndarray:
+    return (np.arange(len(code.length), dtype=np.uint64) + _U(1)) * _U(0xC2B2AE3D27D4EB4F)
+
+
 def table_shift(entries: int) -> np.uint64:
     """64 less the bits of a table with room for so many entries."""
     return _U(64 - max(10, int(entries - 1).bit_length() if entries > 1 else 0))
@@ -246,48 +268,43 @@ class Stream:
     """A bucket's tokens: the leaf of each, the words before it as hashed contexts, and the last very frequent word."""
 
     def __init__(self, code: Code, flat: np.ndarray, after: np.ndarray, leaf: np.ndarray, before: np.ndarray, two: np.ndarray, last: np.ndarray) -> None:
-        self.code, self.flat, self.after = code, flat, after
-        self.leaf, self.last = leaf, last.astype(np.int64)
+        self.code, self.flat, self.after, self.hashed = code, flat, after, node_hashes(code)
+        self.leaf, self.row = leaf, last.astype(np.int64) * len(flat)
         first = mix(before.astype(np.uint64) + _U(0x9E37))
         self.contexts = [first, mix(first + two.astype(np.uint64) + _U(1))]
-        self.tables: list[Table] = []
-        self.shift = _U(0)
+        self.shift = table_shift(0)
+        self.tables = [Table(self.shift) for _ in self.contexts]
 
-    def block(self, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-        """For tokens at these places: each bit's node, its slots, the bit, its last very frequent word, and begins."""
+    def block(self, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
+        """For tokens at these places: each bit's gate, the predictors' log-odds, its slots, the bit, and where each token's begin."""
         owner, node, bit, start = paths(self.code, self.leaf[at])
-        return node, [slots(c[at][owner], node, self.shift) for c in self.contexts], bit, self.last[at][owner], start
+        hashed = self.hashed.take(node)
+        found = [slots(c[at].take(owner), hashed, self.shift) for c in self.contexts]
+        (one, seen), (two, often) = (t.look(s) for t, s in zip(self.tables, found, strict=True))
+        after = self.after.take(self.row[at].take(owner) + node) * np.float32(1 / ODDS)
+        gate = (often * np.int8(LEVELS) + seen).astype(np.int64)
+        return gate, [self.flat.take(node), after, one, two], found, bit, start
 
-    def count(self, train: np.ndarray) -> None:
-        """Fills the tables from the training tokens."""
+    def learn(self, train: np.ndarray, mixer: Mixer) -> None:
+        """Goes along the training tokens: each block is predicted from those before it, then learned, then counted."""
         self.shift = table_shift(int(self.code.length[self.leaf[train]].sum()) // 2)
         self.tables = [Table(self.shift) for _ in self.contexts]
-        for lo in range(0, len(train), BLOCK):
-            _, found, bit, _, _ = self.block(train[lo : lo + BLOCK])
+        for n, lo in enumerate(range(0, len(train), BLOCK)):
+            gate, x, found, bit, _ = self.block(train[lo : lo + BLOCK])
+            mixer.learn(gate, x, bit.astype(np.float32))
             for t, s in zip(self.tables, found, strict=True):
                 t.add(s, bit)
+                if n % SETTLE == SETTLE - 1:
+                    t.settle()
         for t in self.tables:
             t.close()
 
-    def inputs(self, node: np.ndarray, found: list[np.ndarray], last: np.ndarray, own: np.ndarray | None) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Gates and log-odds; ``own`` bits are taken out of the hashed contexts' counts."""
-        (one, seen), (two, often) = (t.look(s, own) for t, s in zip(self.tables, found, strict=True))
-        after = self.after.take(last * len(self.flat) + node) * np.float32(1 / ODDS)
-        return often * np.int8(LEVELS) + seen, [self.flat.take(node), after, one, two]
-
-    def learn(self, train: np.ndarray, mixer: Mixer) -> None:
-        for lo in range(0, len(train), BLOCK):
-            node, found, bit, last, _ = self.block(train[lo : lo + BLOCK])
-            gate, x = self.inputs(node, found, last, bit)
-            mixer.learn(gate, x, bit.astype(np.float32))
-
     def score(self, mixer: Mixer) -> np.ndarray:
         """ln of the probability of each token's leaf."""
         out = np.empty(len(self.leaf))
         for lo in range(0, len(self.leaf), BLOCK):
             at = np.arange(lo, min(lo + BLOCK, len(self.leaf)))
-            node, found, bit, last, start = self.block(at)
-            gate, x = self.inputs(node, found, last, None)
+            gate, x, _, bit, start = self.block(at)
             out[at] = np.add.reduceat(mixer.log_bits(gate, x, bit), start)
         return out
 
@@ -301,18 +318,17 @@ class Speller:
         self.code = huffman(hist)
         self.shift = table_shift(int(self.code.length[joined].sum()) // 4)
         self.tables = [Table(self.shift) for _ in range(SPELLERS)]
-        self.mixer = Mixer(SPELLERS)
-        blocks = [words[a:b] for a, b in steps(words, SPELL_BLOCK)]
-        for b in blocks:
-            found, bit, _ = self._bits(b)
+        self.mixer, self.hashed = Mixer(SPELLERS), node_hashes(self.code)
+        order = np.random.default_rng(len(words)).permutation(len(words)).tolist()  # neighbours in a list begin alike
+        words = [words[i] for i in order]
+        for a, b in steps(words, SPELL_BLOCK):
+            found, bit, _ = self._bits(words[a:b])
+            gate, x = self._inputs(found)
+            self.mixer.learn(gate, x, bit.astype(np.float32))
             for t, s in zip(self.tables, found, strict=True):
-                t.add(s, bit)
+                t.add_all(s, bit)
         for t in self.tables:
             t.close()
-        for b in blocks:
-            found, bit, _ = self._bits(b)
-            gate, x = self._inputs(found, bit)
-            self.mixer.learn(gate, x, bit.astype(np.float32))
 
     def _bits(self, words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """Each predictor's slots, the bits, and where each word's bits begin."""
@@ -330,18 +346,19 @@ class Speller:
             h = mix(h * _U(3) + np.where(place >= k, byte + _U(2), np.where(place == k - 1, _U(1), _U(0))))
             held.append(h + _U(k))
         of, node, bit, start = paths(self.code, joined)
-        return [slots(c[of], node, self.shift) for c in held], bit, start[begin]
+        hashed = self.hashed.take(node)
+        return [slots(c.take(of), hashed, self.shift) for c in held], bit, start[begin]
 
-    def _inputs(self, found: list[np.ndarray], own: np.ndarray | None) -> tuple[np.ndarray, list[np.ndarray]]:
-        out, seen = zip(*(t.look(s, own) for t, s in zip(self.tables, found, strict=True)), strict=True)
-        return seen[4] * np.int8(LEVELS) + seen[0], list(out)
+    def _inputs(self, found: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        out, seen = zip(*(t.look(s) for t, s in zip(self.tables, found, strict=True)), strict=True)
+        return (seen[4] * np.int8(LEVELS) + seen[0]).astype(np.int64), list(out)
 
     def score(self, words: list[bytes]) -> np.ndarray:
         """ln of the probability of each word's spelling."""
         out = np.empty(len(words))
         for a, b in steps(words, SPELL_BLOCK):
             found, bit, start = self._bits(words[a:b])
-            gate, x = self._inputs(found, None)
+            gate, x = self._inputs(found)
             out[a:b] = np.add.reduceat(self.mixer.log_bits(gate, x, bit), start)
         return out
 
@@ -481,7 +498,8 @@ def score_documents(docs: DataFrame, held_out: Column, short: int = SHORT, bucke
     input row. A null text has its end for its only token. A row without doc_id is held out. Repeated rows count
     and are scored each; an empty table gives an empty result; other columns are not read. With nothing to learn
     from, every bit has probability a half. base_score is the smoothed unigram one; bits_per_byte is that of
-    ``score`` over the text's bytes and one for its end. A word may be of any length.
+    ``score`` over the text's bytes and one for its end. A word may be of any length. Equal texts get equal scores,
+    but for the share of the first token where so many texts begin that several buckets count beginnings.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -496,7 +514,7 @@ def score_documents(docs: DataFrame, held_out: Column, short: int = SHORT, bucke
     rare_tokens = int(vocabulary.counts[-1])
     token_buckets = max(least_buckets, -(-tokens // bucket_tokens))
     # a word that more than an eighth of a bucket follows is dealt out by the word before it too
-    hot = max(1, -(-tokens // token_buckets) // 8)
+    hot = max(10_000, -(-tokens // token_buckets) // 8)
     word_buckets = max(1, -(-V // BUCKET_WORDS))
 
     smooth = float(np.log10(N + 0.5 * (V + 1)))
@@ -573,7 +591,6 @@ def score_documents(docs: DataFrame, held_out: Column, short: int = SHORT, bucke
             stream = Stream(v.code, v.flat, v.after, leaf, first, second, last & 127)
             train = np.flatnonzero(last >> 7)
             mixer = Mixer(4)
-            stream.count(train)
             stream.learn(train, mixer)
             out = reply(chunk, edge, doc, stream.score(mixer) / np.log(10))
             del stream

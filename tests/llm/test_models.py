@@ -156,24 +156,16 @@ def test_lm_scores_equal_a_plain_scorer(monkeypatch):
     leaf, before, two, last, train = tokens()
     code, flat, after, stream = model_of(leaf, before, two, last, train)
     learners, mixer = np.flatnonzero(train), lm.Mixer(4)
-    stream.count(learners)
     stream.learn(learners, mixer)
     got = stream.score(mixer)
 
     path = lambda x: [(int(code.nodes[code.begin[x] + k]), int(code.bits[code.begin[x] + k])) for k in range(code.length[x])]
     counts = {}
-    for i in learners:
-        for node, bit in path(leaf[i]):
-            for key in ((before[i], node), (before[i], two[i], node)):
-                counts.setdefault(key, [0, 0])[bit] += 1
     odds = lambda c: np.log((min(c[1], 255) + 0.4) / (min(c[0], 255) + 0.4))
     level = lambda c: sum(sum(c) > k for k in (0, 3, 30))
 
-    def predictors(i, node, own):
-        c = [list(counts.get(k, (0, 0))) for k in ((before[i], node), (before[i], two[i], node))]
-        if own is not None:
-            for x in c:
-                x[own] -= 1
+    def predictors(i, node):
+        c = [counts.get(k, (0, 0)) for k in ((before[i], node), (before[i], two[i], node))]
         return level(c[1]) * 4 + level(c[0]), [flat[node], after[last[i] * len(flat) + node] / lm.ODDS, odds(c[0]), odds(c[1]), 1.0]
 
     weights = [[0.3] * 4 + [0.0] for _ in range(16)]
@@ -181,7 +173,7 @@ def test_lm_scores_equal_a_plain_scorer(monkeypatch):
     table = [[1 / (1 + np.exp(-(-8 + 0.5 * b))) for b in range(33)] for _ in range(16)]
     mixed = lambda g, x: min(8, max(-8, sum(w * v for w, v in zip(weights[g], x, strict=True))))
     for n, lo in enumerate(range(0, len(learners), 256)):
-        rows = [(*predictors(i, node, bit), bit) for i in learners[lo : lo + 256] for node, bit in path(leaf[i])]
+        rows = [(*predictors(i, node), bit) for i in learners[lo : lo + 256] for node, bit in path(leaf[i])]
         grad = [[0.0] * 5 for _ in range(16)]
         bend = [[0.0] * 5 for _ in range(16)]
         seen, ones = [[0] * 33 for _ in range(16)], [[0] * 33 for _ in range(16)]
@@ -205,11 +197,15 @@ def test_lm_scores_equal_a_plain_scorer(monkeypatch):
                 if seen[g][b]:
                     table[g][b] += 0.1 * seen[g][b] / (seen[g][b] + 100) * (ones[g][b] / seen[g][b] - table[g][b])
                 table[g][b] = min(1 - 1e-4, max(1e-4, table[g][b]))
+        for i in learners[lo : lo + 256]:  # counted once it has been predicted
+            for node, bit in path(leaf[i]):
+                for key in ((before[i], node), (before[i], two[i], node)):
+                    counts.setdefault(key, [0, 0])[bit] += 1
     want = []
     for i in range(len(leaf)):
         total = 0.0
         for node, bit in path(leaf[i]):
-            g, x = predictors(i, node, None)
+            g, x = predictors(i, node)
             z = mixed(g, x)
             at = (z + 8) * 2
             b = min(int(at), 31)
@@ -225,7 +221,6 @@ def test_lm_is_a_distribution_over_tokens_and_learns():
     leaf, before, two, last, train = tokens()
     code, flat, after, stream = model_of(leaf, before, two, last, train)
     mixer = lm.Mixer(4)
-    stream.count(np.flatnonzero(train))
     stream.learn(np.flatnonzero(train), mixer)
     plain = np.bincount(leaf[train], minlength=40) + 1.0
     held = ~train
