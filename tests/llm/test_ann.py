@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from semilattice.llm.ann import grow, nearest, route, visit
+from semilattice.llm.ann import grow, nearest, route, share, visit
 
 SCHEMA = "vec_id long, embedding array<float>, score string, rank long"
 
@@ -68,3 +68,24 @@ def test_a_query_reaches_its_own_leaf_first():
         seen = visit(trees, v[i], 10_000)
         assert {(t, int(leaves[t][i])) for t in range(3)} <= set(seen)
         assert len(seen) == len(set(seen)) == sum(len(t.sizes) for t in trees)
+
+
+def test_clustered_vectors_need_a_small_share(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 16))
+    rows = [(i, (centres[i % 60] + 0.3 * rng.normal(size=16)).tolist()) for i in range(4000)]
+    v = np.array([x for _, x in rows], np.float32).astype(float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    got = {}
+    for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, search=0.2).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for n in range(0, 4000, 50):
+        s = v @ v[n]
+        s[n] = -9
+        hit += len(set(np.argsort(-s, kind="stable")[:5].tolist()) & got[n])
+    assert hit / 400 >= 0.9
+
+
+def test_a_search_grows_slower_than_the_table():
+    assert all(share(10 * n) * 10 * n < 5.1 * share(n) * n for n in (2000, 10_000, 10**6, 10**9)) and share(51_000) < 0.5
