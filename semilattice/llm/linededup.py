@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, _power_tables, arrow_map, column, distinct_sets, mix, need, texts
+from .common import Scratch, _power_tables, arrow_map, column, distinct_sets, fresh, mix, need, texts
 
 
 _END = re.compile(rb"\n|[.!?] ")
@@ -183,6 +183,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int | None = None) ->
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "linededup")
+    id_, fp, gone_, own_fp = fresh(docs, "id", "fp", "gone", "own_fp")
     lines = scratch.write(line_table(docs), "lines")
     named = lines.where("doc_id is not null")
     if rare is None:
@@ -206,20 +207,20 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int | None = None) ->
         return {"doc_id": column(batch, "doc_id").take(pa.array(some)), "fp": column(batch, "fp").take(pa.array(some)), "gone": [gone[i] for i in some]}
 
     gone = arrow_map(met, align, "doc_id long, fp long, gone array<int>").select("doc_id", "fp", F.explode("gone").alias("line")).distinct()
-    gone = scratch.write(gone.groupBy("doc_id", "fp").agg(F.collect_list("line").alias("_gone")).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), "_gone"), "gone")
+    gone = scratch.write(gone.groupBy("doc_id", "fp").agg(F.collect_list("line").alias("gone_lines")).select(F.col("doc_id").alias(id_), F.col("fp").alias(fp), F.col("gone_lines").alias(gone_)), "gone")
     scratch.drop(lines)
     if rare is None:
         scratch.drop(anchors)
 
     # a doc_id nearly always has one text; the fingerprint tells repeated ones apart
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    joined = docs.select(*(F.col(f"`{c}`") for c in own), F.xxhash64(F.col("text").cast("string")).alias("_fp0")).join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_fp0") == F.col("_fp")), "left")
+    joined = docs.select(*(F.col(f"`{c}`") for c in own), F.xxhash64(F.col("text").cast("string")).alias(own_fp)).join(gone, (F.col("doc_id").cast("long") == F.col(id_)) & (F.col(own_fp) == F.col(fp)), "left")
     kept = [f for f in docs.schema.fields if f.name in own]
     text_at = own.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values, gone = texts(b), column(b, "_gone").to_pylist()
+            values, gone = texts(b), column(b, gone_).to_pylist()
             lines = [split_lines(t or b"") for t in values]
             for i, g in enumerate(gone):
                 if g:
@@ -229,4 +230,4 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int | None = None) ->
             columns[text_at] = pa.array(values, pa.binary()).cast(columns[text_at].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) for x in lines], pa.int64()), pa.array([len(g or ()) for g in gone], pa.int64())], [*own, "n_lines", "n_removed"])
 
-    return joined.select(*(F.col(f"`{c}`") for c in own), "_gone").mapInArrow(cut, T.StructType(kept).add("n_lines", "long").add("n_removed", "long"))
+    return joined.select(*(F.col(f"`{c}`") for c in own), gone_).mapInArrow(cut, T.StructType(kept).add("n_lines", "long").add("n_removed", "long"))

@@ -149,3 +149,50 @@ def test_repeated_and_crossing_passages_go(spark):
     got = {x.doc_id: x.text for x in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     left = [texts[0], [u[3], u[4]], [u[5], u[6], u[7]], texts[3], [u[12], u[13], u[14], u[15]]]
     assert got == {i: "\n".join(t) for i, t in enumerate(left)}
+
+
+def plain_removed(rows, least):
+    """Which lines go, from the requirement alone: all pairs of documents, all runs of lines, by the texts themselves."""
+    parts = {}
+    for i, t in rows:
+        ends = [k + 1 for k, c in enumerate(t) if c == "\n" or (c == " " and k and t[k - 1] in ".!?")]
+        cuts = sorted({0, *ends, len(t)})
+        parts[i] = [t[a:b] for a, b in zip(cuts, cuts[1:])]
+    out = {}
+    for i, lines in parts.items():
+        trimmed, gone = [x.strip() for x in lines], set()
+        for j, other in parts.items():
+            if j < i:
+                held = [x.strip() for x in other]
+                runs = {tuple(held[a:b]) for a in range(len(held)) for b in range(a + 1, len(held) + 1)}
+                for a in range(len(trimmed)):
+                    for b in range(a + 1, len(trimmed) + 1):
+                        if tuple(trimmed[a:b]) in runs and sum(len(x.split()) for x in lines[a:b]) >= least:
+                            gone |= set(range(a, b))
+        out[i] = "".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+def test_equals_all_pairs_without_the_modules_code(spark):
+    rng = random.Random(21)
+    pool = ["go on", "yes", "no no", "one two three", "a b c d", "stop", "the end", "x y", "more of it", "w1 w2 w3 w4 w5 w6 w7 w8 w9"]
+    rows = []
+    for i in range(60):
+        lines = [rng.choice(pool) if rng.random() < 0.8 else f"own {i} {k}" for k in range(rng.randint(2, 9))]
+        rows.append((i, "".join(x + rng.choice(["\n", ". ", "! ", " \n"]) for x in lines)))
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_removed(rows, 8)
+
+
+def test_documents_meet_through_runs_whoever_holds_their_lines_first(spark):
+    first, second = "alpha beta gamma delta one", "epsilon zeta eta theta two"
+    rows = [(1, f"{first}\nown line of one"), (2, f"{second}\nown line of two"), (3, f"three\n{first}\n{second}\nthree too"), (4, f"four\n{first}\n{second}\nfour too")]
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: rows[1][1], 3: rows[2][1], 4: "four\nfour too"}
+
+
+def test_clashing_names(spark):
+    rows = [(1, "one two three four five six seven eight\nmore", 7, "f", "g", 1), (2, "x\none two three four five six seven eight", 8, "f", "g", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id long, _fp string, _gone string, _own_fp long")
+    got = sorted(tuple(r) for r in dedup_lines(df).collect())
+    assert got == [(*rows[0], 2, 0), (2, "x\n", *rows[1][2:], 2, 1)]
