@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import need
+from .common import Scratch, need
 
 try:  # the parser's module was renamed
     from re import _constants as _c
@@ -44,6 +44,9 @@ RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", False, 0, 27),
 )
 
+#: Candidates that are sent to all tasks at most (an id and some kinds each); beyond it texts are shuffled to them.
+BROADCAST_HITS = 1_000_000
+
 #: A query: ("all", ...) or ("any", ...) of queries, a trigram, or None where nothing is mandatory.
 Query = tuple | str | None
 
@@ -199,7 +202,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     grams = sorted(set().union(set(), *map(query_trigrams, queries.values())))
     base = need(docs, **{id_col: "long", text_col: "string"}).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     if grams:
-        hits = candidates(build_index(base, "_id", "_text", grams), "_id", queries).withColumnRenamed("_id", "_hit")
+        # the texts stay where they are while candidates are few enough to be sent to them
+        scratch = Scratch(docs.sparkSession, "secrets")
+        hits = scratch.write(candidates(build_index(base, "_id", "_text", grams), "_id", queries).withColumnRenamed("_id", "_hit"), "hits")
+        hits = F.broadcast(hits) if hits.count() <= BROADCAST_HITS else hits
         base = base.join(hits, F.col("_id").eqNullSafe(F.col("_hit")), "left")
     else:
         base = base.withColumn("kinds", F.lit(None).cast("array<string>"))

@@ -72,11 +72,10 @@ def test_queries_are_implied_by_matches():
             if re.search(rule.regex, text, re.A):
                 assert holds(trigram_query(rule.regex), text.lower()), (rule.kind, text)
     assert trigram_query(RULES[2].regex) is None
-    assert trigram_query("ab+c(de|f)ghi") == ("all", ("any", "ghi", ("all", "deg", "egh", "ghi"))) or trigram_query("ab+c(de|f)ghi") is not None
+    assert trigram_query("(abc|abd)x") == ("any", ("all", "abc", "bcx"), ("all", "abd", "bdx"))
 
 
 def test_plan_has_no_python(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = secrets_report(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
-    assert F is not None
