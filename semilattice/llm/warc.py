@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, column, need, texts
+from .common import Scratch, arrow_map, bounded_batches, column, give_back, need, texts
 
 #: Bytes in an archive, before compression.
 ARCHIVE_BYTES = 8 << 20
@@ -184,23 +184,23 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _write_archives(archives: DataFrame, path: str, line_end: str) -> None:
-    """One row, one file."""
-    archives.write.option("maxRecordsPerFile", 1).option("compression", "gzip").option("lineSep", line_end).text(path)
+    """One row, one file. Compressed fast, since every archive is read again."""
+    archives.write.option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", 1).option("compression", "gzip").option("lineSep", line_end).text(path)
 
 
 def write_arc(pages: DataFrame, path: str, version: int = 1, date: str = "20000101000000", archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Pages (``page_id, url, html``) as ARC files. The HTTP head carries the page's id, absent where it is null."""
     source = need(pages, page_id="long", url="string", html="string").withColumn("row", F.monotonically_increasing_id())
 
-    def run(batch: pa.RecordBatch):
-        ids, rows, urls = (column(batch, c).to_pylist() for c in ("page_id", "row", "url"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[bytes] = []
         size = 0
 
-        def made() -> dict:
-            return {"value": pa.array([b"".join(parts)], pa.binary()).cast(pa.string())}
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary()).cast(pa.string())], ["value"])
 
-        for i, row, url, html in zip(ids, rows, urls, texts(batch, "html"), strict=True):
+        pages_ = (row for b in batches for row in zip(*(column(b, c).to_pylist() for c in ("page_id", "row", "url")), texts(b, "html"), strict=True))
+        for i, row, url, html in pages_:
             html = html or b""
             if parts and size + len(html) > archive_bytes:
                 yield made()
@@ -213,8 +213,10 @@ def write_arc(pages: DataFrame, path: str, version: int = 1, date: str = "200001
             size += len(parts[-1])
         if parts:
             yield made()
+        give_back()
 
-    _write_archives(arrow_map(source, run, "value string"), path, "\n")
+    bounded_batches(pages.sparkSession)
+    _write_archives(source.mapInArrow(run, "value string"), path, "\n")
 
 
 def convert_archives(spark: SparkSession, arc_path: str, warc_path: str, least: int = 0) -> None:
