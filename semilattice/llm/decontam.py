@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import Scratch, Words, arrow_map, column, distinct_sets, need, steps, texts, union_all
+from .common import Scratch, Words, arrow_map, bounded_batches, column, distinct_sets, need, steps, texts, union_all
 
 BINS_LOG2 = 6
 #: Items of fewer than 2**SINGLE shingles are compared with windows of one shingle.
@@ -177,9 +177,19 @@ def contaminated(docs: DataFrame, items: DataFrame, num: int = 80, den: int = 10
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, num: int = 80, den: int = 100, k: int = 5) -> DataFrame:
-    """The documents without those that ``contaminated`` finds, with all their columns, in a pass without shuffle."""
-    kept = docs
+    """The documents without those that ``contaminated`` finds, with all their columns, in passes without shuffle.
+
+    A null, empty or wordless text stays, whatever the items; rows repeated with their text stay or go together; a
+    null doc_id is judged by its text. Without documents or items the documents are returned. Items come to the
+    driver in blocks of bounded size: one block is one lazy pass, of more each pass is written before the next
+    block is held.
+    """
+    kept, scratch, waiting = docs, Scratch(docs.sparkSession, "clean"), False
+    bounded_batches(docs.sparkSession)
     for index in _indexes(items, num, den, k):
+        if waiting:
+            kept = scratch.write(kept, "kept")
+        waiting = True
 
         def clean(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
             for b in batches:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_map, column, mix, need, steps, texts
+from .common import Words, arrow_map, bounded_batches, column, mix, need, steps, texts
 
 BITS = 16
 #: Texts of each language that the field is fitted on.
@@ -195,8 +195,10 @@ def fit(docs: DataFrame, train_rows: Column, per_lang: int = PER_LANG) -> Field:
     The sample, and nothing else, comes to the driver: its rows are bounded by the number of languages.
     """
     known = need(docs, doc_id="long", text="string", lang="string").where("text is not null and lang is not null and doc_id is not null").where(train_rows)
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_lang).drop("_r")
+    # a language's rows go to tasks by a part of their hash first, so that none of them sees a whole language
+    key, part = F.xxhash64("doc_id"), F.pmod(F.xxhash64("doc_id"), F.lit(64))
+    first = lambda df, *by: df.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(key, "doc_id"))).where(F.col("_r") <= per_lang).drop("_r")
+    chosen = first(first(known.select("doc_id", "lang").withColumn("_p", part), "lang", "_p"), "lang")
     rows = known.join(F.broadcast(chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
     got = sorted((r.lang, r.doc_id, r.text) for r in rows.select("lang", "doc_id", "text").toLocalIterator())
     return train([(lang, text.encode()) for lang, _, text in got])
@@ -215,7 +217,9 @@ def identify(docs: DataFrame, field: Field) -> DataFrame:
 
     score is the mean posterior of the predicted language over the words that hold letters, n_switches the number
     of neighbouring such words whose likeliest languages differ. A null text or one without a letter is ``und``
-    with score 0, and so is every text where nothing could be learned. Other columns are not read.
+    with score 0, and so is every text where nothing could be learned. Of languages that tie the first by name is
+    predicted. Repeated rows and rows without doc_id are predicted each; an empty table gives an empty result; other
+    columns are not read, whatever their names.
     """
 
     def run(batch: pa.RecordBatch):
@@ -228,7 +232,12 @@ def identify(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, field: Field, least: float) -> DataFrame:
-    """The documents, with all their columns, that have a language with a score of at least ``least``."""
+    """The documents, with all their columns, that have a language with a score of at least ``least``.
+
+    A null, empty or letterless text has none and goes; a row without doc_id is judged by its text. Repeated rows
+    stay or go together. An empty table gives an empty result.
+    """
+    bounded_batches(docs.sparkSession)
 
     def clean(batches):
         for b in batches:
