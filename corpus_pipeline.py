@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read back as the next
 stage's docs. All but the last keep the columns of documents.
+
+Every stage takes an empty table, columns beside those of documents under whatever names, repeated rows and nulls in
+any column. A document without doc_id is judged by its text alone and never stands for another one.
 """
 
 from __future__ import annotations
@@ -14,12 +17,18 @@ from semilattice.llm.common import Scratch
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the field is sure of; those without a letter or with a mean posterior below a half go."""
+    """Documents whose language the field is sure of; those with a null or letterless text or a mean posterior below a half go.
+
+    Repeated rows stay or go together; the field is fitted anew on the documents given, and without any language all go.
+    """
     return langid.keep_identified(docs, langid.fit(docs, F.lit(True)), 0.5)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the blocks that an earlier one holds; a document that nothing is left of goes."""
+    """Documents without the blocks that an earlier one holds; a document that nothing is left of goes.
+
+    The smaller doc_id is the earlier one; rows that share a doc_id are not compared; null texts stay as they are.
+    """
     out = linededup.dedup_lines(docs)
     left = (F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
     kept = out.where(F.coalesce(left, F.lit(True)))
@@ -28,17 +37,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, the one with the smallest doc_id; rows that share it count as one."""
+    """One document of each class of near copies, the one with the smallest doc_id; of rows that share it one stays, by text."""
     return neardup.keep_first(docs, 80, 100, collections=12)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item; null and wordless texts contain none."""
     return decontam.decontaminate(docs, queries.table(spark, sf_dir, "benchmark"), 80, 100)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of at most 2048 tokens."""
+    """The pieces of all documents with their places in sequences of at most 2048 tokens.
+
+    A null text is one end token; repeated rows are packed each; pieces of equal length take places in any order.
+    """
     return packing.pack_documents(spark, docs, queries.tokenizer_path(), 2048, 0)
 
 
