@@ -42,21 +42,17 @@ CHUNK_ROWS = 50_000
 LEAST_BUCKETS = 4
 #: Tokens, and bytes that are spelled, in one online step.
 BLOCK, SPELL_BLOCK = 2048, 1 << 13
-#: Steps after which counts are looked through: a slot grows by one a token at most, so none can overflow before.
-SETTLE = 16
 LEVELS = 4  # of what a context has seen: nothing, 1-3, 4-30, more
 GATES = LEVELS * LEVELS
 BINS = 33  # of the refining table, over log-odds of -8 .. 8
 SPELLERS = 5
 ODDS = 12
-TOP = 256  # counts from here on weigh alike in a predictor's log-odds
 _U = np.uint64
 _END, _START = _U(1), _U(2)
 _ONE = np.array([1, 1 << 16], np.uint32)
-_LOW, _LAST, _NEAR, _HALF, _BYTE = (np.uint32(x) for x in (0xFFFF, TOP - 1, 30_000, 16, 8))
-_ZEROS, _ONES = np.arange(TOP * TOP) % TOP, np.arange(TOP * TOP) // TOP
-_ODDS = np.log((_ONES + 0.4) / (_ZEROS + 0.4)).astype(np.float32)
-_LEVEL = ((_ZEROS + _ONES > 0).astype(np.int8) + (_ZEROS + _ONES > 3) + (_ZEROS + _ONES > 30)).astype(np.int8)
+_LOW, _HIGH, _HALF = np.uint32(0xFFFF), np.uint32(0x80008000), np.uint32(16)
+_LOG = np.log(np.arange(1 << 16) + 0.4).astype(np.float32)
+_LEVEL = ((np.arange(1 << 17) > 0).astype(np.int8) + (np.arange(1 << 17) > 3) + (np.arange(1 << 17) > 30)).astype(np.int8)
 #: Upper edges of the counts that one bin of the histogram of counts holds: exact to 64, then in eighths of powers of two.
 _EDGES = np.unique(np.concatenate([np.arange(1, 65), np.rint(64 * 2 ** (np.arange(1, 8 * 50) / 8))])).astype(np.int64)
 
@@ -144,17 +140,20 @@ def huffman(counts: np.ndarray) -> Code:
     return Code(length, begin, nodes, bits, parent, side)
 
 
+# gathers below are of places that lie within bounds; ``mode="clip"`` spares them the check
+
+
 def paths(code: Code, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For symbols one after the other: the symbol of each bit, the nodes, the bits, and where each symbol's begin."""
     size = code.length[leaf]
     start = np.cumsum(size) - size
     owner = np.repeat(np.arange(len(leaf)), size)
-    at = (code.begin[leaf] - start)[owner] + np.arange(len(owner))
-    return owner, code.nodes[at], code.bits[at], start
+    at = (code.begin[leaf] - start).take(owner, mode="clip") + np.arange(len(owner))
+    return owner, code.nodes.take(at, mode="clip"), code.bits.take(at, mode="clip"), start
 
 
 class Table:
-    """Counts of zeros and ones in slots: two bytes each while they grow, one byte each once they are complete."""
+    """Counts of zeros and ones in slots, two bytes each; once they are complete, their log-odds with the level."""
 
     def __init__(self, shift: np.uint64) -> None:
         self.both = np.zeros(1 << (64 - int(shift)), np.uint32)
@@ -162,33 +161,40 @@ class Table:
 
     def look(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log-odds of a one, and how much the slot has seen."""
-        at = self.both.take(slot)
-        if not self.closed:
-            at = np.minimum(at & _LOW, _LAST) | (np.minimum(at >> _HALF, _LAST) << _BYTE)
-        return _ODDS.take(at), _LEVEL.take(at)
+        at = self.both.take(slot, mode="clip")
+        if self.closed:
+            return (at >> 2) * np.float32(1 / 512), (at & 3).astype(np.int8)
+        self.found = at
+        return self._read(at)
+
+    @staticmethod
+    def _read(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        zeros, ones = at & _LOW, at >> _HALF
+        return _LOG.take(ones, mode="clip") - _LOG.take(zeros, mode="clip"), _LEVEL.take(zeros + ones, mode="clip")
 
     def add(self, slot: np.ndarray, bit: np.ndarray) -> None:
-        np.add.at(self.both, slot, _ONE.take(bit))
+        """Counts the bits that were looked up last, fewer than 30,000 of which fall into one slot."""
+        if (over := (self.found & _HIGH) != 0).any():
+            self._halve(np.unique(slot[over]))
+        np.add.at(self.both, slot, _ONE.take(bit, mode="clip"))
 
     def add_all(self, slot: np.ndarray, bit: np.ndarray) -> None:
-        """The same for any number of bits, many of which may fall into one slot."""
-        for lo in range(0, len(slot), int(_NEAR)):
-            part = slot[lo : lo + int(_NEAR)]
-            self.add(part, bit[lo : lo + int(_NEAR)])
-            now = self.both.take(part)
-            if (over := ((now & _LOW) > _NEAR) | (now >> _HALF > _NEAR)).any():
-                self._halve(np.unique(part[over]))
-
-    def settle(self) -> None:
-        """Keeps counts within their two bytes: halves both where one has grown near their end."""
-        self._halve(np.flatnonzero(((self.both & _LOW) > _NEAR) | (self.both >> _HALF > _NEAR)))
+        """The same for any number of bits in one slot."""
+        for lo in range(0, len(slot), 30_000):
+            part = slot[lo : lo + 30_000]
+            self.found = self.both.take(part, mode="clip")
+            self.add(part, bit[lo : lo + 30_000])
 
     def _halve(self, full: np.ndarray) -> None:
+        """Keeps counts within their two bytes."""
         self.both[full] = (self.both[full] >> np.uint32(1)) & np.uint32(0x7FFF7FFF)
 
     def close(self) -> None:
-        self.both = (np.minimum(self.both & _LOW, _LAST) | (np.minimum(self.both >> _HALF, _LAST) << _BYTE)).astype(np.uint16)
-        self.closed = True
+        out = np.empty(len(self.both), np.int16)
+        for lo in range(0, len(out), 1 << 18):
+            odds, seen = self._read(self.both[lo : lo + (1 << 18)])
+            out[lo : lo + (1 << 18)] = np.rint(odds * 512).astype(np.int16) * 4 + seen
+        self.both, self.closed = out, True
 
 
 class Mixer:
@@ -203,9 +209,9 @@ class Mixer:
 
     def mix(self, gate: np.ndarray, inputs: list[np.ndarray]) -> np.ndarray:
         w = self.weights.astype(np.float32)
-        z = w[:, -1].take(gate)
+        z = w[:, -1].take(gate, mode="clip")
         for k, x in enumerate(inputs):
-            z += w[:, k].take(gate) * x
+            z += w[:, k].take(gate, mode="clip") * x
         return np.clip(z, -8, 8, out=z)
 
     @staticmethod
@@ -241,8 +247,8 @@ class Mixer:
         """ln of the probability of each bit."""
         z = self.mix(gate, inputs)
         at, part = self.place(gate, z)
-        low = self.table.take(at)
-        refined = low + part * (self.table.take(at + 1) - low)
+        low = self.table.take(at, mode="clip")
+        refined = low + part * (self.table.take(at + 1, mode="clip") - low)
         p = np.float32(0.5) / (1 + np.exp(-z)) + np.float32(0.5) * refined
         return np.log(np.abs(p - (1 - bit)))
 
@@ -278,32 +284,32 @@ class Stream:
     def block(self, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
         """For tokens at these places: each bit's gate, the predictors' log-odds, its slots, the bit, and where each token's begin."""
         owner, node, bit, start = paths(self.code, self.leaf[at])
-        hashed = self.hashed.take(node)
-        found = [slots(c[at].take(owner), hashed, self.shift) for c in self.contexts]
+        hashed = self.hashed.take(node, mode="clip")
+        found = [slots(c[at].take(owner, mode="clip"), hashed, self.shift) for c in self.contexts]
         (one, seen), (two, often) = (t.look(s) for t, s in zip(self.tables, found, strict=True))
-        after = self.after.take(self.row[at].take(owner) + node) * np.float32(1 / ODDS)
+        after = self.after.take(self.row[at].take(owner) + node, mode="clip") * np.float32(1 / ODDS)
         gate = (often * np.int8(LEVELS) + seen).astype(np.int64)
-        return gate, [self.flat.take(node), after, one, two], found, bit, start
+        return gate, [self.flat.take(node, mode="clip"), after, one, two], found, bit, start
 
     def learn(self, train: np.ndarray, mixer: Mixer) -> None:
         """Goes along the training tokens: each block is predicted from those before it, then learned, then counted."""
         self.shift = table_shift(int(self.code.length[self.leaf[train]].sum()) // 2)
         self.tables = [Table(self.shift) for _ in self.contexts]
-        for n, lo in enumerate(range(0, len(train), BLOCK)):
+        for lo in range(0, len(train), BLOCK):
             gate, x, found, bit, _ = self.block(train[lo : lo + BLOCK])
             mixer.learn(gate, x, bit.astype(np.float32))
             for t, s in zip(self.tables, found, strict=True):
                 t.add(s, bit)
-                if n % SETTLE == SETTLE - 1:
-                    t.settle()
         for t in self.tables:
             t.close()
 
     def score(self, mixer: Mixer) -> np.ndarray:
         """ln of the probability of each token's leaf."""
         out = np.empty(len(self.leaf))
-        for lo in range(0, len(self.leaf), BLOCK):
-            at = np.arange(lo, min(lo + BLOCK, len(self.leaf)))
+        # tokens of one context side by side find its counts at hand
+        order = np.argsort(self.contexts[0] ^ (self.contexts[1] >> _U(32)), kind="stable")
+        for lo in range(0, len(order), BLOCK):
+            at = order[lo : lo + BLOCK]
             gate, x, _, bit, start = self.block(at)
             out[at] = np.add.reduceat(mixer.log_bits(gate, x, bit), start)
         return out
@@ -346,8 +352,8 @@ class Speller:
             h = mix(h * _U(3) + np.where(place >= k, byte + _U(2), np.where(place == k - 1, _U(1), _U(0))))
             held.append(h + _U(k))
         of, node, bit, start = paths(self.code, joined)
-        hashed = self.hashed.take(node)
-        return [slots(c.take(of), hashed, self.shift) for c in held], bit, start[begin]
+        hashed = self.hashed.take(node, mode="clip")
+        return [slots(c.take(of, mode="clip"), hashed, self.shift) for c in held], bit, start[begin]
 
     def _inputs(self, found: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
         out, seen = zip(*(t.look(s) for t, s in zip(self.tables, found, strict=True)), strict=True)

@@ -161,7 +161,7 @@ def test_lm_scores_equal_a_plain_scorer(monkeypatch):
 
     path = lambda x: [(int(code.nodes[code.begin[x] + k]), int(code.bits[code.begin[x] + k])) for k in range(code.length[x])]
     counts = {}
-    odds = lambda c: np.log((min(c[1], 255) + 0.4) / (min(c[0], 255) + 0.4))
+    odds = lambda c: np.log((c[1] + 0.4) / (c[0] + 0.4))
     level = lambda c: sum(sum(c) > k for k in (0, 3, 30))
 
     def predictors(i, node):
@@ -262,3 +262,20 @@ def test_folds(spark):
     got = spark.range(50).select("id", crc_mod("id", 5).alias("f")).collect()
     assert all(r.f == fold(r.id, 5) for r in got)
 
+
+
+def test_counts_never_run_into_each_other():
+    table = lm.Table(np.uint64(60))
+    for _ in range(200):
+        slot, bit = np.full(2000, 3), np.r_[np.zeros(500, int), np.ones(1500, int)]
+        table.look(slot)
+        table.add(slot, bit)
+    low, high = int(table.both[3]) & 0xFFFF, int(table.both[3]) >> 16
+    assert 2.9 < high / low < 3.1 and high < 1 << 16 and not table.both[[0, 1, 2, *range(4, 16)]].any()
+    other = lm.Table(np.uint64(60))
+    other.add_all(np.full(400_000, 5), np.ones(400_000, int))
+    assert int(other.both[5]) & 0xFFFF == 0 and int(other.both[5]) >> 16 > 10_000
+    table.close()
+    assert table.look(np.array([3]))[0][0] == pytest.approx(np.log(high / low), abs=0.01)
+    speller = lm.Speller([b"a" * 300_000, b"b"])
+    assert np.isfinite(speller.score([b"a" * 1000, b"zz"])).all()
