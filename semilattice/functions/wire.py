@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+from collections.abc import Callable
 from decimal import Decimal
 
 import pandas as pd
@@ -95,11 +96,13 @@ def hash_canonical(text: Column) -> Column:
 
 def json_string(text: Column) -> Column:
     """A string column as a JSON string: quotes, backslashes and control characters escaped and nothing else; null stays null."""
+    def controls(escaped: Column) -> Column:
+        for c in map(chr, range(0x20)):
+            escaped = F.replace(escaped, F.lit(c), F.lit(json.dumps(c)[1:-1]))
+        return escaped
+
     plain = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    escaped = plain
-    for c in map(chr, range(0x20)):
-        escaped = F.replace(escaped, F.lit(c), F.lit(json.dumps(c)[1:-1]))
-    return F.concat(F.lit('"'), F.when(text.rlike(r"[\x00-\x1F]"), escaped).otherwise(plain), F.lit('"'))
+    return F.concat(F.lit('"'), F.when(text.rlike(r"[\x00-\x1F]"), _let(plain, controls)).otherwise(plain), F.lit('"'))
 
 
 def number_json(x: Column) -> Column:
@@ -110,33 +113,59 @@ def number_json(x: Column) -> Column:
     the upper one and ``number_text`` the nearer one: about one in 2,000 random numbers of 16 digits and none of fewer,
     but for numbers below 1e-307, whose digits are Java's.
     """
-    size = F.abs(x).cast("double")
-    text = size.cast("string")
-    # Java may give more digits than are needed to read the number back
-    for digits in (17, 16, 15):
-        fewer = F.format_string(f"%.{digits - 1}e", size)
-        text = F.when((F.length(text) > 16) & (fewer.cast("double") == size), F.replace(F.upper(fewer), F.lit("E+"), F.lit("E"))).otherwise(text)
+    number, size = x.cast("double"), F.abs(x).cast("double")
+    short = number.cast("string")
+    # whole numbers and short decimals, nearly all there are, stand as they are
+    is_whole = (number == F.floor(number)) & (size < 2**53)
+    is_short = ~short.contains("E") & (F.length(short) <= 16)
+    finite = ~F.isnan(number) & (size != float("inf"))
+    sign = F.when(number < 0, F.lit("-")).otherwise(F.lit(""))
+    return (
+        F.when(x.isNull(), F.lit("null"))
+        .when(~finite, F.raise_error(F.lit("not a finite number")).cast("string"))
+        .when(is_whole, number.cast("long").cast("string"))
+        .when(is_short, short)
+        .otherwise(F.concat(sign, _let(size, lambda v: _let(_shortest(v), _placed))))
+    )
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _shortest(size: Column) -> Column:
+    """A positive number's text; Java may give more digits than are needed to read it back."""
+
+    def pick(text: Column) -> Column:
+        tries = [F.format_string(f"%.{digits - 1}e", size) for digits in (15, 16, 17)]
+        fewer = [F.when(t.cast("double") == size, F.replace(F.upper(t), F.lit("E+"), F.lit("E"))) for t in tries]
+        return F.when(F.length(text) > 16, F.coalesce(*fewer, text)).otherwise(text)
+
+    return _let(size.cast("string"), pick)
+
+
+def _placed(text: Column) -> Column:
+    """A positive number's text with the point, or the exponent, where canonical JSON has it."""
     mantissa = F.substring_index(text, "E", 1)
     exponent = F.when(F.instr(text, "E") > 0, F.substring_index(text, "E", -1).cast("int")).otherwise(0)
-    whole = F.substring_index(mantissa, ".", 1)
-    plain = F.replace(mantissa, F.lit("."), F.lit(""))
-    led = F.ltrim(plain, F.lit("0"))
-    digits = F.rtrim(led, F.lit("0"))
     # places before the point, counted from the first digit that is not zero
-    point = F.length(whole) + exponent - (F.length(plain) - F.length(led))
-    n = F.length(digits)
-    zeros = lambda k: F.repeat(F.lit("0"), k)
-    tail = F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(F.lit(""))
-    scientific = F.concat(F.substring(digits, 1, 1), tail, F.when(point > 0, "e+").otherwise("e-"), F.abs(point - 1).cast("string"))
-    unsigned = (
-        F.when(n == 0, F.lit("0"))
-        .when((point >= n) & (point <= 21), F.concat(digits, zeros(point - n)))
-        .when((point > 0) & (point <= 21), F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n)))
-        .when((point > -6) & (point <= 0), F.concat(F.lit("0."), zeros(-point), digits))
-        .otherwise(scientific)
-    )
-    finite = ~F.isnan(x) & (F.abs(x) != float("inf"))
-    return F.when(x.isNull(), F.lit("null")).when(~finite, F.raise_error(F.lit("not a finite number")).cast("string")).otherwise(F.concat(F.when((x < 0), F.lit("-")).otherwise(F.lit("")), unsigned))
+    before = F.length(F.substring_index(mantissa, ".", 1)) + exponent
+    parts = _let(F.replace(mantissa, F.lit("."), F.lit("")), lambda p: F.struct(F.trim(p, F.lit("0")).alias("digits"), (before - F.length(p) + F.length(F.ltrim(p, F.lit("0")))).alias("point")))
+
+    def place(x: Column) -> Column:
+        digits, point, n = x["digits"], x["point"], F.length(x["digits"])
+        zeros = lambda k: F.repeat(F.lit("0"), k)
+        tail = F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(F.lit(""))
+        scientific = F.concat(F.substring(digits, 1, 1), tail, F.when(point > 0, "e+").otherwise("e-"), F.abs(point - 1).cast("string"))
+        return (
+            F.when((point >= n) & (point <= 21), F.concat(digits, zeros(point - n)))
+            .when((point > 0) & (point <= 21), F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n)))
+            .when((point > -6) & (point <= 0), F.concat(F.lit("0."), zeros(-point), digits))
+            .otherwise(scientific)
+        )
+
+    return _let(parts, place)
 
 
 def key_json(df: DataFrame, name: str) -> Column:
