@@ -55,7 +55,8 @@ class Scratch:
     """Tables that cut lineage, written below the shared folder.
 
     A lost executor loses none of them: whatever reads them later starts from the files. ``drop`` removes a
-    table as soon as no later step reads it; the returned result's own inputs stay until the session ends.
+    table as soon as no later step reads it. What the returned result reads stays in the shared folder, whose owner
+    removes it when the session has ended: a lazy result may be read at any time before.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
