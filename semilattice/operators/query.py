@@ -154,7 +154,11 @@ def cache_key(sql: str, params: list[object]) -> str:
 
 
 def delta(before: DataFrame, after: DataFrame, keys: list[str], rev: str = "rev") -> DataFrame:
-    """How one result differs from another: ``keys, change`` with added, removed or changed."""
+    """How one result differs from another: ``keys, change`` with added, removed or changed.
+
+    Keys are not null and unique in each result. Revisions compare as values, null equal to null. Equal results, and
+    two empty ones, give no rows.
+    """
     a = before.select(*keys, F.col(rev).alias("_a"), F.lit(True).alias("_in_a"))
     b = after.select(*keys, F.col(rev).alias("_b"), F.lit(True).alias("_in_b"))
     change = F.when(F.col("_in_a").isNull(), "added").when(F.col("_in_b").isNull(), "removed").when(~F.col("_a").eqNullSafe(F.col("_b")), "changed")

@@ -15,7 +15,11 @@ def key_text(df: DataFrame, name: str) -> Column:
 
 
 def has_many(parents: DataFrame, children: DataFrame, local: str, foreign: str, name: str, order: list[str], keep: list[str]) -> DataFrame:
-    """Parents with the array ``name`` of their children's ``keep`` columns in order; empty where there are none."""
+    """Parents with the array ``name`` of their children's ``keep`` columns in order; empty where there are none.
+
+    Repeated parents get the same array each, repeated children stand in it each; children equal in ``order`` follow
+    their kept columns, nulls first. Without parents the result is empty.
+    """
     rows = F.array_sort(F.collect_list(F.struct(*order, *(k for k in keep if k not in order))))
     grouped = children.groupBy(key_text(children, foreign).alias("_k")).agg(rows.alias(name))
     joined = parents.join(grouped, key_text(parents, local) == F.col("_k"), "left").drop("_k")
@@ -23,14 +27,17 @@ def has_many(parents: DataFrame, children: DataFrame, local: str, foreign: str,
 
 
 def has_one(sources: DataFrame, targets: DataFrame, local: str, foreign: str, order: list[str], keep: dict[str, str]) -> DataFrame:
-    """Sources with columns of the first matching target; null where there is none."""
+    """Sources with columns of the first matching target; null where there is none.
+
+    ``order`` decides which is first; of targets that tie in it any one is taken, so it should end in a key.
+    """
     first = targets.withColumn("_k", key_text(targets, foreign)).withColumn("_n", F.row_number().over(W.partitionBy("_k").orderBy(*order))).where("_n = 1")
     picked = first.select("_k", *(F.col(c).alias(a) for c, a in keep.items()))
     return sources.join(picked, key_text(sources, local) == F.col("_k"), "left").drop("_k")
 
 
 def visible_children(children: DataFrame, live_parents: DataFrame, foreign: str, parent_id: str) -> DataFrame:
-    """Children whose parent is live."""
+    """Children whose parent is live; a null key has none. Repeated children stay each."""
     return children.join(live_parents.select(F.col(parent_id).alias("_p")), F.col(foreign) == F.col("_p"), "left_semi")
 
 
@@ -58,5 +65,5 @@ def dirty(rows: DataFrame, outbox: DataFrame, quarantine: DataFrame, keys: list[
 
 
 def missing_from(local: DataFrame, remote: DataFrame, keys: list[str]) -> DataFrame:
-    """Local rows that a snapshot does not hold."""
+    """Local rows that a snapshot does not hold; a null key is held by none."""
     return local.join(remote.select(*keys), keys, "left_anti")

@@ -34,7 +34,11 @@ def _first_highest() -> Column:
 
 
 def latest_fields(ops: DataFrame, *values: str) -> DataFrame:
-    """Each field's winning write: its ``values`` columns with hlc, txn_id and pos."""
+    """Each field's winning write: its ``values`` columns with hlc, txn_id and pos.
+
+    Of equal stamps the smallest ``pos`` wins; a redelivered op changes nothing. A null value is a value. A null stamp
+    loses to any other. An empty log gives an empty result.
+    """
     keep = [*values, "hlc", "txn_id", "pos"]
     won = F.max_by(F.struct(*keep), _first_highest())
     return ops.where("kind = 'set'").groupBy(*FIELD_KEY).agg(won.alias("w")).select(*FIELD_KEY, *(F.col(f"w.{c}") for c in keep))
@@ -48,7 +52,7 @@ def registers(ops: DataFrame) -> DataFrame:
 
 
 def rows_of(ops: DataFrame) -> DataFrame:
-    """All rows that ops name, with their registers."""
+    """All rows that ops name, with their registers: null where nothing was deleted or restored."""
     seen = ops.groupBy(*ROW_KEY).agg(F.min("pos").alias("first_pos"), F.max("hlc").alias("last_hlc"))
     return seen.join(registers(ops), ROW_KEY, "left")
 
