@@ -44,6 +44,23 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(BATCH_BYTES))
 
 
+_CACHES: dict[str, dict] = {}
+
+
+def cache(name: str) -> dict:
+    """What an operator's workers keep from task to task; other operators' tasks drop it."""
+    return _CACHES.setdefault(name, {})
+
+
+def drop_caches(keep: str | None = None) -> None:
+    """Drops what other operators have left in this worker."""
+    if any(held and name != keep for name, held in _CACHES.items()):
+        for name, held in _CACHES.items():
+            if name != keep:
+                held.clear()
+        give_back()
+
+
 def give_back() -> None:
     """Returns freed memory to the system, as a worker stays beside its executor when its task has ended."""
     pa.default_memory_pool().release_unused()
@@ -101,8 +118,8 @@ def need(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").cast(t).alias(c) for c, t in types.items()))
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dict | None], schema: T.StructType | str) -> DataFrame:
-    """``fn`` turns each batch into columns (or several such); an operator without shuffle."""
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dict | None], schema: T.StructType | str, keep: str | None = None) -> DataFrame:
+    """``fn`` turns each batch into columns (or several such); an operator without shuffle. ``keep``: its ``cache``."""
     bounded_batches(df.sparkSession)
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -110,6 +127,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dic
     out_schema = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches(keep)
         for b in batches:
             if not b.num_rows:
                 continue

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import Scratch, Words, arrow_map, bounded_batches, column, distinct_sets, need, steps, texts, union_all
+from .common import Scratch, Words, arrow_map, bounded_batches, column, distinct_sets, drop_caches, need, steps, texts, union_all
 
 BINS_LOG2 = 6
 #: Items of fewer than 2**SINGLE shingles are compared with windows of one shingle.
@@ -192,6 +192,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, num: int = 80, den: int = 1
         waiting = True
 
         def clean(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
+            drop_caches()
             for b in batches:
                 if b.num_rows:
                     keep = np.ones(b.num_rows, bool)

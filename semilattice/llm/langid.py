@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_map, bounded_batches, column, mix, need, steps, texts
+from .common import Words, arrow_map, bounded_batches, column, drop_caches, give_back, mix, need, steps, texts
 
 BITS = 16
 #: Texts of each language that the field is fitted on.
@@ -240,11 +240,13 @@ def keep_identified(docs: DataFrame, field: Field, least: float) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def clean(batches):
+        drop_caches()
         for b in batches:
             values = texts(b) if b.num_rows else []
             for lo, hi in steps(values, CHAIN_BYTES):
                 names, share, _, _ = predict(field, values[lo:hi])
                 yield b.slice(lo, hi - lo).filter(pa.array((np.array(names) != UNKNOWN) & (share >= least)))
+            give_back()
 
     return docs.mapInArrow(clean, docs.schema)
 

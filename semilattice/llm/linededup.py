@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, _power_tables, arrow_map, column, distinct_sets, fresh, mix, need, texts
+from .common import _power_tables, Scratch, arrow_map, column, distinct_sets, drop_caches, fresh, mix, need, texts
 
 
 _END = re.compile(rb"\n|[.!?] ")
@@ -219,6 +219,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int | None = None) ->
     text_at = own.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         for b in batches:
             values, gone = texts(b), column(b, gone_).to_pylist()
             lines = [split_lines(t or b"") for t in values]

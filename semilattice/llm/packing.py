@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, column, arrow_map, need, shuffle_partitions, texts
+from .common import Scratch, arrow_map, cache, column, need, shuffle_partitions, texts
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words whose ids a task remembers at most.
@@ -95,7 +95,7 @@ class Encoder:
         return (self._merged(head) if head else b"") + b"".join(got)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = cache("packing")
 
 
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int | None = 0, with_ids: bool = False) -> DataFrame:
@@ -135,7 +135,7 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int
                     o.clear()
         yield made()
 
-    return arrow_map(need(docs, doc_id="long", text="string"), run, PIECES + ", ids array<int>" * with_ids)
+    return arrow_map(need(docs, doc_id="long", text="string"), run, PIECES + ", ids array<int>" * with_ids, "packing")
 
 
 class RoomTree:
