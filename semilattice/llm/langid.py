@@ -25,7 +25,7 @@ BITS = 16
 #: Texts of each language that the field is fitted on.
 PER_LANG = 150
 #: Text bytes whose words pass through the chain together.
-CHAIN_BYTES = 8 << 20
+CHAIN_BYTES = 1 << 20
 UNKNOWN = "und"
 
 _U = np.uint64
