@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from semilattice.functions.wire import bind, canonical, text_order, utf16
 from semilattice.plans.schema import Schema, SchemaError
+from semilattice.sources.store import shared_dir
 
 
 @dataclass(frozen=True)
@@ -49,9 +51,13 @@ def with_places(ordered: DataFrame, name: str) -> DataFrame:
     """Rows of a sorted result with their places from 1; equal keys take places in any order.
 
     A sort leaves each range of keys in one partition; places come from the partitions' counts and the places within
-    them, so that no task sees all rows.
+    them, so that no task sees all rows. The sorted rows are written to the shared folder first: ranges are cut by a
+    sample, so that the same sort, run once for the counts and once for the rows, may cut them elsewhere.
     """
+    path = f"{shared_dir(ordered.sparkSession)}/places-{uuid.uuid4().hex}"
     at = ordered.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftrightunsigned("_at", 33))
+    at.write.parquet(path)
+    at = ordered.sparkSession.read.schema(at.schema).parquet(path)
     counts = at.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     placed = at.join(F.broadcast(before), "_part")  # one row a partition

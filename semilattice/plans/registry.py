@@ -492,7 +492,7 @@ def raw_sql(spark, sf):
 
 @register("SELECT p_partkey, row_number() OVER (ORDER BY coalesce(p_name, ''), CAST(p_partkey AS VARCHAR)) AS place FROM part")
 def code_unit_order(spark, sf):
-    p = table(spark, sf, "part").withColumn("row_id", F.col("p_partkey").cast("string"))
+    p = table(spark, sf, "part").select("p_partkey", "p_name", F.col("p_partkey").cast("string").alias("row_id"))
     return query.with_places(query.in_order(p, "p_name"), "place").select("p_partkey", "place")
 
 

@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from semilattice.operators import query
 from semilattice.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +48,9 @@ def test_scope_and_fields_reach_the_scan(spark):
 
     plan = table(spark, SF, "customer").where("c_nationkey = 3").select("c_custkey")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(c_nationkey), EqualTo(c_nationkey,3)]" in plan and "ReadSchema: struct<c_custkey:bigint,c_nationkey:int>" in plan
+
+
+def test_places_of_more_rows_than_a_sort_samples(spark):
+    rows = spark.range(0, 200_000, 1, 7).selectExpr("id", "cast(id as string) as row_id", "cast(id * 7919 % 1009 as string) as name")
+    got = {r.id: r.place for r in query.with_places(query.in_order(rows, "name"), "place").select("id", "place").collect()}
+    assert got == {i: n for n, i in enumerate(sorted(range(200_000), key=lambda i: (str(i * 7919 % 1009), str(i))), 1)}
