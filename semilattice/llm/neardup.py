@@ -170,27 +170,42 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, collections:
     scratch.drop(ids)
     sizes = sets.select("doc", F.size("shingles").alias("n"))
 
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """The pairs that link; of the sets only those that they name are moved."""
+        some = scratch.write(pairs, "pairs")
+        ids = scratch.write(some.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "ids")
+        links = scratch.write(_confirm(some, sets.join(held(ids), "doc", "left_semi"), num, den), "links")
+        scratch.drop(some, ids)
+        return links
+
     def worth(pairs: DataFrame) -> DataFrame:
         na, nb = sizes.select(F.col("doc").alias("a"), F.col("n").alias("na")), sizes.select(F.col("doc").alias("b"), F.col("n").alias("nb"))
         return pairs.join(na, "a").join(nb, "b").where(_close(F.col("na"), F.col("nb"), num, den)).select("a", "b").distinct()
 
     star = worth(buckets.where("doc != lo").select(F.col("lo").alias("a"), F.col("doc").alias("b")).distinct())
-    parts = scratch.write(connected_components(spark, scratch.write(_confirm(star, sets, num, den), "links"), scratch), "parts")
+    parts = scratch.write(connected_components(spark, confirmed(star), scratch), "parts")
 
     # what is left: the documents of buckets that hold several components
     rooted = buckets.select("key", "doc").join(held(parts), "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    open_docs = rooted.join(held(scratch.write(open_keys, "open")), "key", "left_semi").select("doc").distinct()
-    rest = scratch.write(_prefixes(sets.join(open_docs, "doc", "left_semi"), num, den), "prefixes")
+    open_docs = scratch.write(rooted.join(held(scratch.write(open_keys, "open")), "key", "left_semi").select("doc").distinct(), "unsettled")
+    rest = scratch.write(_prefixes(sets.join(held(open_docs), "doc", "left_semi"), num, den), "prefixes")
+
+    def with_roots(rows: DataFrame) -> DataFrame:
+        return rows.join(held(parts), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
 
     # of each prefix shingle's holders the one with the fewest shingles of its own, which links with most, meets the
-    # others; then the next eight meet those that are still of other components, and so on
-    low, high = 0, 1
+    # others; then the next eight meet those after them that are still of other components, and so on. A round keeps the
+    # holders that come after the last round's, and of them the shingles' that hold several components
+    key = W.partitionBy("key")
+    rank = F.row_number().over(key.orderBy("own", "doc")) - 1
+    left = with_roots(rest).withColumn("key", F.explode("prefix")).withColumn("rank", rank)
+    high, read = 1, []
     while True:
-        rows_ = rest.join(held(parts), "doc", "left").withColumn("root", F.coalesce("root", "doc")).withColumn("key", F.explode("prefix"))
-        rows_ = rows_.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("own", "doc")) - 1)
-        ranked = scratch.write(rows_, "ranked")
-        x, y = ranked.where(F.col("rank").between(low, high - 1)).alias("x"), ranked.alias("y")
+        several_ = left.withColumn("lo", F.min("root").over(key)).withColumn("hi", F.max("root").over(key)).where("lo < hi").drop("lo", "hi")
+        ranked = scratch.write(several_, "ranked")
+        scratch.drop(*read)
+        x, y = ranked.where(F.col("rank") < high).alias("x"), ranked.alias("y")
         # what is a set's own is in no other
         most = F.least(F.col("x.n") - F.col("x.own"), F.col("y.n") - F.col("y.own"))
         can = most * den >= (F.col("x.n") + F.col("y.n") - most) * num
@@ -198,21 +213,21 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, collections:
         # of the shingles that show a pair, the smallest does
         shown = F.array_min(F.array_intersect("x.prefix", "y.prefix")) == F.col("x.key")
         pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & shown).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
-        links = scratch.write(_confirm(pairs, sets, num, den), "links")
+        links = confirmed(pairs)
         more = not ranked.where(F.col("rank") >= high).isEmpty()
         if not links.isEmpty():
             parts = scratch.write(connected_components(spark, parts.where("doc != root").select(F.col("root").alias("a"), F.col("doc").alias("b")).unionByName(links), scratch), "parts")
-        scratch.drop(ranked)
+        read = [ranked]
         if not more:
             break
-        low, high = high, high * 9
+        left, high = with_roots(ranked.where(F.col("rank") >= high).drop("root")), high * 9
 
     # an id with several texts joins what each of them belongs to
     several = named.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y")).where("x != y").select("doc_id")
     bridges = scratch.write(copies.join(several, F.col("b") == F.col("doc_id"), "left_semi"), "bridges")
     if not bridges.isEmpty():
         parts = connected_components(spark, parts.where("doc != root").select(F.col("root").alias("a"), F.col("doc").alias("b")).unionByName(bridges), scratch)
-    scratch.drop(buckets, sets, rest, bridges)
+    scratch.drop(buckets, sets, rest, bridges, *read)
     roots = parts.select(F.col("doc").alias("rep"), "root")
     found = sketch.where("doc_id is not null").join(first, ["h1", "h2"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")))
     # a bridged id is a vertex itself; another one belongs where its representative does

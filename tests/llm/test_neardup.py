@@ -141,3 +141,27 @@ def test_many_that_share_text_without_a_link(spark):
     rows += [(3000 + i, rows[i][1] + " end") for i in range(0, 2000, 100)]
     got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i - 3000 if i >= 3000 else i for i, _ in rows}
+
+
+def test_later_rounds_keep_what_is_open(spark, monkeypatch):
+    """A round writes the shingles' holders that come after the last round's, where several components are left."""
+    rows, write = [], Scratch.write
+
+    def counted(self, df, name, codec="snappy"):
+        out = write(self, df, name, codec)
+        if name == "ranked":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    rng = random.Random(8)
+    docs = []
+    for g in range(2):
+        for i in range(60):
+            w = [f"b{g}_{j}" for j in range(100)]
+            for at in rng.sample(range(100), 1 if g else 3):
+                w[at] = f"x{g}_{i}_{at}"
+            docs.append((len(docs), " ".join(w)))
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 85, 100).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute(docs, 85, 100)
+    assert len(rows) > 2 and all(b < a * 0.95 for a, b in zip(rows, rows[1:], strict=False))
