@@ -279,3 +279,19 @@ def test_counts_never_run_into_each_other():
     assert table.look(np.array([3]))[0][0] == pytest.approx(np.log(high / low), abs=0.01)
     speller = lm.Speller([b"a" * 300_000, b"b"])
     assert np.isfinite(speller.score([b"a" * 1000, b"zz"])).all()
+
+
+def test_a_path_meets_few_places_of_a_table():
+    """Four levels of a path lie within 16 slots, and tokens that stand alike are scored once."""
+    code = lm.huffman(np.ones(4000, np.int64))
+    _, step, _, start = lm.paths(code, np.arange(4000))
+    context = lm.mix(np.arange(4000, dtype=np.uint64)).repeat(np.diff(np.append(start, len(step))))
+    places = lm.slots(context, step, lm.group_hashes(step), lm.table_shift(1 << 22)) >> 4
+    assert max(len(set(x.tolist())) for x in np.split(places, start[1:])) <= 4 and code.length.min() >= 11
+
+    n, met = 6000, []
+    code, flat = lm.huffman(np.ones(40, np.int64)), np.zeros(39, np.float32)
+    same = lm.Stream(code, flat, np.zeros(39, np.int8), np.arange(n) % 40, np.zeros(n, np.uint16), np.zeros(n, np.uint16), np.zeros(n, np.uint8))
+    block = same.block
+    same.block = lambda at: met.append(len(at)) or block(at)
+    assert len(same.score(lm.Mixer(4))) == n and sum(met) == 40
