@@ -23,6 +23,14 @@ from .common import Scratch, Words, arrow_map, column, distinct_sets, fresh, lis
 
 #: Documents up to which the ids of candidates are broadcast (8 bytes each); beyond it the texts are shuffled.
 BROADCAST_IDS = 1_000_000
+#: Rows of numbers that a file of a scratch table holds at least, and rows with arrays. Spark would write a file for each
+#: shuffle partition, and for every file on a local file system Hadoop starts three processes beside its executor.
+FILE_ROWS, FILE_ARRAYS = 50_000, 1_000
+
+
+def _files(df: DataFrame, rows: int, of: int = FILE_ROWS) -> DataFrame:
+    """``df``, which has no more than about ``rows`` rows, in as few partitions as hold ``of`` of them each."""
+    return df.coalesce(1 + rows // of)
 
 
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +85,7 @@ def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch
     """``doc, root``: the smallest vertex that each vertex of ``edges`` (a, b) reaches, by alternating large and
     small stars. Each round is written, read back and its predecessor dropped; only a fingerprint comes to the driver.
     """
+    rows = edges.count()
 
     def stars(e: DataFrame) -> DataFrame:
         both = e.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(e.select(F.col("b").alias("v"), F.col("a").alias("u")))
@@ -92,17 +101,18 @@ def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    now = scratch.write(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
+    now = scratch.write(_files(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), rows), "edges")
     seen = mark(now)
     while seen[0]:
-        after = scratch.write(small(stars(now)), "stars")
+        after = scratch.write(_files(small(stars(now)), rows), "stars")
         new = mark(after)
         scratch.drop(now)
         now = after
         if new == seen:
             break
         seen = new
-    return now.select(F.col("b").alias("doc"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("doc"), F.col("a").alias("root"))).distinct()
+    roots = now.select(F.col("b").alias("doc"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("doc"), F.col("a").alias("root"))).distinct()
+    return _files(roots, 2 * rows)
 
 
 def _close(n1: Column, n2: Column, num: int, den: int) -> Column:
@@ -119,11 +129,12 @@ def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def _prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """``doc, n, own, prefix``: of each set the rarest shingles among which it shares one with any set that it links with.
+    """``doc, n, own, prefix, last, rest``: of each set the rarest shingles among which it shares one with any set that it links with.
 
     With the shingles of all sets in one order, two sets of similarity t share one of their first
     n - ceil(t*n) + 1. In the order of frequency those are a document's own ones, which no other holds and which
     are left out (``own`` many): what differs too much from everything drops out, however large the group.
+    last: the prefix's end in that order; rest: how many shared shingles come after it.
     """
     named = sets.select("doc", F.xxhash64("doc", "shingles").alias("set"), "shingles")
     flat = named.select("set", F.explode("shingles").alias("s"))
@@ -132,7 +143,17 @@ def _prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
     whole = named.select("set", "doc", F.size("shingles").alias("n")).join(shared, "set")
     # shingles of its own come first in the order
     cut = whole.withColumn("own", F.col("n") - F.size("held")).withColumn("room", (F.col("n") - F.ceil(F.col("n") * num / den) + 1 - F.col("own")).cast("int"))
-    return cut.where("room > 0").select("doc", "n", "own", F.transform(F.slice("held", 1, F.col("room")), lambda x: x["s"]).alias("prefix"))
+    cut = cut.where("room > 0").withColumn("first", F.slice("held", 1, F.col("room")))
+    return cut.select("doc", "n", "own", F.transform("first", lambda x: x["s"]).alias("prefix"), F.element_at("first", -1).alias("last"), (F.size("held") - F.size("first")).alias("rest"))
+
+
+def _room(x: str, y: str, num: int, den: int) -> Column:
+    """Whether sets of such prefixes can link: where one's prefix ends first, what it shares with the other is in both
+    prefixes or after that end.
+    """
+    at = lambda t, c: F.col(f"{t}.{c}")
+    most = F.size(F.array_intersect(at(x, "prefix"), at(y, "prefix"))) + F.when(at(x, "last") <= at(y, "last"), at(x, "rest")).otherwise(at(y, "rest"))
+    return most * den >= (at(x, "n") + at(y, "n") - most) * num
 
 
 def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, collections: int = 10, rows: int = 2, k: int = 5) -> DataFrame:
@@ -160,7 +181,8 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, collections:
     buckets = scratch.write(rows_of.join(shared, "key"), "buckets")
 
     # the sets of all documents that any bucket holds with another
-    ids = scratch.write(buckets.select("doc").distinct(), "candidates")
+    places = buckets.count()
+    ids = scratch.write(_files(buckets.select("doc").distinct(), places), "candidates")
 
     def held(written: DataFrame) -> DataFrame:
         """Broadcast if its rows, of two numbers at most, are few enough."""
@@ -173,9 +195,10 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, collections:
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs that link; of the sets only those that they name are moved."""
         some = scratch.write(pairs, "pairs")
-        ids = scratch.write(some.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "ids")
-        links = scratch.write(_confirm(some, sets.join(held(ids), "doc", "left_semi"), num, den), "links")
-        scratch.drop(some, ids)
+        ids = some.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+        ids = F.broadcast(ids) if 2 * some.count() <= BROADCAST_IDS else ids
+        links = scratch.write(_confirm(some, sets.join(ids, "doc", "left_semi"), num, den), "links")
+        scratch.drop(some)
         return links
 
     def worth(pairs: DataFrame) -> DataFrame:
@@ -183,13 +206,15 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, collections:
         return pairs.join(na, "a").join(nb, "b").where(_close(F.col("na"), F.col("nb"), num, den)).select("a", "b").distinct()
 
     star = worth(buckets.where("doc != lo").select(F.col("lo").alias("a"), F.col("doc").alias("b")).distinct())
-    parts = scratch.write(connected_components(spark, confirmed(star), scratch), "parts")
+    parts = scratch.write(connected_components(spark, confirmed(_files(star, places)), scratch), "parts")
 
     # what is left: the documents of buckets that hold several components
     rooted = buckets.select("key", "doc").join(held(parts), "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    open_docs = scratch.write(rooted.join(held(scratch.write(open_keys, "open")), "key", "left_semi").select("doc").distinct(), "unsettled")
-    rest = scratch.write(_prefixes(sets.join(held(open_docs), "doc", "left_semi"), num, den), "prefixes")
+    open_keys = scratch.write(_files(open_keys, places), "open")
+    open_docs = scratch.write(_files(rooted.join(held(open_keys), "key", "left_semi").select("doc").distinct(), places), "unsettled")
+    rest = _prefixes(sets.join(held(open_docs), "doc", "left_semi"), num, den)
+    rest = scratch.write(_files(rest, open_docs.count(), FILE_ARRAYS), "prefixes")
 
     def with_roots(rows: DataFrame) -> DataFrame:
         return rows.join(held(parts), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
@@ -201,9 +226,11 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, collections:
     rank = F.row_number().over(key.orderBy("own", "doc")) - 1
     left = with_roots(rest).withColumn("key", F.explode("prefix")).withColumn("rank", rank)
     high, read = 1, []
+    holders = rest.agg(F.sum(F.size("prefix"))).first()[0] or 0
     while True:
         several_ = left.withColumn("lo", F.min("root").over(key)).withColumn("hi", F.max("root").over(key)).where("lo < hi").drop("lo", "hi")
-        ranked = scratch.write(several_, "ranked")
+        ranked = scratch.write(_files(several_, holders, FILE_ARRAYS), "ranked")
+        holders = ranked.count()
         scratch.drop(*read)
         x, y = ranked.where(F.col("rank") < high).alias("x"), ranked.alias("y")
         # what is a set's own is in no other
@@ -212,7 +239,7 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, collections:
         apart = (F.col("x.rank") < F.col("y.rank")) & (F.col("x.root") != F.col("y.root")) & can
         # of the shingles that show a pair, the smallest does
         shown = F.array_min(F.array_intersect("x.prefix", "y.prefix")) == F.col("x.key")
-        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & shown).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
+        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & _room("x", "y", num, den) & shown).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
         links = confirmed(pairs)
         more = not ranked.where(F.col("rank") >= high).isEmpty()
         if not links.isEmpty():

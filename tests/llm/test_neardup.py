@@ -165,3 +165,51 @@ def test_later_rounds_keep_what_is_open(spark, monkeypatch):
     got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 85, 100).collect()
     assert {r.doc_id: r.component_id for r in got} == brute(docs, 85, 100)
     assert len(rows) > 2 and all(b < a * 0.95 for a, b in zip(rows, rows[1:], strict=False))
+
+
+def test_pairs_of_a_group_without_links_are_not_moved(spark, monkeypatch):
+    """Sets that meet on rare shingles and share too few of them are no candidates, however large the group."""
+    pairs, write = [], Scratch.write
+
+    def counted(self, df, name, codec="snappy"):
+        out = write(self, df, name, codec)
+        if name == "pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    rng = random.Random(5)
+    rows = []
+    for i in range(300):  # three changes each, five shingles a change: two of them share some 72 of 114
+        w = [f"b{j}" for j in range(100)]
+        for at in rng.sample(range(100), 3):
+            w[at] = f"x{i % 150}_{at}" if at % 2 else f"x{at}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 300, 30)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85, 100).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute(rows, 85, 100)
+    assert sum(pairs[1:]) < 2 * len(rows), pairs
+
+
+def test_small_tables_take_few_files(spark, monkeypatch):
+    """What has few rows is not written as a file for each shuffle partition, which costs executors processes."""
+    files, write = {}, Scratch.write
+
+    def counted(self, df, name, codec="snappy"):
+        out = write(self, df, name, codec)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    held = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    rows = corpus()
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.doc_id: r.component_id for r in got} == brute(rows, 85, 100)
+    assert all(files[n] <= 2 for n in ("candidates", "edges", "stars", "parts", "open", "unsettled", "prefixes", "ranked")), files
