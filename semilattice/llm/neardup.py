@@ -23,8 +23,8 @@ from .common import Scratch, Words, arrow_map, column, distinct_sets, fresh, lis
 
 #: Documents up to which the ids of candidates are broadcast (8 bytes each); beyond it the texts are shuffled.
 BROADCAST_IDS = 1_000_000
-#: Rows of numbers that a file of a scratch table holds at least, and rows with arrays. Spark would write a file for each
-#: shuffle partition, and for every file on a local file system Hadoop starts three processes beside its executor.
+#: Rows of numbers that a file of a scratch table holds, and rows with arrays. Where adaptive execution joins no partitions,
+#: Spark would write a file for each; for every file on a local file system Hadoop starts three processes beside its executor.
 FILE_ROWS, FILE_ARRAYS = 50_000, 1_000
 
 
