@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _power_tables, Scratch, arrow_map, column, distinct_sets, drop_caches, fresh, mix, need, texts
+from .common import _power_tables, Scratch, arrow_map, column, distinct_sets, drop_caches, fewer, fresh, mix, need, texts
 
 
 _END = re.compile(rb"\n|[.!?] ")
@@ -68,19 +68,45 @@ def runs(hashes: np.ndarray, words: np.ndarray, offsets: np.ndarray, min_words:
     return doc, start, end, mix((total[end] - total[start]) * inv[start] + (end - start).astype(np.uint64)).view(np.int64)
 
 
+def _batch_runs(batch: pa.RecordBatch, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows and hashes of the runs of a batch's documents, from their lines' hashes and words."""
+    h, w = column(batch, "hashes"), column(batch, "words")
+    offsets = h.offsets.to_numpy().astype(np.int64)
+    doc, _, _, key = runs(h.flatten().to_numpy(), w.flatten().to_numpy(), offsets - offsets[0], min_words)
+    return doc, key
+
+
 def run_table(lines: DataFrame, min_words: int) -> DataFrame:
-    """``doc_id, h``: the hashes of each document's runs, each once, from its lines' hashes and words."""
+    """``doc_id, h``: the hashes of each document's runs, each once."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        h, w = column(batch, "hashes"), column(batch, "words")
-        offsets = h.offsets.to_numpy().astype(np.int64)
-        doc, _, _, key = runs(h.flatten().to_numpy(), w.flatten().to_numpy(), offsets - offsets[0], min_words)
+        doc, key = _batch_runs(batch, min_words)
         key, begin = distinct_sets(key, doc, batch.num_rows)
         return {"doc_id": column(batch, "doc_id").take(pa.array(np.repeat(np.arange(batch.num_rows), np.diff(begin)))), "h": key}
 
     return arrow_map(lines.select("doc_id", "hashes", "words"), run, "doc_id long, h long")
 
 
+def shared_runs(lines: DataFrame, min_words: int) -> DataFrame:
+    """``h, first``: the hashes of the runs of several documents, and the smallest doc_id that holds each.
+
+    A batch gives each run once, with its smallest and largest doc_id, so that a frequent run moves as a row a batch.
+    Most runs have one holder, hence the shuffle before the groups: a map of them in each task would save nothing.
+    """
+
+    def run(batch: pa.RecordBatch) -> dict | None:
+        doc, key = _batch_runs(batch, min_words)
+        if not len(key):
+            return None
+        order = np.argsort(key)
+        key, ids = key[order], column(batch, "doc_id").to_numpy()[doc[order]]
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        return {"h": key[begin], "first": np.minimum.reduceat(ids, begin), "last": np.maximum.reduceat(ids, begin)}
+
+    ends = arrow_map(lines.select("doc_id", "hashes", "words"), run, "h long, first long, last long")
+    return ends.repartition("h").groupBy("h").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first < last").select("h", "first")
+
+
 def patience(a: list, b: list) -> list[tuple[int, int]]:
     """Pairs of equal places, ascending in both: equal ends, then lines unique to both sides in their longest
     increasing run, then the same between them."""
@@ -184,13 +210,12 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int | None = None) ->
     spark = docs.sparkSession
     scratch = Scratch(spark, "linededup")
     id_, fp, gone_, own_fp = fresh(docs, "id", "fp", "gone", "own_fp")
-    lines = scratch.write(line_table(docs), "lines")
+    lines = scratch.write(fewer(line_table(docs)), "lines")
     named = lines.where("doc_id is not null")
     if rare is None:
         flat = run_table(named, min_words)
-        anchors = flat.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first")
         # written, so that the join below can deal a frequent run to several tasks
-        anchors = scratch.write(anchors, "anchors")
+        anchors = scratch.write(fewer(shared_runs(named, min_words)), "anchors")
     else:
         flat = named.select("doc_id", F.explode(F.arrays_zip("hashes", "words")).alias("x")).select("doc_id", F.col("x.hashes").alias("h"), F.col("x.words").alias("w")).where("w > 0").distinct()
         anchors = flat.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"), F.max("w").alias("w"))
@@ -207,7 +232,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int | None = None) ->
         return {"doc_id": column(batch, "doc_id").take(pa.array(some)), "fp": column(batch, "fp").take(pa.array(some)), "gone": [gone[i] for i in some]}
 
     gone = arrow_map(met, align, "doc_id long, fp long, gone array<int>").select("doc_id", "fp", F.explode("gone").alias("line")).distinct()
-    gone = scratch.write(gone.groupBy("doc_id", "fp").agg(F.collect_list("line").alias("gone_lines")).select(F.col("doc_id").alias(id_), F.col("fp").alias(fp), F.col("gone_lines").alias(gone_)), "gone")
+    gone = gone.groupBy("doc_id", "fp").agg(F.collect_list("line").alias("gone_lines")).select(F.col("doc_id").alias(id_), F.col("fp").alias(fp), F.col("gone_lines").alias(gone_))
+    gone = scratch.write(fewer(gone), "gone")
     scratch.drop(lines)
     if rare is None:
         scratch.drop(anchors)
@@ -231,4 +257,4 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int | None = None) ->
             columns[text_at] = pa.array(values, pa.binary()).cast(columns[text_at].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) for x in lines], pa.int64()), pa.array([len(g or ()) for g in gone], pa.int64())], [*own, "n_lines", "n_removed"])
 
-    return joined.select(*(F.col(f"`{c}`") for c in own), gone_).mapInArrow(cut, T.StructType(kept).add("n_lines", "long").add("n_removed", "long"))
+    return fewer(joined.select(*(F.col(f"`{c}`") for c in own), gone_).mapInArrow(cut, T.StructType(kept).add("n_lines", "long").add("n_removed", "long")))

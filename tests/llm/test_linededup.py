@@ -1,6 +1,7 @@
 import random
 
-from semilattice.llm.linededup import common_blocks, dedup_lines, patience, split_lines
+from semilattice.llm.common import Scratch
+from semilattice.llm.linededup import common_blocks, dedup_lines, patience, run_table, shared_runs, split_lines
 
 SCHEMA = "doc_id long, text string, n_removed string, first long, w string"
 
@@ -196,3 +197,43 @@ def test_clashing_names(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, _id long, _fp string, _gone string, _own_fp long")
     got = sorted(tuple(r) for r in dedup_lines(df).collect())
     assert got == [(*rows[0], 2, 0), (2, "x\n", *rows[1][2:], 2, 1)]
+
+
+def test_tables_take_few_files_for_many_partitions(spark, monkeypatch):
+    """Each file starts processes beside its executor, which show the executor's memory as theirs."""
+    rng = random.Random(12)
+    shared = [line(rng, 9) for _ in range(40)]
+    rows = [(i, f"{line(rng)}\n{rng.choice(shared)}\n{line(rng, 3)}") for i in range(400)]
+    files, write = {}, Scratch.write
+
+    def counted(self, df, name, *more):
+        out = write(self, df, name, *more)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    held = {"spark.sql.shuffle.partitions": "36", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(36))
+        assert out.rdd.getNumPartitions() <= 12
+        assert {r.doc_id: r.text for r in out.collect()} == plain_removed(rows, 8)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert set(files) == {"lines", "anchors", "gone"} and max(files.values()) <= 12, files
+
+
+def test_shared_runs_have_the_smallest_holder(spark):
+    rng = random.Random(13)
+    lines = [[rng.randrange(6) - 3 for _ in range(rng.randint(0, 5))] for _ in range(60)]
+    rows = [(i, x, [(v * v) % 7 + 1 for v in x]) for i, x in enumerate(lines)] + [(70, [9, 9, 9], [4, 4, 4])]
+    df = spark.createDataFrame(rows, "doc_id long, hashes array<long>, words array<int>").repartition(7)
+    holders = {}
+    for r in run_table(df, 8).collect():
+        holders.setdefault(r.h, set()).add(r.doc_id)
+    got = [tuple(r) for r in shared_runs(df, 8).collect()]
+    assert sorted(got) == sorted((h, min(ids)) for h, ids in holders.items() if len(ids) > 1) and got
+    assert shared_runs(df.where("doc_id < 0"), 8).count() == 0
