@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 
 from .common import _power_tables, Scratch, arrow_map, column, distinct_sets, drop_caches, fewer, fresh, mix, need, texts
 
+#: One in so many shuffle partitions makes a file of a table that holds numbers alone.
+NUMBERS = 12
 
 _END = re.compile(rb"\n|[.!?] ")
 
@@ -215,7 +217,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int | None = None) ->
     if rare is None:
         flat = run_table(named, min_words)
         # written, so that the join below can deal a frequent run to several tasks
-        anchors = scratch.write(fewer(shared_runs(named, min_words)), "anchors")
+        anchors = scratch.write(fewer(shared_runs(named, min_words), NUMBERS), "anchors")
     else:
         flat = named.select("doc_id", F.explode(F.arrays_zip("hashes", "words")).alias("x")).select("doc_id", F.col("x.hashes").alias("h"), F.col("x.words").alias("w")).where("w > 0").distinct()
         anchors = flat.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"), F.max("w").alias("w"))
@@ -233,7 +235,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int | None = None) ->
 
     gone = arrow_map(met, align, "doc_id long, fp long, gone array<int>").select("doc_id", "fp", F.explode("gone").alias("line")).distinct()
     gone = gone.groupBy("doc_id", "fp").agg(F.collect_list("line").alias("gone_lines")).select(F.col("doc_id").alias(id_), F.col("fp").alias(fp), F.col("gone_lines").alias(gone_))
-    gone = scratch.write(fewer(gone), "gone")
+    gone = scratch.write(fewer(gone, NUMBERS), "gone")
     scratch.drop(lines)
     if rare is None:
         scratch.drop(anchors)
@@ -257,4 +259,4 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int | None = None) ->
             columns[text_at] = pa.array(values, pa.binary()).cast(columns[text_at].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) for x in lines], pa.int64()), pa.array([len(g or ()) for g in gone], pa.int64())], [*own, "n_lines", "n_removed"])
 
-    return fewer(joined.select(*(F.col(f"`{c}`") for c in own), gone_).mapInArrow(cut, T.StructType(kept).add("n_lines", "long").add("n_removed", "long")))
+    return joined.select(*(F.col(f"`{c}`") for c in own), gone_).mapInArrow(cut, T.StructType(kept).add("n_lines", "long").add("n_removed", "long"))
